@@ -5,15 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import encode_decode
+from . import bpe, langid, secrets
 from .common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(read(spark, sf_dir, "documents"), BYTE_BPE)
+    return bpe.encode_decode(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {"op2_bpe": op2_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"), PIECES)
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op5_language": op5_language}
+ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.scan_sql()}
