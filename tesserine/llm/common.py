@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,44 +51,38 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def successors(df: DataFrame, order: str, value: Column, group: list[str] = (), width: int = 64) -> DataFrame:
-    """df with `next_value`: `value` of the next row by the integer column `order` within `group`; null at the end.
+def successors(df: DataFrame, order: str, carry: list[str], make: Callable[[DataFrame], DataFrame], group: list[str] = (), width: int = 64) -> DataFrame:
+    """make(df) with `next_value`: the struct that the next row by the integer column `order` within `group` carries.
 
-    No window spans a whole group: rows are dealt to blocks of `width` consecutive keys, a window inside a block finds
-    all neighbours but the last one's, and that one is the first row of the next block that has rows, found among the
-    blocks' first rows alone (by the same rule with blocks of blocks, so that no task sees more than `width` of them).
+    make() adds a struct column `_value` from the columns `carry`. Rows of equal order are put in the order of the hash of
+    what they carry; a null order comes first; the last row of a group has a null next_value. No window spans a whole
+    group: rows are dealt to blocks of `width` consecutive keys, a window inside a block finds all neighbours but the
+    last one's, and that one is the first row of the next block that has rows, found among the blocks' first rows alone
+    (by the same rule with blocks of blocks, so that windows stay short there too).
     """
+    keyed = df.withColumn("_order", F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)))).withColumn("_tie", F.xxhash64(*carry))
+    keyed = keyed.withColumn("_block", F.expr(f"_order div {width}"))
     keys = [F.col(c) for c in group]
-    block = F.floor(F.col(order) / width)
-    here = Window.partitionBy(*keys, F.col("_block")).orderBy(order)
-    inside = (
-        df.withColumn("_block", block)
-        .withColumn("_value", value)
-        .withColumn("_inside", F.lead(F.struct("_value")).over(here))
-        .withColumn("_first", F.row_number().over(here) == 1)
-    )
-    heads = df.withColumn("_block", block).groupBy(*keys, "_block").agg(F.min_by(value, F.col(order)).alias("_value"))
+    inside = make(keyed).withColumn("_inside", F.lead("_value").over(Window.partitionBy(*keys, "_block").orderBy("_order", "_tie")))
+    first = F.min_by(F.struct(*[F.col(c) for c in carry]), F.struct("_order", "_tie"))
+    heads = keyed.groupBy(*keys, "_block").agg(first.alias("_head"))
+    heads = make(heads.select(*group, "_block", "_head.*")).select(*group, "_block", "_value")
     after = _next_blocks(heads, list(group), width)
-    joined = inside.join(after, [*group, "_block"], "left") if not group else inside.join(
-        after, [inside[c].eqNullSafe(after[c]) for c in group] + [inside["_block"] == after["_block"]], "left"
-    ).select(*[inside[c] for c in inside.columns], after["_next"])
-    return joined.withColumn(
-        "next_value", F.when(F.col("_inside").isNotNull(), F.col("_inside._value")).otherwise(F.col("_next._value"))
-    ).drop("_inside", "_next", "_value", "_block", "_first")
+    on = [inside[c].eqNullSafe(after[c]) for c in group] + [inside["_block"] == after["_block"]]
+    joined = inside.join(after, on, "left").select(*[inside[c] for c in inside.columns], after["_next"])
+    return joined.withColumn("next_value", F.coalesce("_inside", "_next")).drop("_inside", "_next", "_value", "_block", "_order", "_tie")
 
 
 def _next_blocks(heads: DataFrame, group: list[str], width: int, levels: int = 3) -> DataFrame:
-    """For each block of `heads` the struct of the next block's first value, by blocks of blocks up to `levels` high."""
+    """Of each block of `heads` the next block's first value as `_next`, by blocks of blocks up to `levels` high."""
     keys = [F.col(c) for c in group]
     if levels == 1:
         w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_block")
-        return heads.select(*group, "_block", F.lead(F.struct("_value")).over(w).alias("_next"))
-    up = F.floor(F.col("_block") / width)
-    w = Window.partitionBy(*keys, F.col("_up")).orderBy("_block")
-    low = heads.withColumn("_up", up).withColumn("_inside", F.lead(F.struct("_value")).over(w))
-    tops = heads.groupBy(*keys, up.alias("_block")).agg(F.min_by("_value", "_block").alias("_value"))
-    high = _next_blocks(tops, group, width, levels - 1).withColumnRenamed("_block", "_up").withColumnRenamed("_next", "_high")
+        return heads.select(*group, "_block", F.lead("_value").over(w).alias("_next"))
+    low = heads.withColumn("_up", F.expr(f"_block div {width}"))
+    low = low.withColumn("_inside", F.lead("_value").over(Window.partitionBy(*keys, "_up").orderBy("_block")))
+    tops = heads.groupBy(*keys, F.expr(f"_block div {width}").alias("_up")).agg(F.min_by("_value", "_block").alias("_value"))
+    high = _next_blocks(tops.withColumnRenamed("_up", "_block"), group, width, levels - 1)
+    high = high.withColumnRenamed("_block", "_up").withColumnRenamed("_next", "_high")
     on = [low[c].eqNullSafe(high[c]) for c in group] + [low["_up"] == high["_up"]]
-    return low.join(high, on, "left").select(
-        *[low[c] for c in group], low["_block"], F.coalesce(low["_inside"], high["_high"]).alias("_next")
-    )
+    return low.join(high, on, "left").select(*[low[c] for c in group], low["_block"], F.coalesce(low["_inside"], high["_high"]).alias("_next"))

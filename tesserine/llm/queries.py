@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, secrets
+from . import bpe, imatch, langid, secrets
 from .common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,5 +24,9 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"), PIECES)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op5_language": op5_language}
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_pairs(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op5_language": op5_language, "op9_imatch": op9_imatch}
 ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.scan_sql()}
