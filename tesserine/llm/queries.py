@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, langid, secrets, suffixes
+from . import bpe, imatch, langid, omh, secrets, suffixes
 from .common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,9 +28,13 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op8_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_pairs(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op5_language": op5_language, "op7_suffixes": op7_suffixes, "op9_imatch": op9_imatch}
+QUERIES = {"op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op5_language": op5_language, "op7_suffixes": op7_suffixes, "op8_omh": op8_omh, "op9_imatch": op9_imatch}
 ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.scan_sql()}
