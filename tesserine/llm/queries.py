@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, langid, omh, secrets, suffixes
+from . import bpe, decontaminate, imatch, langid, omh, secrets, suffixes
 from .common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -36,5 +40,5 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_pairs(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op5_language": op5_language, "op7_suffixes": op7_suffixes, "op8_omh": op8_omh, "op9_imatch": op9_imatch}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op5_language": op5_language, "op7_suffixes": op7_suffixes, "op8_omh": op8_omh, "op9_imatch": op9_imatch}
 ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.scan_sql()}
