@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, imatch, langid, omh, secrets, suffixes
+from . import bpe, decontaminate, imatch, langid, omh, quality, secrets, suffixes
 from .common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,5 +40,9 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_pairs(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op5_language": op5_language, "op7_suffixes": op7_suffixes, "op8_omh": op8_omh, "op9_imatch": op9_imatch}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op5_language": op5_language, "op7_suffixes": op7_suffixes, "op8_omh": op8_omh, "op9_imatch": op9_imatch, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.scan_sql()}
