@@ -1,11 +1,54 @@
-"""A corpus pipeline over `documents`."""
+"""A corpus pipeline over `documents`: language, near-duplicates, contamination, secrets, tokens.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are written as Parquet and read
+again. All stages but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserine.llm import bpe, decontaminate, langid, omh, secrets
+from tesserine.llm.common import read, stored
+from tesserine.llm.queries import BYTE_BPE, PIECES
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any letter have no language and go; an unknown `lang` is filled in."""
+    return langid.keep_identified(docs, langid.train(docs, PIECES))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the least doc_id stays."""
+    return omh.representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, be it with other numbers or names, go."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; n_chars follows the text."""
+    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of the ids and of the decoded text."""
+    return bpe.encode_decode(docs, BYTE_BPE)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secret_scan), ("tokens", tokens)]
+
+#: Language scores, sketches and merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, f"stage-{name}")
     return docs

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, safe_text
@@ -177,12 +177,8 @@ def train(docs: DataFrame, path: str, per_language: int = FIT_DOCS) -> Model:
     return fit(sample_counts(docs, per_language), vocabulary(path))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score: the likeliest language of each whole text and its posterior (equal priors).
-
-    Only the text is read. A null text or one without a letter gives `und` and 0.0, as does a model of no language.
-    Narrow: no shuffle. Columns named lang_pred or score are replaced.
-    """
+def _said(docs: DataFrame, model: Model, text: str) -> Column:
+    """Column struct<lang_pred,score> of each whole text."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x 32,000 pieces: fixed by the vocabulary
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -206,8 +202,23 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     scores.append(float(top[i]) if known else 0.0)
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    said = F.pandas_udf(score, "lang_pred string, score double")
-    return docs.withColumn("_said", said(safe_text(text))).withColumn("lang_pred", F.col("_said.lang_pred")).withColumn("score", F.col("_said.score")).drop("_said")
+    return F.pandas_udf(score, "lang_pred string, score double")(safe_text(text))
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """`docs` with lang_pred and score: the likeliest language of each whole text and its posterior (equal priors).
+
+    Only the text is read. A null text or one without a letter gives `und` and 0.0, as does a model of no language.
+    Narrow: no shuffle. Columns named lang_pred or score are replaced.
+    """
+    found = docs.withColumn("_said", _said(docs, model, text))
+    return found.withColumn("lang_pred", F.col("_said.lang_pred")).withColumn("score", F.col("_said.score")).drop("_said")
+
+
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
+    """`docs` without the documents of no language (no letter, or null); a null `lang` becomes the prediction."""
+    found = docs.withColumn("_said", _said(docs, model, text)).where("_said.lang_pred != 'und'")
+    return found.withColumn(lang, F.coalesce(F.col(lang), F.col("_said.lang_pred"))).drop("_said")
 
 
 def identify(docs: DataFrame, path: str, per_language: int = FIT_DOCS) -> DataFrame:
