@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, imatch, langid, omh, quality, secrets, suffixes, warc
+from . import bpe, decontaminate, imatch, langid, omh, quality, quotes, secrets, suffixes, warc
 from .common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.ordered(read(spark, sf_dir, "conversations"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"), PIECES)
 
@@ -48,5 +52,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op5_language": op5_language, "op6_warc": op6_warc, "op7_suffixes": op7_suffixes, "op8_omh": op8_omh, "op9_imatch": op9_imatch, "op10_quality": op10_quality}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op4_chat": op4_chat, "op5_language": op5_language, "op6_warc": op6_warc, "op7_suffixes": op7_suffixes, "op8_omh": op8_omh, "op9_imatch": op9_imatch, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.scan_sql(), "op6_warc": warc.SQL}
