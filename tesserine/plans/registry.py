@@ -1,5 +1,10 @@
 """All queries of the engine by name, with the SQL that must give the same rows."""
 
+from __future__ import annotations
+
+from . import retrieval_queries
+
 FLAGSHIP = "hybrid_search"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+_ALL = {**retrieval_queries.REGISTRY}
+QUERIES = {name: run for name, (run, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
