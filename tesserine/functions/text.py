@@ -69,9 +69,14 @@ def clean_page(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Sparse tokens: addresses, dates, numbers, Bengali runs and words, then the aliases of codes such as 'abc 123 (x)'."""
     low = folded(text)
-    part = lambda i: F.regexp_extract_all(low, F.lit(CODE), F.lit(i))
-    codes = F.zip_with(F.zip_with(part(1), part(2), lambda p, n: F.struct(p.alias("p"), n.alias("n"))), part(3), lambda x, s: F.struct(x["p"].alias("p"), x["n"].alias("n"), s.alias("s")))
-    aliases = F.flatten(F.transform(codes, lambda x: F.when(x["s"] != "", F.array(x["p"], x["n"], F.concat(x["p"], x["n"]), x["s"], F.concat(x["p"], x["n"], x["s"]))).otherwise(F.array(x["p"], x["n"], F.concat(x["p"], x["n"])))))
+    codes = F.regexp_extract_all(low, F.lit(CODE), F.lit(0))  # one pass; the parts come from the few matches
+
+    def aliases_of(m: Column) -> Column:
+        p, n, x = (F.regexp_extract(m, CODE, i) for i in (1, 2, 3))
+        both = F.concat(p, n)
+        return F.when(x != "", F.array(p, n, both, x, F.concat(both, x))).otherwise(F.array(p, n, both))
+
+    aliases = F.flatten(F.transform(codes, aliases_of))
     return F.concat(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)), aliases)
 
 
