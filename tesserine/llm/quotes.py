@@ -93,9 +93,6 @@ def ordered(messages: DataFrame, rounds: int = 64) -> DataFrame:
     linked = stored(link(messages), "linked")
     up = stored(linked.where("turn is not null").select("conv_id", "turn", F.col("reply_to").alias("top"), F.when(F.col("reply_to").isNotNull(), 1).otherwise(0).alias("depth")).distinct(), "threads")
     for _ in range(rounds):
-        going = up.where("top is not null")
-        if not going.limit(1).count():
-            break
         a, b = up.alias("a"), up.select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), F.col("top").alias("top2"), F.col("depth").alias("d2")).alias("b")
         far = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("c2")) & (F.col("a.top") == F.col("t2")), "left")
         new = far.select("a.conv_id", "a.turn", F.when(F.col("top2").isNotNull(), F.col("top2")).otherwise(F.col("a.top")).alias("top"), (F.col("a.depth") + F.coalesce("d2", F.lit(0))).cast("int").alias("depth"), F.col("top2").isNotNull().alias("more"))
