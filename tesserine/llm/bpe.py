@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words that a worker remembers, and the longest word that it remembers; more are encoded anew.
-MEMORY_WORDS, MEMORY_BYTES = 400_000, 64
+#: Distinct words that a worker remembers (the first ones, so most frequent words are among them), and the longest word
+#: that it remembers; others are encoded anew.
+MEMORY_WORDS, MEMORY_BYTES = 120_000, 40
 
 
 def byte_alphabet() -> list[str]:
@@ -68,7 +69,6 @@ class BytePairs:
         self.odd = {t for k, t in vocab.items() if len(k) > 1 and self.token_rank[t] < 0}
         self.proposable = {k: t for k, t in vocab.items() if t not in self.odd}
         self.memory: dict[str, tuple[str, int, bytes]] = {}
-        self.judged: dict[int, bool] = {}
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
@@ -157,14 +157,12 @@ class BytePairs:
     def learn(self, words: set[str]) -> dict[str, tuple[str, int, bytes]]:
         """Of each word: its ids as decimal text, their number and the bytes that they decode to."""
         new = [w for w in words if w not in self.memory]
-        if len(self.memory) + len(new) > MEMORY_WORDS:
-            self.memory.clear()
-            new = list(words)
         ids, _ = self.encode_words([w.encode("utf-8", "surrogatepass") for w in new])
         piece = self.piece
         got = {w: (",".join(map(str, t)), len(t), b"".join([piece[i] for i in t])) for w, t in zip(new, ids, strict=True)}
         held = self.memory
-        held.update((w, x) for w, x in got.items() if len(w) <= MEMORY_BYTES)
+        room = MEMORY_WORDS - len(held)
+        held.update([(w, x) for w, x in got.items() if len(w) <= MEMORY_BYTES][: max(0, room)])
         return {w: got[w] if w in got else held[w] for w in words}
 
     def pieces(self, text: str) -> list[str]:
@@ -209,8 +207,8 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 out: list[list] = [[] for _ in fields]
                 texts = part.column(1).to_pylist()
                 words = [bpe.pieces(t or "") for t in texts]

@@ -109,25 +109,24 @@ class Model:
     probabilities: np.ndarray  # [language, piece]; the last piece is any unknown character
 
     def __post_init__(self):
-        self.memory: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.languages)))
 
-    def word_scores(self, words: list[str], most: int = 400_000) -> np.ndarray:
-        """[word, language] log probabilities of distinct words; a worker keeps up to `most` of them."""
+    def word_scores(self, words: list[str], most: int = 120_000) -> np.ndarray:
+        """[word, language] log probabilities of distinct words; a worker keeps those of the first `most` words."""
+        at = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
         out = np.empty((len(words), len(self.languages)))
-        new = []
-        for i, w in enumerate(words):
-            if (x := self.memory.get(w)) is None:
-                new.append(i)
-            else:
-                out[i] = x
-        if len(self.memory) + len(new) > most:
-            self.memory.clear()
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            lattice = Lattice([words[i] for i in part], self.pieces)
+        out[at >= 0] = self.table[at[at >= 0]]
+        new = np.flatnonzero(at < 0).tolist()
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
+            lattice = Lattice([words[j] for j in part], self.pieces)
             out[part] = np.stack([lattice.log_probability(p) for p in self.probabilities], 1)
-            if len(self.memory) < most:
-                self.memory.update((words[i], out[i]) for i in part)
+            keep = part[: max(0, most - len(self.known))]
+            if keep:
+                base = len(self.table)
+                self.known.update((words[j], base + k) for k, j in enumerate(keep))
+                self.table = np.concatenate((self.table, out[keep]))
         return out
 
 
@@ -185,8 +184,8 @@ def _said(docs: DataFrame, model: Model, text: str) -> Column:
         m = held.value
         for texts in batches:
             langs, scores = [], []
-            for at in range(0, len(texts), 1000):
-                split = [words_of(t) for t in texts.iloc[at : at + 1000]]
+            for at in range(0, len(texts), 400):
+                split = [words_of(t) for t in texts.iloc[at : at + 400]]
                 sizes = np.fromiter(map(len, split), np.int64, len(split))
                 codes, distinct = pd.factorize(np.array([w for ws in split for w in ws], dtype=object))
                 per_word = m.word_scores(list(distinct)) if len(distinct) and m.languages else np.zeros((len(distinct), 1))

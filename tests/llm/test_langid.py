@@ -33,6 +33,15 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [brute(w) for w in words])
 
 
+def test_remembered_words_score_the_same():
+    words = [f"{a}{b}{c}" for a in "abc" for b in "abcd" for c in "ab"]
+    m = L.fit({"x": dict.fromkeys(words, 1), "y": {"ab": 3}}, {"a": 0, "b": 1, "ab": 2, "c": 3})
+    first = m.word_scores(words[:9], 15)
+    m.word_scores(words[5:], 15)
+    assert np.allclose(m.word_scores(words[:9], 15), first) and np.allclose(m.word_scores(words, 15), m.word_scores(words[::-1], 15)[::-1])
+    assert len(m.known) == len(m.table) == 15
+
+
 def test_em_raises_likelihood():
     words, pieces = {"aab": 5, "ab": 9, "b": 2}, {"a": 0, "b": 1, "ab": 2}
     at = [float(np.dot(L.Lattice(list(words), pieces).log_probability(L.fit({"x": words}, pieces, r, 1e-9).probabilities[0]), list(words.values()))) for r in (1, 2, 6)]
