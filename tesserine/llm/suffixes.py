@@ -22,12 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import release, shuffle_partitions, stored
 
 WINDOW, GRAM, BLOCK = 50, 16, 1 << 20
 #: Minimisers of more documents than this are routed window by window, so that no bucket holds all surroundings of one
 #: very common passage.
 HOT = 2000
+#: A bucket is sorted in this many parts, so that little of it is in memory as suffixes at a time.
+PARTS = 8
 #: Between pieces of text: a byte that UTF-8 never has.
 GAP = 0xFF
 
@@ -151,6 +153,13 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     return h
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` consecutive values, by doubling."""
     if len(h) < width:
@@ -179,7 +188,8 @@ class Runs:
         self.start = np.flatnonzero(new & valid)
         bounds = np.flatnonzero(np.concatenate((new | ~valid, [True])))
         after = bounds[np.searchsorted(bounds, self.start, side="right")]
-        self.count, self.least, self.owner = after - self.start, least[self.start], owner[self.start]
+        # minima crowd at the low end; mixed again they fill all buckets alike
+        self.count, self.least, self.owner = after - self.start, spread(least[self.start]), owner[self.start]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """The minimisers in order, and the number of documents of each."""
@@ -341,48 +351,54 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None =
 
     sent = blocks.mapInPandas(send, "bucket long, block long, hashes binary, counts binary")
     marks = stored(_answers(sent.groupBy("bucket").applyInPandas(count, "block long, bucket long, answer binary"), "marks"), "marks")
+    del sent
+    release(spark)
     marked = blocks.join(marks, "block", "left")
 
     def pieces(row) -> tuple[Pieces, np.ndarray, np.ndarray, np.ndarray]:
         ids, sizes, text = _opened(row.ids, row.sizes, row.body)
         runs = Runs(text, sizes, window)
         shared, common = _bits(row.marks, len(runs.distinct()[0]))
-        return Pieces(text, ids, runs.segments(shared, common, window), n_buckets, window), ids, sizes, text
+        return Pieces(text, ids, runs.segments(shared, common, window), n_buckets * PARTS, window), ids, sizes, text
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
                 p = pieces(row)[0]
-                at = np.searchsorted(p.bucket, np.arange(n_buckets + 1))
+                at = np.searchsorted(p.bucket, np.arange(n_buckets + 1) * PARTS)
                 out = []
-                for k in np.unique(p.bucket).tolist():
+                for k in np.unique(p.bucket // PARTS).tolist():
                     s, e = at[k], at[k + 1]
                     lengths = np.fromiter(map(len, p.content[s:e]), np.int64, e - s)
-                    out.append((k, row.block, zstandard.compress(b"".join(p.content[s:e]), 1), _pack(lengths), _pack(p.least_id[s:e])))
+                    parts = (p.bucket[s:e] % PARTS).astype(np.uint8)
+                    out.append((k, row.block, zstandard.compress(b"".join(p.content[s:e]), 3), _pack(lengths), _pack(p.least_id[s:e]), _pack(parts)))
                 if out:
-                    yield pd.DataFrame(out, columns=["bucket", "block", "contents", "lengths", "ids"])
+                    yield pd.DataFrame(out, columns=["bucket", "block", "contents", "lengths", "ids", "parts"])
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
-        contents, ids, n = [], [], []
-        for row in b.itertuples(index=False):
-            lengths, body = _unpack(row.lengths, np.int64), zstandard.decompress(row.contents)
-            ends = np.cumsum(lengths)
-            contents += [body[e - x : e] for e, x in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            ids.append(_unpack(row.ids, np.int64))
-            n.append(len(lengths))
-        place: dict[bytes, int] = {}
-        which = np.fromiter((place.setdefault(c, len(place)) for c in contents), np.int64, len(contents))
-        low = np.full(len(place), np.iinfo(np.int64).max)
-        np.minimum.at(low, which, np.concatenate(ids))
-        least, first = judge(list(place), low, window)
-        answers, at = [], 0
-        for k in n:
-            answers.append(_pack(np.concatenate([least[first[w] : first[w + 1]] for w in which[at : at + k].tolist()])))
-            at += k
+        held = [(_unpack(r.lengths, np.int64), _unpack(r.ids, np.int64), _unpack(r.parts, np.uint8), zstandard.decompress(r.contents)) for r in b.itertuples(index=False)]
+        answers: list[list[np.ndarray]] = [[] for _ in held]
+        for part in range(PARTS):  # the parts of a row follow each other
+            place: dict[bytes, int] = {}
+            which, ids = [], []
+            for lengths, low, parts, body in held:
+                s, e = np.searchsorted(parts, [part, part + 1])
+                ends = np.cumsum(lengths)
+                which.append([place.setdefault(body[x - n : x], len(place)) for x, n in zip(ends[s:e].tolist(), lengths[s:e].tolist(), strict=True)])
+                ids.append(low[s:e])
+            least_id = np.full(len(place), np.iinfo(np.int64).max)
+            np.minimum.at(least_id, np.array([w for x in which for w in x], np.int64), np.concatenate(ids))
+            least, first = judge(list(place), least_id, window)
+            for x, out in zip(which, answers, strict=True):
+                if x:
+                    out.append(np.concatenate([least[first[w] : first[w + 1]] for w in x]))
+        answers = [_pack(np.concatenate(x)) for x in answers]
         return pd.DataFrame({"block": b["block"], "bucket": b["bucket"], "answer": answers})
 
-    stretches = marked.mapInPandas(cut, "bucket long, block long, contents binary, lengths binary, ids binary")
+    stretches = marked.mapInPandas(cut, "bucket long, block long, contents binary, lengths binary, ids binary, parts binary")
     lows = stored(_answers(stretches.groupBy("bucket").applyInPandas(compare, "block long, bucket long, answer binary"), "lows"), "lows")
+    del stretches
+    release(spark)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
 
