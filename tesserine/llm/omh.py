@@ -14,14 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 WORDS, PICKS, BANDS, SIMILAR = 5, 4, 32, 0.8
-#: Up to this many different texts in a bucket are compared pair by pair; in larger buckets all with the first one.
-SMALL = 6
+#: Up to this many different texts in a bucket are compared pair by pair at once; in larger buckets first all with a lead,
+#: at last all that are not yet in one component, in blocks of about BLOCK texts against blocks.
+SMALL, BLOCK = 6, 64
 WORD = re.compile(r"\w+")
 NONE = 2**63 - 1
 
@@ -101,6 +102,8 @@ def aligned(a: np.ndarray, b: np.ndarray, least: int) -> int:
     common = np.intersect1d(a, b)
     places: dict[int, list[int]] = {}
     at = np.flatnonzero(np.isin(a, common))
+    if head + tail + len(at) < least:
+        return 0
     for i, x in zip(at.tolist(), a[at].tolist(), strict=True):
         places.setdefault(x, []).append(i)
     whole = (1 << len(a)) - 1
@@ -148,23 +151,41 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return ids.mapInPandas(run, "id long, key binary, n int, bands array<long>")
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) from (band, id, n): each member with the first of its bucket; in small buckets all pairs.
+def _fits(x: Column, y: Column) -> Column:
+    return F.least(x, y) >= F.greatest(x, y) * SIMILAR - 1e-9
 
-    The first is the least id, which is also a component's label, so that labels are nearly right from the start.
-    """
-    order = F.struct(F.col("id"), F.col("n"))
-    buckets = members.groupBy("band").agg(F.min(order).alias("lead"), F.count("*").alias("size")).where("size > 1")
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) from (band, id, n, rank): each member with its bucket's lead, the one of greatest rank; in
+    small buckets all pairs."""
+    lead = F.max_by(F.struct("id", "n"), F.struct(F.col("rank"), -F.col("id")))
+    buckets = members.groupBy("band").agg(lead.alias("lead"), F.count("*").alias("size")).where("size > 1")
     joined = members.join(buckets, "band")
-    fits = lambda x, y: (F.least(x, y) >= F.greatest(x, y) * SIMILAR - 1e-9)
-    star = joined.where((F.col("id") != F.col("lead.id")) & fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
+    star = joined.where((F.col("id") != F.col("lead.id")) & _fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
     few = joined.where(F.col("size").between(3, SMALL)).groupBy("band").agg(F.collect_list(F.struct("id", "n")).alias("all"))
     each = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
-    small = each.where((F.col("x.id") < F.col("y.id")) & fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    small = each.where((F.col("x.id") < F.col("y.id")) & _fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     both = star.unionByName(small).where("a != b")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _apart(tagged: DataFrame) -> DataFrame:
+    """All candidate pairs (a, b) from (band, id, n, label) whose texts are of different labels.
+
+    A bucket is dealt to blocks of about BLOCK texts and each block meets each, so no row or task holds a large bucket.
+    """
+    mixed = tagged.groupBy("band").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    blocks = mixed.select("band", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    dealt = tagged.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.groupBy("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    cells = cells.agg(F.collect_list(F.struct("own", "id", "n", "label")).alias("all"))
+    each = cells.select("i", "j", F.explode("all").alias("x"), "all").select("i", "j", "x", F.explode("all").alias("y"))
+    met = (F.col("i") == F.col("j")) | (F.col("x.own") != F.col("y.own"))
+    new = each.where((F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & met & _fits(F.col("x.n"), F.col("y.n")))
+    return new.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, bodies: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b, similarity) that the alignment confirms. bodies: id, body (bytes of the word hashes)."""
 
@@ -202,40 +223,44 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, rounds: int = 3)
     """One row per row of docs: doc_id, class_id (least doc_id of the class), copy_of (least doc_id with the same words).
 
     Texts with the same words are one text from the start; empty and null texts are one class; texts shorter than five
-    words are only like themselves. A null doc_id stays null and comes last among ids. After the first round, buckets
-    whose texts fell into several components compare the components' first texts there, up to `rounds` in all or until
-    no link is new.
+    words are only like themselves. A null doc_id stays null and comes last among ids. At first the members of a bucket
+    are compared with its least id, which is also a component's label; then, up to `rounds` in all or until no link is
+    new, components that share a bucket by their texts with most company there (the original of many copies has most).
+    At last all pairs of a bucket that are not yet in one component are compared, so no candidate pair is left out.
     """
     sk = stored(_sketches(docs), "sketches")
     texts = stored(sk.groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n")), "texts")
     own = sk.join(texts.where("n > 0").select("id", F.col("key").alias("own")), "id").where("key = own").dropDuplicates(["id", "key"])
-    members = stored(own.select("id", "n", F.explode("bands").alias("band")), "members")
-    pairs = stored(_pairs(members), "pairs")
+    size = F.count("*").over(Window.partitionBy("band"))
+    members = stored(own.select("id", "n", F.explode("bands").alias("band")).withColumn("company", size).where("company > 1"), "members")
+    pairs = stored(_pairs(members.withColumn("rank", -F.col("id"))), "pairs")
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), "text")
 
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"id": b["id"].to_numpy(), "body": [w.tobytes() for w in word_hashes(b["text"].tolist())]})
 
-    def bodies(of: DataFrame) -> DataFrame:
-        wanted = of.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return stored(ids.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(body, "id long, body binary"), "bodies")
+    wanted = members.select("id").distinct()
+    bodies = stored(ids.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(body, "id long, body binary"), "bodies")
 
-    links = stored(_verified(pairs, bodies(pairs), similar), "links")
+    links = stored(_verified(pairs, bodies, similar), "links")
     tried, labels = pairs, components(links)
-    for _ in range(rounds - 1):
-        tagged = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        firsts = tagged.groupBy("band", "label").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id")).alias("f"))
-        more = _pairs(firsts.select("band", F.col("f.id").alias("id"), F.col("f.n").alias("n"))).join(tried, ["a", "b"], "left_anti")
-        more = stored(more, "pairs")
+    ranks = members.groupBy("id").agg(F.sum("company").alias("rank"))
+    tag = lambda: members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    for k in range(rounds):
+        if k + 1 < rounds:
+            firsts = tag().join(ranks, "id").groupBy("band", "label").agg(F.max_by(F.struct("id", "n", "rank"), F.struct(F.col("rank"), F.xxhash64("id"))).alias("f"))
+            more = _pairs(firsts.select("band", "f.*"))
+        else:
+            more = _apart(tag())
+        more = stored(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not more.limit(1).count():
-            break
-        found = stored(_verified(more, bodies(more), similar), "links")
+            continue
+        found = stored(_verified(more, bodies, similar), "links")
         tried = tried.unionByName(more)
-        if not found.limit(1).count():
-            break
-        links = stored(links.unionByName(found), "links")
-        labels = components(links)
+        if found.limit(1).count():
+            links = stored(links.unionByName(found), "links")
+            labels = components(links)
     classes = texts.join(labels, "id", "left").select("key", F.col("id").alias("copy_of"), F.coalesce("label", "id").alias("class_id"))
     out = sk.select("id", "key").join(classes, "key")
     real = lambda c: F.when(F.col(c) != NONE, F.col(c))

@@ -66,6 +66,37 @@ def test_classes_against_all_pairs(spark):
     assert not wrong, len(wrong)
 
 
+def test_family_whose_original_has_a_middle_id(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    copies = []
+    for _ in range(300):
+        out = list(base)
+        for at in rng.sample(range(200), 4):
+            out[at] = f"new{rng.randint(0, 10**9)}"
+        copies.append(" ".join(out))
+    texts = copies[:150] + [" ".join(base)] + copies[150:]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.class_id for r in M.near_duplicates(df).collect()} == {0}
+
+
+def test_large_bucket_without_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 4)
+    base = [f"w{i}" for i in range(150)]
+    rng = random.Random(3)
+    texts = []
+    for _ in range(20):  # couples: alike in 15 words of their own, unlike all others
+        own = {at: f"own{rng.randint(0, 10**9)}" for at in rng.sample(range(0, 150, 5), 15)}
+        one = [own.get(i, w) for i, w in enumerate(base)]
+        texts += [" ".join(one), " ".join(one[:-1] + [f"end{rng.randint(0, 10**9)}"])]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(df, rounds=1).collect()}
+    sh = [M.shingles(w) for w in M.word_hashes(texts)]
+    pairs = [(i, j) for j in range(40) for i in range(j) if M.similarity(sh[i], sh[j]) >= 0.8]
+    assert len(pairs) == 20 and {i: min([i, *(a for a, b in pairs if b == i)]) for i in range(40)} == got
+
+
 def test_edges(spark):
     t = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(None, t), (3, t), (3, t), (5, None), (6, "")], "doc_id long, text string")
