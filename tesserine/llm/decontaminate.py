@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question with other numbers or names has the same template. Windows
 of WIDTH template tokens of the benchmark are hashed and joined with those of each text; matches on one diagonal (text place
-minus item place) must fill equal slots of the item with equal values, else they are not a re-parameterised copy.
+minus item place) must fill equal slots of the item with equal values, else they are not a re-parameterised copy and only
+runs of WIDTH or more equal tokens count there.
 """
 
 from __future__ import annotations
@@ -133,9 +134,14 @@ class Benchmark:
         slots = pair[pair["slot"] > 0]
         values = slots.groupby(["doc", "item", "line", "slot", "want"])["got"].nunique()
         torn = values[values > 1].reset_index()[["doc", "item", "line"]].drop_duplicates().assign(torn=True)
-        pair = pair.merge(torn, on=["doc", "item", "line"], how="left")
-        pair = pair[pair["torn"].isna()]
-        pair["same"] = pair["want"] == pair["got"]
+        pair = pair.merge(torn, on=["doc", "item", "line"], how="left").sort_values(["doc", "item", "line", "theirs"])
+        pair["torn"] = pair["torn"].notna()
+        equal = (pair["want"] == pair["got"]).to_numpy()
+        steps = pair[["doc", "item", "line", "theirs"]].diff().to_numpy()
+        run = np.cumsum(~((steps[:, :3] == 0).all(1) & (steps[:, 3] == 1) & equal & np.roll(equal, 1)))
+        long = np.bincount(run)[run] >= np.minimum(WIDTH, self.size[pair["item"]])
+        pair["same"] = equal & ~pair["torn"]
+        pair = pair[~pair["torn"] | (equal & long)]
         rows = pair.groupby(["doc", "item"]).agg(n=("theirs", "nunique"), same=("same", "all")).reset_index()
         for doc, item, n, same in rows.itertuples(index=False):
             size = int(self.size[item])

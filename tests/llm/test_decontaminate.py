@@ -54,3 +54,11 @@ def test_windows_against_brute_force():
             if len(covered) >= min(13, len(it)) or len(covered) >= 0.6 * len(it):
                 want.add((k, len(covered)))
         assert {(h[0], h[1]) for h in hits} == want
+
+
+def test_literal_runs_count_on_a_torn_diagonal():
+    bench = D.Benchmark([1], [ITEMS[0][1]])
+    text = "Filler before. " + ITEMS[0][1].replace("gave 12", "gave 13")
+    assert [(h[0], h[1], h[3]) for h in bench.hits([text])[0]] == [(1, 22, False)]
+    other = ITEMS[0][1].replace("Alice bought 12", "Carol bought 15")
+    assert bench.hits([other])[0][0][1] < 22
