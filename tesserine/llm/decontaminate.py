@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a question with other numbers or names has the same template. Windows
 of WIDTH template tokens of the benchmark are hashed and joined with those of each text; matches on one diagonal (text place
 minus item place) must fill equal slots of the item with equal values, else they are not a re-parameterised copy and only
-runs of WIDTH or more equal tokens count there.
+runs of WIDTH or more equal tokens count there. Windows of the benchmark with too few literal tokens are looked up by their
+exact values.
 """
 
 from __future__ import annotations
@@ -75,47 +76,51 @@ class Templates:
         counts = np.bincount(owner[keep], minlength=len(split))
         return cls(hashes[codes][keep] if len(codes) else np.zeros(0, np.uint64), slot[keep], owner[keep], np.cumsum(counts))
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the windows of one text with enough literal tokens, and their hashes."""
+    def windows(self, width: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the windows of one text, their hashes, and whether they have enough literal tokens; `exact` hashes the
+        values in the slots."""
         n = len(self.literal) - width + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
         token = self.literal.copy()
-        for s, h in _SLOT.items():
+        for s, h in ({} if exact else _SLOT).items():
             token[self.slot == s] = h
         h = np.full(n, np.uint64(width))
         for i in range(width):
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + token[i : i + n]
         plain = np.concatenate(([0], np.cumsum(self.slot == 0)))
-        good = (self.owner[:n] == self.owner[width - 1 :]) & (plain[width:] - plain[:-width] >= min(LITERAL, (width + 1) // 2))
-        at = np.flatnonzero(good)
-        return at, h[at]
+        at = np.flatnonzero(self.owner[:n] == self.owner[width - 1 :])
+        return at, h[at], (plain[width:] - plain[:-width])[at] >= min(LITERAL, (width + 1) // 2)
 
 
 class Benchmark:
-    """Windows of the items of one block; items shorter than WIDTH tokens have one window of their own width."""
+    """Windows of the items of one block; items shorter than WIDTH tokens have one window of their own width. Each window is
+    in the table of templates or, with too few literal tokens, in that of exact values."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         self.ids, self.t = np.array(ids, np.int64), Templates.of(texts)
         self.begin = np.concatenate(([0], self.t.ends[:-1])) if len(ids) else np.zeros(0, np.int64)
         self.size = self.t.ends - self.begin if len(ids) else self.begin
-        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.tables: list[tuple[int, bool, np.ndarray, np.ndarray]] = []
         for width in sorted({WIDTH, *(int(x) for x in self.size if 0 < x < WIDTH)}):
-            at, h = self.t.windows(width)
-            if width < WIDTH:
-                own = self.size[self.t.owner[at]] == width
+            for exact in (False, True):
+                at, h, rich = self.t.windows(width, exact)
+                own = (rich != exact) & ((width == WIDTH) | (self.size[self.t.owner[at]] == width))
                 at, h = at[own], h[own]
-            by = np.argsort(h, kind="stable")
-            self.tables.append((width, h[by], at[by]))
+                by = np.argsort(h, kind="stable")
+                if len(at):
+                    self.tables.append((width, exact, h[by], at[by]))
 
     def hits(self, texts: list[str | None]) -> list[list[tuple[int, int, float, bool]]]:
         """Of each text: (item_id, matched tokens, share of the item, all slots equal), best first by item_id."""
         out: list[list[tuple[int, int, float, bool]]] = [[] for _ in texts]
         t = Templates.of(texts)
         found = []
-        for width, keys, places in self.tables:
-            at, h = t.windows(width)
-            if not len(keys) or not len(at):
+        for width, exact, keys, places in self.tables:
+            at, h, rich = t.windows(width, exact)
+            if not exact:
+                at, h = at[rich], h[rich]
+            if not len(at):
                 continue
             low = np.searchsorted(keys, h)
             live = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == h)
@@ -169,8 +174,8 @@ def leaks(benchmark: DataFrame, text: Column) -> Column:
     """Column of the benchmark items that a text holds, as HITS (empty for a null text).
 
     The benchmark is cut by its item ids' hash into blocks of about BLOCK_CHARS characters; a block is what is broadcast,
-    and each text meets every block, so any size of benchmark is compared whole. Items without a word, or with a null id,
-    are passed over.
+    and each text meets every block, so any size of benchmark is compared whole. Items without a word or number, or with a
+    null id, are passed over.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -62,3 +62,11 @@ def test_literal_runs_count_on_a_torn_diagonal():
     assert [(h[0], h[1], h[3]) for h in bench.hits([text])[0]] == [(1, 22, False)]
     other = ITEMS[0][1].replace("Alice bought 12", "Carol bought 15")
     assert bench.hits([other])[0][0][1] < 22
+
+
+def test_items_of_numbers_and_names_have_an_exact_path():
+    items = ["Solve 3x + 5 = 20", "Compute 3 5 8 13 21 34 55 89", "12 7 19 26 45 71 116 187 303 490 793 1283 2076 3359"]
+    bench = D.Benchmark([1, 2, 3], items)
+    got = bench.hits([f"{FILL}. {x} {FILL}" for x in items])
+    assert [[(h[0], h[2], h[3]) for h in x] for x in got] == [[(k, 1.0, True)] for k in (1, 2, 3)]
+    assert bench.hits(["Solve 3x + 6 = 20", "Compute 3 5 8 13 22 34 55 89", FILL]) == [[], [], []]
