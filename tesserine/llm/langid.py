@@ -214,8 +214,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return found.withColumn("lang_pred", F.col("_said.lang_pred")).withColumn("score", F.col("_said.score")).drop("_said")
 
 
+def _lettered(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: LETTERS.search(t) is not None).astype(bool)
+
+
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
-    """`docs` without the documents of no language (no letter, or null); a null `lang` becomes the prediction."""
+    """`docs` without the documents of no letter (or null); a null `lang` becomes the prediction, or stays null if the
+    model has no language."""
+    if not model.languages:
+        return docs.where(F.pandas_udf(_lettered, "boolean")(safe_text(text)))
     found = docs.withColumn("_said", _said(docs, model, text)).where("_said.lang_pred != 'und'")
     return found.withColumn(lang, F.coalesce(F.col(lang), F.col("_said.lang_pred"))).drop("_said")
 

@@ -63,3 +63,9 @@ def test_edges(spark):
     assert [by[i].lang_pred for i in (3, 4, 5)] == ["und"] * 3 and by[6].lang_pred == "en"
     assert L.identify(df.limit(0), PATH).count() == 0
     assert {r.lang_pred for r in L.identify(df.withColumn("lang", F.lit(None).cast("string")), PATH).collect()} == {"und"}
+
+
+def test_a_model_of_no_language_rejects_only_texts_without_a_letter(spark):
+    df = spark.createDataFrame([(1, "the thing", None), (2, "12 34 !!", None), (3, None, None), (4, "und", "de")], "doc_id long, text string, lang string")
+    got = L.keep_identified(df, L.fit({}, {"a": 0})).collect()
+    assert sorted((r.doc_id, r.lang) for r in got) == [(1, None), (4, "de")]
