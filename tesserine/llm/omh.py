@@ -8,6 +8,7 @@ agree in a band are candidates; a banded alignment of their shingles decides: al
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,8 +22,10 @@ from .common import stored
 
 WORDS, PICKS, BANDS, SIMILAR = 5, 4, 32, 0.8
 #: Up to this many different texts in a bucket are compared pair by pair at once; in larger buckets first all with a lead,
-#: at last all that are not yet in one component, in blocks of about BLOCK texts against blocks.
-SMALL, BLOCK = 6, 64
+#: at last those not yet in one component that share a rare shingle, in blocks of about BLOCK texts against blocks.
+SMALL, BLOCK = 6, 2000
+#: Lengths of one class differ by less than this factor.
+STEP = 1.05
 WORD = re.compile(r"\w+")
 NONE = 2**63 - 1
 
@@ -132,8 +135,8 @@ def similarity(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> float:
     return m / (both - m) if m >= least else 0.0
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """id, text key (two hashes of the words), number of shingles and the sketch of each row."""
+def _sketches(docs: DataFrame, mark: Column) -> DataFrame:
+    """Of each row: id (doc_id, NONE for null), mark, text key (two hashes of the words), number of shingles and the sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -143,12 +146,15 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 own = [shingles(w) for w in words]
                 raw = [w.tobytes() for w in words]
                 yield pd.DataFrame({
-                    "id": part["id"].to_numpy(), "key": [xxhash.xxh128_digest(r) for r in raw], "n": [len(x) for x in own],
+                    "id": part["id"].to_numpy(), "mark": part["mark"].to_numpy(), "key": [xxhash.xxh128_digest(r) for r in raw], "n": [len(x) for x in own],
                     "bands": [sketch(x).view(np.int64).tolist() if len(x) else [] for x in own],
                 })
 
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), "text")
-    return ids.mapInPandas(run, "id long, key binary, n int, bands array<long>")
+    return docs.select(_id(), mark.alias("mark"), "text").mapInPandas(run, "id long, mark long, key binary, n int, bands array<long>")
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id")
 
 
 def _fits(x: Column, y: Column) -> Column:
@@ -169,21 +175,53 @@ def _pairs(members: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _apart(tagged: DataFrame) -> DataFrame:
-    """All candidate pairs (a, b) from (band, id, n, label) whose texts are of different labels.
+def _class(n: Column) -> Column:
+    """Length class: lengths of one class differ by less than the factor STEP."""
+    return F.floor(F.log(n) / math.log(STEP) + 1e-9).cast("int")
+
+
+def _apart(tagged: DataFrame, bodies: DataFrame, similar: float) -> DataFrame:
+    """All pairs (a, b) that can be links, of texts of different labels that larger buckets hold, from (band, id, n, label).
 
-    A bucket is dealt to blocks of about BLOCK texts and each block meets each, so no row or task holds a large bucket.
+    Texts that are alike to `similar` share one of the rarest shingles of each: with sizes x and y they have at least
+    m = similar / (1 + similar) * (x + y) shingles in common, so not all common ones are among the last m - 1 of either in
+    any one order; here that of frequency among these texts. Each text gives those shingles for each class of
+    partners' lengths, and pairs meet only where shingle and classes are equal: a long common passage or the many unchanged
+    shingles of a large family, being frequent, come last and make no pairs. No link between these texts is lost.
     """
-    mixed = tagged.groupBy("band").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    blocks = mixed.select("band", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    dealt = tagged.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = dealt.groupBy("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    cells = cells.agg(F.collect_list(F.struct("own", "id", "n", "label")).alias("all"))
-    each = cells.select("i", "j", F.explode("all").alias("x"), "all").select("i", "j", "x", F.explode("all").alias("y"))
-    met = (F.col("i") == F.col("j")) | (F.col("x.own") != F.col("y.own"))
-    new = each.where((F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & met & _fits(F.col("x.n"), F.col("y.n")))
-    return new.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    mixed = tagged.groupBy("band").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where(f"low != high and size > {SMALL}")
+    hard = stored(tagged.join(mixed.select("band"), "band").select("id", "n", "label").distinct(), "hard")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, body in zip(b["id"], b["body"], strict=True):
+                tokens = labelled(shingles(np.frombuffer(body, np.uint64))).view(np.int64)
+                for at in range(0, len(tokens), 100_000):
+                    yield pd.DataFrame({"id": i, "token": tokens[at : at + 100_000]})
+
+    tokens = stored(bodies.join(hard.select("id"), "id").mapInPandas(split, "id long, token long"), "tokens")
+    frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = tokens.join(frequent, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    own = hard.join(ordered, "id").withColumn("lone", F.col("n") - F.size("shared")).withColumn("c", _class(F.col("n")))
+    reach = math.ceil(math.log(1 / similar) / math.log(STEP) + 1e-6)
+    own = own.withColumn("q", F.explode(F.sequence(F.greatest(F.col("c") - reach, F.lit(0)), F.col("c") + reach)))
+    least = F.ceil(F.pow(F.lit(STEP), F.col("q") - 1e-6))
+    first = F.col("n") - F.ceil(similar / (1 + similar) * (F.col("n") + least) - 1e-6) + 1 - F.col("lone")
+    rows = own.where(first > 0).select("id", "n", "label", "c", "lone", F.least("c", "q").alias("i"), F.greatest("c", "q").alias("j"), F.posexplode(F.slice("shared", F.lit(1), first.cast("int"))).alias("place", "t"))
+    rows = stored(rows.select("id", "n", "label", "c", "i", "j", (F.col("lone") + F.col("place")).alias("place"), F.col("t.token").alias("token")), "prefixes")
+    key = ["token", "i", "j"]
+    meet = rows.groupBy(*key).agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    # a shingle of very many texts is dealt to blocks of about BLOCK of them, each of which meets each
+    dealt = rows.join(meet.select(*key, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), key)
+    x = dealt.where("c = i").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    y = dealt.where("c = j").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = x.select(*key, "block", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "label", "place")]), y.select(*key, "block", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "label", "place")])
+    common = F.ceil(similar / (1 + similar) * (F.col("x_n") + F.col("y_n")) - 1e-6)
+    on = [x[c] == y[c] for c in [*key, "block"]] + [
+        F.col("x_label") != F.col("y_label"), (x["i"] < x["j"]) | (F.col("x_id") < F.col("y_id")), _fits(F.col("x_n"), F.col("y_n")),
+        F.col("x_place") <= F.col("x_n") - common, F.col("y_place") <= F.col("y_n") - common,
+    ]
+    return x.join(y, on).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, similar: float) -> DataFrame:
@@ -219,29 +257,24 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR, rounds: int = 3) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (least doc_id of the class), copy_of (least doc_id with the same words).
-
-    Texts with the same words are one text from the start; empty and null texts are one class; texts shorter than five
-    words are only like themselves. A null doc_id stays null and comes last among ids. At first the members of a bucket
-    are compared with its least id, which is also a component's label; then, up to `rounds` in all or until no link is
-    new, components that share a bucket by their texts with most company there (the original of many copies has most).
-    At last all pairs of a bucket that are not yet in one component are compared, so no candidate pair is left out.
-    """
-    sk = stored(_sketches(docs), "sketches")
-    texts = stored(sk.groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n")), "texts")
-    own = sk.join(texts.where("n > 0").select("id", F.col("key").alias("own")), "id").where("key = own").dropDuplicates(["id", "key"])
+def _classes(docs: DataFrame, mark: Column, similar: float, rounds: int) -> DataFrame:
+    """id, mark, key, class_key, class_id, copy_of of each row of docs."""
+    sk = stored(_sketches(docs, mark), "sketches")
+    best = F.min(F.struct("id", "mark")).alias("row")
+    # the number is fixed by being written; it stands for the text's words, doc_ids come back at the end alone
+    texts = stored(sk.groupBy("key").agg(best, F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("text", F.monotonically_increasing_id()), "texts")
     size = F.count("*").over(Window.partitionBy("band"))
-    members = stored(own.select("id", "n", F.explode("bands").alias("band")).withColumn("company", size).where("company > 1"), "members")
+    banded = texts.select(F.col("text").alias("id"), "n", F.explode("bands").alias("band"))
+    members = stored(banded.withColumn("company", size).where("company > 1"), "members")
     pairs = stored(_pairs(members.withColumn("rank", -F.col("id"))), "pairs")
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), "text")
 
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"].to_numpy(), "body": [w.tobytes() for w in word_hashes(b["text"].tolist())]})
+            yield pd.DataFrame({"id": b["number"].to_numpy(), "body": [w.tobytes() for w in word_hashes(b["text"].tolist())]})
 
-    wanted = members.select("id").distinct()
-    bodies = stored(ids.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(body, "id long, body binary"), "bodies")
+    wanted = members.select(F.col("id").alias("number")).distinct().join(texts.select(F.col("text").alias("number"), "row.*"), "number")
+    rows = docs.select(_id(), mark.alias("mark"), "text").join(wanted, ["id", "mark"]).groupBy("number").agg(F.first("text").alias("text"))
+    bodies = stored(rows.mapInPandas(body, "id long, body binary"), "bodies")
 
     links = stored(_verified(pairs, bodies, similar), "links")
     tried, labels = pairs, components(links)
@@ -252,7 +285,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, rounds: int = 3)
             firsts = tag().join(ranks, "id").groupBy("band", "label").agg(F.max_by(F.struct("id", "n", "rank"), F.struct(F.col("rank"), F.xxhash64("id"))).alias("f"))
             more = _pairs(firsts.select("band", "f.*"))
         else:
-            more = _apart(tag())
+            more = _apart(tag(), bodies, similar)
         more = stored(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not more.limit(1).count():
             continue
@@ -261,16 +294,32 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, rounds: int = 3)
         if found.limit(1).count():
             links = stored(links.unionByName(found), "links")
             labels = components(links)
-    classes = texts.join(labels, "id", "left").select("key", F.col("id").alias("copy_of"), F.coalesce("label", "id").alias("class_id"))
-    out = sk.select("id", "key").join(classes, "key")
-    real = lambda c: F.when(F.col(c) != NONE, F.col(c))
-    return out.select(real("id").alias("doc_id"), real("class_id").alias("class_id"), real("copy_of").alias("copy_of"))
+    named = texts.join(labels.withColumnRenamed("id", "text"), "text", "left").withColumn("label", F.coalesce("label", "text"))
+    lead = named.groupBy("label").agg(F.min("key").alias("class_key"), F.min("row.id").alias("class_id"), F.min("row").alias("lead"))
+    classes = named.select("key", "label", F.col("row.id").alias("copy_of")).join(lead, "label").drop("label")
+    return sk.select("id", "mark", "key").join(classes, "key")
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, rounds: int = 2) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (least doc_id of the class), copy_of (least doc_id with the same words),
+    class_key (hexadecimal; tells classes apart also where doc_ids are null or repeat).
+
+    Texts with the same words are one text from the start; empty and null texts are one class; texts shorter than five
+    words are only like themselves. Classes are of texts, not of ids: rows with one doc_id and unlike texts are in classes
+    of their own. A null doc_id stays null; a class whose doc_ids are all null has a null class_id. An empty table gives no
+    row. At first the members of a bucket are compared with one of them; then, `rounds` in all, components that share
+    a bucket by their texts with most company there (the original of many copies has most); at last all pairs of a bucket
+    not yet in one component that can be alike at all (see _apart). No link between texts that share a band is left out.
+    """
+    real = lambda c: F.when(F.col(c) != NONE, F.col(c)).alias(c)
+    out = _classes(docs, F.xxhash64("text"), similar, rounds).withColumn("doc_id", F.col("id"))
+    return out.select(real("doc_id"), real("class_id"), real("copy_of"), F.lower(F.hex("class_key")).alias("class_key"))
 
 
 def representatives(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """`docs` with one document of each class: the one with the least doc_id. Of rows with one doc_id one stays; rows
-    without a doc_id cannot be named by a class and stay."""
-    kept = near_duplicates(docs, similar).where("doc_id = class_id").select("doc_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    out = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """`docs` with one document of each class: that with the least doc_id (a null one comes last; of rows with one doc_id
+    the one with the least hash of its columns; of rows alike in all columns one)."""
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    lead = _classes(docs, mark, similar, 2).select("lead.*").distinct().toDF("_id", "_mark")
+    kept = docs.withColumn("_id", _id()).withColumn("_mark", mark).join(lead, ["_id", "_mark"], "left_semi")
+    return kept.dropDuplicates(["_id", "_mark"]).select(*docs.columns)

@@ -81,7 +81,7 @@ def test_family_whose_original_has_a_middle_id(spark):
 
 
 def test_large_bucket_without_a_hub(spark, monkeypatch):
-    monkeypatch.setattr(M, "BLOCK", 4)
+    monkeypatch.setattr(M, "BLOCK", 2)
     base = [f"w{i}" for i in range(150)]
     rng = random.Random(3)
     texts = []
@@ -97,6 +97,57 @@ def test_large_bucket_without_a_hub(spark, monkeypatch):
     assert len(pairs) == 20 and {i: min([i, *(a for a, b in pairs if b == i)]) for i in range(40)} == got
 
 
+def classes(df):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.class_id, r.class_key) for r in M.near_duplicates(df).collect())
+
+
+def test_texts_without_a_lead_that_links(spark):
+    """20 texts alike among themselves, 40 relatives of lower id that are like none: one class of 20."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(300)]
+    far, near = [], []
+    for _ in range(40):
+        out = list(base)
+        for at in rng.sample(range(0, 300, 5), 14):
+            out[at] = f"far{rng.randint(0, 10**9)}"
+        far.append(" ".join(out))
+    for _ in range(20):
+        out = list(base)
+        for at in range(3, 300, 30):
+            out[at] = f"kin{at}"
+        out[rng.randrange(300)] = f"own{rng.randint(0, 10**9)}"
+        near.append(" ".join(out))
+    df = spark.createDataFrame(list(enumerate(far + near)), "doc_id long, text string").repartition(4)
+    sh = [M.shingles(w) for w in M.word_hashes(far + near)]
+    want = list(range(60))
+    for j in range(60):
+        for i in range(j):
+            if M.similarity(sh[i], sh[j]) >= 0.8:
+                want = [want[i] if x == want[j] else x for x in want]
+    want = {i: min(k for k in range(60) if want[k] == want[i]) for i in range(60)}
+    assert {r.doc_id: r.class_id for r in M.near_duplicates(df).collect()} == want and len(set(want.values())) == 41
+
+
+def test_null_and_repeated_ids_do_not_merge_unlike_texts(spark):
+    words = [f"w{i}" for i in range(80)]
+    a, near, other = " ".join(words), " ".join(words[:-1] + ["end"]), " ".join(f"x{i}" for i in range(60))
+    got = classes(spark.createDataFrame([(1, a), (None, near), (None, other), (5, near), (5, other)], "doc_id long, text string"))
+    assert [(x[0], x[1], x[2]) for x in got] == [(False, 1, 1), (False, 5, 1), (False, 5, 5), (True, 0, 1), (True, 0, 5)]
+    assert len({x[3] for x in got}) == 2
+    got = classes(spark.createDataFrame([(None, a), (None, near), (None, other)], "doc_id long, text string"))
+    assert [x[2] for x in got] == [None] * 3 and len({x[3] for x in got}) == 2
+
+
+def test_representatives(spark):
+    words = [f"w{i}" for i in range(80)]
+    a, near, other = " ".join(words), " ".join(words[:-1] + ["end"]), " ".join(f"x{i}" for i in range(60))
+    rows = [(3, near, "u"), (1, a, "u"), (1, a, "u"), (None, near, "u"), (None, other, "v"), (7, None, "w"), (8, "", "w"), (9, "lone", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    got = M.representatives(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.where("doc_id in (1, 7, 9) or text like 'x0%'").distinct().collect()))
+
+
 def test_edges(spark):
     t = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(None, t), (3, t), (3, t), (5, None), (6, "")], "doc_id long, text string")
