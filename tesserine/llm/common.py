@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import math
 import tempfile
 import time
 import uuid
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,27 +23,77 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or a local folder of our own in tests."""
+    """The folder that all executors share: spark.checkpoint.dir of the session; in local mode a folder of our own where
+    that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = jvm_dir.get() if jvm_dir.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tesserine-checkpoint-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Scratch paths that exist; removed by discard() or at the driver's end.
+_scratch: dict[str, SparkSession] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tesserine-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed at the driver's end."""
+    if not _scratch:
+        atexit.register(_sweep)
+    path = f"{shared_dir(spark)}/tesserine-{name}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
+
+
+def _remove(path: str) -> None:
+    spark = _scratch.pop(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _sweep() -> None:
+    for path in list(_scratch):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: the lineage ends there and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Removes what stored() wrote for frames that nothing reads any more."""
+    for df in dfs:
+        if getattr(df, "stored_at", None) in _scratch:
+            _remove(df.stored_at)
+
+
+def numbered(rows: DataFrame, keys: list[Column | str]) -> DataFrame:
+    """rows, stored, with their place in the order of the keys as `_at` (0, 1, ...), without a window over all of them.
+
+    Rows are range partitioned and sorted; a partition's rows are counted on from the partitions before it. Rows that are
+    equal in all keys are in any order.
+    """
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_n", F.monotonically_increasing_id())
+    dealt = stored(dealt, "numbered").withColumn("_part", F.shiftright("_n", 33))
+    sizes = sorted((r[0], r[1]) for r in dealt.groupBy("_part").count().collect())  # a row for each partition
+    offsets, total = [], 0
+    for part, n in sizes:
+        offsets.append((part, total))
+        total += n
+    table = rows.sparkSession.createDataFrame(offsets, "_p long, _offset long")
+    at = F.col("_n").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_offset")
+    return dealt.join(F.broadcast(table), dealt["_part"] == table["_p"]).withColumn("_at", at).drop("_n", "_part", "_p", "_offset")
 
 
 def release(spark: SparkSession) -> None:
@@ -62,38 +118,82 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def successors(df: DataFrame, order: str, carry: list[str], make: Callable[[DataFrame], DataFrame], group: list[str] = (), width: int = 64) -> DataFrame:
-    """make(df) with `next_value`: the struct that the next row by the integer column `order` within `group` carries.
+#: Characters of the texts that a worker splits at once; one longer text is a run of its own.
+CHUNK_CHARS = 4_000_000
+
+
+def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of at most `most` characters together, or of one longer text."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if len(texts) > start:
+        yield start, len(texts)
+
+
+def least_hashes(df: DataFrame, by: str, k: int) -> dict[Any, set[int]]:
+    """Of each value of the column `by` (null left out): the k doc_ids with the least hashes (all, if they are fewer).
+
+    Values must be few. Counts come first; then only doc_ids whose hash is below a bound, at which about 4 k of a value are
+    expected, are sent to the driver. Where repeated doc_ids leave fewer than k below it, the bound grows.
+    """
+    h, known = F.xxhash64("doc_id"), df.where(F.col(by).isNotNull() & F.col("doc_id").isNotNull())
+    open_ = {r[0]: min(1.0, 4 * k / r[1]) for r in known.groupBy(by).count().collect()}
+    out: dict[Any, set[int]] = {}
+    while open_:
+        near = reduce(Column.__or__, [(F.col(by) == v) & (h <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))) for v, share in open_.items()])
+        found: dict[Any, list[tuple[int, int]]] = {v: [] for v in open_}
+        for r in known.where(near).select(by, h.alias("h"), "doc_id").distinct().collect():
+            found[r[0]].append((r[1], r[2]))
+        out |= {v: {i for _, i in sorted(rows)[:k]} for v, rows in found.items()}
+        open_ = {v: min(1.0, 16 * share) for v, share in open_.items() if share < 1 and len(found[v]) < k}
+    return out
+
+
+def successors(df: DataFrame, order: str, carry: list[str], make: Callable[[DataFrame], DataFrame], blocks: int | None = None) -> DataFrame:
+    """make(df) with `next_value`: the struct that the next row by the integer column `order` carries.
 
     make() adds a struct column `_value` from the columns `carry`. Rows of equal order are put in the order of the hash of
-    what they carry; a null order comes first; the last row of a group has a null next_value. No window spans a whole
-    group: rows are dealt to blocks of `width` consecutive keys, a window inside a block finds all neighbours but the
-    last one's, and that one is the first row of the next block that has rows, found among the blocks' first rows alone
-    (by the same rule with blocks of blocks, so that windows stay short there too).
+    what they carry; a null order comes first; the last row has a null next_value. No window spans the table: the order is
+    cut into blocks at quantiles (an order that many rows share is cut by the hash), a window inside a block finds all
+    neighbours but the last one's, and that one is the first row of the next block. Only rows that are equal in order and
+    in what they carry stay together whatever their number. What goes to the driver is a number for each block.
     """
+    n = blocks or 4 * shuffle_partitions(df.sparkSession)
     keyed = df.withColumn("_order", F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)))).withColumn("_tie", F.xxhash64(*carry))
-    keyed = keyed.withColumn("_block", F.expr(f"_order div {width}"))
-    keys = [F.col(c) for c in group]
-    inside = make(keyed).withColumn("_inside", F.lead("_value").over(Window.partitionBy(*keys, "_block").orderBy("_order", "_tie")))
+    shares = [i / n for i in range(1, n)]
+    cuts = keyed.agg(F.percentile_approx("_order", shares, 20 * n)).first()[0] if shares else []
+    keyed = keyed.withColumn("_block", _block(sorted(cuts or [])))
+    inside = make(keyed).withColumn("_inside", F.lead("_value").over(Window.partitionBy("_block").orderBy("_order", "_tie")))
     first = F.min_by(F.struct(*[F.col(c) for c in carry]), F.struct("_order", "_tie"))
-    heads = keyed.groupBy(*keys, "_block").agg(first.alias("_head"))
-    heads = make(heads.select(*group, "_block", "_head.*")).select(*group, "_block", "_value")
-    after = _next_blocks(heads, list(group), width)
-    on = [inside[c].eqNullSafe(after[c]) for c in group] + [inside["_block"] == after["_block"]]
-    joined = inside.join(after, on, "left").select(*[inside[c] for c in inside.columns], after["_next"])
+    heads = stored(keyed.groupBy("_block").agg(first.alias("_head")).select("_block", "_head.*"), "heads")
+    known = sorted(r[0] for r in heads.select("_block").collect())
+    heads = make(heads).select(F.col("_block").alias("_after"), F.col("_value").alias("_next"))
+    chain = df.sparkSession.createDataFrame(list(zip(known, known[1:])), "_b long, _after long")
+    after = chain.join(heads, "_after").select("_b", "_next")
+    joined = inside.join(after, inside["_block"] == after["_b"], "left").drop("_b")
     return joined.withColumn("next_value", F.coalesce("_inside", "_next")).drop("_inside", "_next", "_value", "_block", "_order", "_tie")
 
 
-def _next_blocks(heads: DataFrame, group: list[str], width: int, levels: int = 3) -> DataFrame:
-    """Of each block of `heads` the next block's first value as `_next`, by blocks of blocks up to `levels` high."""
-    keys = [F.col(c) for c in group]
-    if levels == 1:
-        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_block")
-        return heads.select(*group, "_block", F.lead("_value").over(w).alias("_next"))
-    low = heads.withColumn("_up", F.expr(f"_block div {width}"))
-    low = low.withColumn("_inside", F.lead("_value").over(Window.partitionBy(*keys, "_up").orderBy("_block")))
-    tops = heads.groupBy(*keys, F.expr(f"_block div {width}").alias("_up")).agg(F.min_by("_value", "_block").alias("_value"))
-    high = _next_blocks(tops.withColumnRenamed("_up", "_block"), group, width, levels - 1)
-    high = high.withColumnRenamed("_block", "_up").withColumnRenamed("_next", "_high")
-    on = [low[c].eqNullSafe(high[c]) for c in group] + [low["_up"] == high["_up"]]
-    return low.join(high, on, "left").select(*[low[c] for c in group], low["_block"], F.coalesce(low["_inside"], high["_high"]).alias("_next"))
+def _block(cuts: list[int]) -> Column:
+    """A number that grows with (_order, _tie): the cuts below _order and, where cuts repeat _order, a part of the hash."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    times = Counter(cuts)
+    distinct = sorted(times)
+    wide = max(1, math.isqrt(len(distinct)))
+    groups = [distinct[i : i + wide] for i in range(0, len(distinct), wide)]
+    table = F.array(*[F.array(*[F.struct(F.lit(c).cast("long").alias("cut"), F.lit(times[c]).cast("long").alias("times")) for c in g]) for g in groups])
+    tops = F.array(*[F.lit(g[0]).cast("long") for g in groups])
+    order = F.col("_order")
+    row = F.greatest(F.size(F.filter(tops, lambda c: c <= order)) - 1, F.lit(0))
+    own = F.filter(F.get(table, row), lambda x: x["cut"] <= order)
+    last = F.element_at(F.when(F.size(own) > 0, own), -1)
+    # an order that is itself a cut has a block of its own, in as many parts as the cut has repetitions
+    place = 2 * (row * wide + F.size(own)) - F.when(last["cut"] == order, 1).otherwise(0)
+    part = F.when(last["cut"] == order, F.shiftright((F.shiftright("_tie", 32) + F.lit(2**31)) * last["times"], 32)).otherwise(F.lit(0))
+    return (place.cast("long") * F.lit(2**31) + part).cast("long")
