@@ -1,10 +1,11 @@
 """Benchmark decontamination by template windows.
 
-Numbers, names and units become typed placeholders, so a question with other numbers or names has the same template. Windows
-of WIDTH template tokens of the benchmark are hashed and joined with those of each text; matches on one diagonal (text place
-minus item place) must fill equal slots of the item with equal values, else they are not a re-parameterised copy and only
-runs of WIDTH or more equal tokens count there. Windows of the benchmark with too few literal tokens are looked up by their
-exact values.
+Numbers, names and units become typed placeholders, so a question with other numbers or names has the same template. A token's
+type depends on itself (and, for a unit, on the number before it) alone: any capitalised word counts as a name. Windows of
+WIDTH tokens of the benchmark are hashed by template, where they have enough literal tokens, and by their exact tokens, and
+both hashes are joined with those of each text. Matches within a region of the text and on one diagonal (text place minus item
+place) must fill equal slots of the item with equal values, else they are not a re-parameterised copy and only runs of WIDTH
+or more equal tokens count there.
 """
 
 from __future__ import annotations
@@ -26,22 +27,42 @@ from .common import safe_text
 WIDTH, LITERAL, ENOUGH, SHARE = 8, 4, 13, 0.6
 #: Characters of the benchmark that one broadcast block holds at most (each item whole).
 BLOCK_CHARS = 16_000_000
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|\w+|[.!?\n]")
-MARKS = frozenset(".!?\n")
-#: Fixed values.
-NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hrs ms second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers mile miles gram grams kilogram kilograms pound pounds liter liters litre litres dollar dollars euro euros cent cents percent degree degrees kmh mph w kw v hz mb gb".split())
-
-PLAIN, NUMBER, TITLE, MARK = range(4)
-_SLOT = {1: np.uint64(0x517CC1B727220A95), 2: np.uint64(0x2545F4914F6CDD1D), 3: np.uint64(0x9E6C63D0876A9A35)}  # number, name, unit
+#: Bits of the table that tells, before the search, whether a hash can be in a block at all.
+SIEVE_BITS = 22
+TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|\w+")
+#: Number words and units in English, German, French and Spanish.
+NUMBER_WORDS = frozenset("""
+zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen
+nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
+null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn
+zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen
+zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante
+soixante cent mille millions
+cero dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta
+sesenta setenta ochenta noventa cien ciento mil millón millones
+""".split())
+UNITS = frozenset("""
+mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hrs ms kmh mph w kw v hz mb gb
+second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer
+kilometers mile miles gram grams kilogram kilograms pound pounds liter liters litre litres dollar dollars euro euros cent
+cents percent degree degrees
+sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren kilometern gramm
+kilogramm pfund prozent grad
+seconde secondes heure heures jour jours semaine semaines mois an ans année années mètre mètres kilomètre kilomètres gramme
+grammes litres degré degrés
+segundo segundos minuto minutos hora horas día días semana semanas mes meses año años metro metros kilómetro kilómetros gramo
+gramos litro litros euros grado grados
+""".split())
+
+LITERAL_TOKEN, NUMBER, NAME, UNIT = range(4)
+_SLOT = np.array([0, 0x517CC1B727220A95, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35], np.uint64)
 
 
 def _kind(token: str) -> int:
-    if token in MARKS:
-        return MARK
+    """The slot that a token fills by itself, wherever it stands, so that an item and its copies have one template."""
     if token[0].isdigit() or token.lower() in NUMBER_WORDS:
         return NUMBER
-    return TITLE if len(token) > 1 and token[0].isupper() and token[1:].islower() else PLAIN
+    return NAME if len(token) > 1 and token[0].isupper() and token[1:].islower() else LITERAL_TOKEN
 
 
 @dataclass
@@ -49,7 +70,7 @@ class Templates:
     """Template tokens of some texts, one after the other."""
 
     literal: np.ndarray  # hash of the lower-case token
-    slot: np.ndarray  # 0 literal, 1 number, 2 name, 3 unit
+    slot: np.ndarray
     owner: np.ndarray
     ends: np.ndarray  # of each text, where its tokens end
 
@@ -58,100 +79,121 @@ class Templates:
         split = [TOKEN.findall(t or "") for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         codes, distinct = pd.factorize(np.array([w for ws in split for w in ws], dtype=object))
+        owner = np.repeat(np.arange(len(split)), sizes)
+        if not len(codes):
+            return cls(np.zeros(0, np.uint64), np.zeros(0, np.int64), owner, np.cumsum(sizes))
         kinds = np.fromiter(map(_kind, distinct), np.int64, len(distinct))
         hashes = np.fromiter((xxhash.xxh64_intdigest(w.lower()) for w in distinct), np.uint64, len(distinct))
         units = np.fromiter((w.lower() in UNITS for w in distinct), bool, len(distinct))
-        owner = np.repeat(np.arange(len(split)), sizes)
-        kind = kinds[codes] if len(codes) else np.zeros(0, np.int64)
-        first = np.ones(len(codes), bool)
-        first[1:] = (owner[1:] != owner[:-1]) | (kind[:-1] == MARK)
-        inner = (kind == TITLE) & ~first
-        seen = np.unique(owner[inner] * (len(distinct) + 1) + codes[inner])
-        name = (kind == TITLE) & np.isin(owner * (len(distinct) + 1) + codes, seen)
-        unit = np.zeros(len(codes), bool)
-        if len(codes):
-            unit[1:] = units[codes[1:]] & (kind[:-1] == NUMBER) & (owner[1:] == owner[:-1])
-        slot = np.where(kind == NUMBER, 1, np.where(unit, 3, np.where(name, 2, 0)))
-        keep = kind != MARK
-        counts = np.bincount(owner[keep], minlength=len(split))
-        return cls(hashes[codes][keep] if len(codes) else np.zeros(0, np.uint64), slot[keep], owner[keep], np.cumsum(counts))
-
-    def windows(self, width: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the windows of one text, their hashes, and whether they have enough literal tokens; `exact` hashes the
-        values in the slots."""
+        slot = kinds[codes]
+        after_number = np.zeros(len(codes), bool)
+        after_number[1:] = (slot[:-1] == NUMBER) & (owner[1:] == owner[:-1])
+        slot[after_number & units[codes]] = UNIT
+        return cls(hashes[codes], slot, owner, np.cumsum(sizes))
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the windows of one text; their hashes by exact tokens and by template; and whether they are templates
+        at all: with enough literal tokens, and a slot."""
         n = len(self.literal) - width + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-        token = self.literal.copy()
-        for s, h in ({} if exact else _SLOT).items():
-            token[self.slot == s] = h
-        h = np.full(n, np.uint64(width))
-        for i in range(width):
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + token[i : i + n]
-        plain = np.concatenate(([0], np.cumsum(self.slot == 0)))
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
         at = np.flatnonzero(self.owner[:n] == self.owner[width - 1 :])
-        return at, h[at], (plain[width:] - plain[:-width])[at] >= min(LITERAL, (width + 1) // 2)
+        plain = np.concatenate(([0], np.cumsum(self.slot == LITERAL_TOKEN)))
+        literal = (plain[width:] - plain[:-width])[at]
+        both = []
+        for token in (self.literal, np.where(self.slot == LITERAL_TOKEN, self.literal, _SLOT[self.slot])):
+            h = np.full(n, np.uint64(width))
+            for i in range(width):
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + token[i : i + n]
+            both.append(h[at])
+        return at, *both, (literal >= min(LITERAL, (width + 1) // 2)) & (literal < width)
+
+
+class Table:
+    """Hashes of windows and where they are."""
+
+    def __init__(self, keys: np.ndarray, places: np.ndarray):
+        by = np.argsort(keys, kind="stable")
+        self.keys, self.places = keys[by], places[by]
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[keys >> np.uint64(64 - SIEVE_BITS)] = True
+
+    def matches(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the texts, place in the items) of all equal windows."""
+        live = np.flatnonzero(self.sieve[h >> np.uint64(64 - SIEVE_BITS)])
+        low = np.searchsorted(self.keys, h[live])
+        n = np.searchsorted(self.keys, h[live], side="right") - low
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at[live], n), self.places[np.repeat(low, n) + inner]
 
 
 class Benchmark:
     """Windows of the items of one block; items shorter than WIDTH tokens have one window of their own width. Each window is
-    in the table of templates or, with too few literal tokens, in that of exact values."""
+    in a table by its exact tokens and, with a slot and enough literal tokens, in one by its template."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         self.ids, self.t = np.array(ids, np.int64), Templates.of(texts)
         self.begin = np.concatenate(([0], self.t.ends[:-1])) if len(ids) else np.zeros(0, np.int64)
         self.size = self.t.ends - self.begin if len(ids) else self.begin
-        self.tables: list[tuple[int, bool, np.ndarray, np.ndarray]] = []
+        self.tables: list[tuple[int, Table, Table]] = []
         for width in sorted({WIDTH, *(int(x) for x in self.size if 0 < x < WIDTH)}):
-            for exact in (False, True):
-                at, h, rich = self.t.windows(width, exact)
-                own = (rich != exact) & ((width == WIDTH) | (self.size[self.t.owner[at]] == width))
-                at, h = at[own], h[own]
-                by = np.argsort(h, kind="stable")
-                if len(at):
-                    self.tables.append((width, exact, h[by], at[by]))
+            at, exact, template, rich = self.t.windows(width)
+            own = (width == WIDTH) | (self.size[self.t.owner[at]] == width)
+            if own.any():
+                self.tables.append((width, Table(exact[own], at[own]), Table(template[own & rich], at[own & rich])))
+
+    def pairs(self, t: Templates) -> pd.DataFrame:
+        """doc, item, mine, theirs: the tokens of equal windows, each pair of places once."""
+        found = []
+        for width, exact, template in self.tables:
+            at, h, g, rich = t.windows(width)
+            for table, where, keys in ((exact, at, h), (template, at[rich], g[rich])):
+                mine, theirs = table.matches(where, keys)
+                if len(mine):
+                    step = np.tile(np.arange(width), len(mine))
+                    found.append((np.repeat(mine, width) + step, np.repeat(theirs, width) + step))
+        mine, theirs = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pd.DataFrame({"doc": t.owner[mine], "item": self.t.owner[theirs], "mine": mine, "theirs": theirs}).drop_duplicates()
 
     def hits(self, texts: list[str | None]) -> list[list[tuple[int, int, float, bool]]]:
-        """Of each text: (item_id, matched tokens, share of the item, all slots equal), best first by item_id."""
+        """Of each text: (item_id, matched tokens, share of the item, verbatim) of the best region for each item, by item.
+
+        A region is a run of matches with gaps of at most the item's size. Verbatim: on one diagonal all tokens from the
+        first matched to the last are equal.
+        """
         out: list[list[tuple[int, int, float, bool]]] = [[] for _ in texts]
         t = Templates.of(texts)
-        found = []
-        for width, exact, keys, places in self.tables:
-            at, h, rich = t.windows(width, exact)
-            if not exact:
-                at, h = at[rich], h[rich]
-            if not len(at):
-                continue
-            low = np.searchsorted(keys, h)
-            live = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == h)
-            if len(live):
-                low, high = low[live], np.searchsorted(keys, h[live], side="right")
-                n = high - low
-                mine = np.repeat(at[live], n)
-                theirs = places[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-                found.append((np.repeat(mine, width) + np.tile(np.arange(width), len(mine)), np.repeat(theirs, width) + np.tile(np.arange(width), len(mine))))
-        if not found:
+        pair = self.pairs(t)
+        if not len(pair):
             return out
-        mine, theirs = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        pair = pd.DataFrame({"doc": t.owner[mine], "item": self.t.owner[theirs], "mine": mine, "theirs": theirs}).drop_duplicates()
+        pair = pair.sort_values(["doc", "item", "mine"], kind="stable")
+        step = pair[["doc", "item", "mine"]].diff().to_numpy()
+        far = (step[:, 0] != 0) | (step[:, 1] != 0) | (step[:, 2] > np.maximum(self.size[pair["item"]], 2 * WIDTH))
+        pair["region"] = np.cumsum(far)
         pair["line"] = pair["mine"] - pair["theirs"]
         pair["slot"], pair["want"], pair["got"] = self.t.slot[pair["theirs"]], self.t.literal[pair["theirs"]], t.literal[pair["mine"]]
-        slots = pair[pair["slot"] > 0]
-        values = slots.groupby(["doc", "item", "line", "slot", "want"])["got"].nunique()
-        torn = values[values > 1].reset_index()[["doc", "item", "line"]].drop_duplicates().assign(torn=True)
-        pair = pair.merge(torn, on=["doc", "item", "line"], how="left").sort_values(["doc", "item", "line", "theirs"])
+        slots = pair[pair["slot"] != LITERAL_TOKEN]
+        values = slots.groupby(["region", "line", "slot", "want"])["got"].nunique()
+        torn = values[values > 1].reset_index()[["region", "line"]].drop_duplicates().assign(torn=True)
+        pair = pair.merge(torn, on=["region", "line"], how="left").sort_values(["region", "line", "theirs"])
         pair["torn"] = pair["torn"].notna()
         equal = (pair["want"] == pair["got"]).to_numpy()
-        steps = pair[["doc", "item", "line", "theirs"]].diff().to_numpy()
-        run = np.cumsum(~((steps[:, :3] == 0).all(1) & (steps[:, 3] == 1) & equal & np.roll(equal, 1)))
+        steps = pair[["region", "line", "theirs"]].diff().to_numpy()
+        run = np.cumsum(~((steps[:, :2] == 0).all(1) & (steps[:, 2] == 1) & equal & np.roll(equal, 1)))
         long = np.bincount(run)[run] >= np.minimum(WIDTH, self.size[pair["item"]])
-        pair["same"] = equal & ~pair["torn"]
+        pair["equal"] = equal
         pair = pair[~pair["torn"] | (equal & long)]
-        rows = pair.groupby(["doc", "item"]).agg(n=("theirs", "nunique"), same=("same", "all")).reset_index()
-        for doc, item, n, same in rows.itertuples(index=False):
-            size = int(self.size[item])
-            if n >= min(ENOUGH, size) or n >= SHARE * size:
-                out[doc].append((int(self.ids[item]), int(n), n / size, bool(same)))
+        lines = pair.groupby(["doc", "item", "region", "line"]).agg(low=("theirs", "min"), high=("theirs", "max"), same=("equal", "sum")).reset_index()
+        lines["verbatim"] = lines["same"] == lines["high"] - lines["low"] + 1
+        whole = lines.groupby("region").agg(low=("low", "min"), high=("high", "max"))
+        lines["verbatim"] &= (lines["low"] == whole["low"].loc[lines["region"]].to_numpy()) & (lines["high"] == whole["high"].loc[lines["region"]].to_numpy())
+        rows = pair.groupby(["doc", "item", "region"]).agg(n=("theirs", "nunique")).reset_index()
+        rows["verbatim"] = rows["region"].map(lines.groupby("region")["verbatim"].any())
+        size = self.size[rows["item"]]
+        rows = rows[(rows["n"] >= np.minimum(ENOUGH, size)) | (rows["n"] >= SHARE * size)]
+        rows = rows.sort_values(["doc", "item", "n", "verbatim", "region"], ascending=[True, True, False, False, True]).drop_duplicates(["doc", "item"])
+        for doc, item, _, n, verbatim in rows.itertuples(index=False):
+            out[doc].append((int(self.ids[item]), int(n), n / int(self.size[item]), bool(verbatim)))
         return out
 
 
@@ -190,9 +232,12 @@ def leaks(benchmark: DataFrame, text: Column) -> Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per contaminated document and item: doc_id, item_id, matched, share, exact. Clean documents give no row.
+    """One row per contaminated document and item: doc_id, item_id, matched (tokens of the item in its best region of the
+    text), share (of the item), exact (that region is verbatim). Clean documents give no row.
 
-    Narrow over docs: no shuffle. Repeated rows give repeated rows; a null doc_id stays null.
+    Narrow over docs: no shuffle. Repeated rows give repeated rows; a null doc_id stays null; null and empty texts and an
+    empty table or benchmark give no row; texts of any length are read whole. Of regions with equally many matched tokens
+    a verbatim one, then the first is reported. Repeated items are items each.
     """
     return docs.select("doc_id", F.explode(leaks(benchmark, safe_text())).alias("hit")).select("doc_id", "hit.*")
 

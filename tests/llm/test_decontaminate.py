@@ -35,25 +35,108 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert sorted(map(str, D.report(docs, bench).collect())) == whole
 
 
-def test_windows_against_brute_force():
+def brute(items, text):
+    """{item: (matched, verbatim)} by comparing all windows of all items with all of the text, token by token."""
+    import re
+
+    def template(text):
+        words, out = re.findall(r"\d+(?:[.,:/]\d+)*|\w+", text), []
+        for w in words:
+            low = w.lower()
+            kind = "number" if w[0].isdigit() or low in D.NUMBER_WORDS else "name" if len(w) > 1 and w[0].isupper() and w[1:].islower() else "word"
+            out.append(("unit" if low in D.UNITS and out and out[-1][0] == "number" else kind, low))
+        return out
+
+    doc, found = template(text), {}
+    for k, item in enumerate(items):
+        it = template(item)
+        width = min(8, len(it))
+        pairs = set()
+        for i in range(len(doc) - width + 1):
+            for j in range(len(it) - width + 1):
+                a, b = doc[i : i + width], it[j : j + width]
+                plain = sum(x[0] == "word" for x in b)
+                masked = all(x == y if "word" in (x[0], y[0]) else x[0] == y[0] for x, y in zip(a, b))
+                if width and ([x[1] for x in a] == [y[1] for y in b] or masked and min(4, (width + 1) // 2) <= plain < width):
+                    pairs |= {(i + x, j + x) for x in range(width)}
+        regions, last = [], None
+        for i, j in sorted(pairs):
+            if last is None or i - last > max(len(it), 16):
+                regions.append(set())
+            regions[-1].add((i, j))
+            last = i
+        best = None
+        for region in regions:
+            kept = set()
+            for line in {i - j for i, j in region}:
+                own = sorted(p for p in region if p[0] - p[1] == line)
+                filled = {}
+                for i, j in own:
+                    if it[j][0] != "word":
+                        filled.setdefault(it[j], set()).add(doc[i][1])
+                if any(len(v) > 1 for v in filled.values()):
+                    runs, before = [], None
+                    for i, j in own:
+                        if doc[i][1] == it[j][1]:
+                            if before != j - 1:
+                                runs.append([])
+                            runs[-1].append((i, j))
+                            before = j
+                    own = [p for r in runs if len(r) >= width for p in r]
+                kept |= set(own)
+            if kept:
+                low, high = min(j for _, j in kept), max(j for _, j in kept)
+                verbatim = any(all((line + j, j) in kept and doc[line + j][1] == it[j][1] for j in range(low, high + 1)) for line in {i - j for i, j in kept})
+                best = max(best or (0, False), (len({j for _, j in kept}), verbatim))
+        if best and (best[0] >= min(13, len(it)) or best[0] >= 0.6 * len(it)):
+            found[k] = best
+    return found
+
+
+def test_windows_and_slots_against_brute_force():
     rng = random.Random(4)
-    words = [f"w{i}" for i in range(40)]
-    items = [" ".join(rng.choices(words, k=rng.randint(10, 30))) for _ in range(20)]
-    texts = []
-    for _ in range(60):
-        t = rng.choices(words, k=40)
+    words = [f"w{i}" for i in range(30)]
+    names, numbers = ["Anna", "Bert", "Cleo", "Dora"], ["3", "17", "two", "9"]
+
+    def token():
+        return rng.choices([rng.choice(words), rng.choice(names), rng.choice(numbers) + rng.choice(["", " km", " days"])], [8, 1, 1])[0]
+
+    items = [" ".join(token() for _ in range(rng.choice([3, 6, 10, 20, 30]))) for _ in range(20)]
+    kinds = set()
+    for n in range(150):
+        swap = {a: rng.choice(names if a in names else numbers) for a in names + numbers}
         src = rng.choice(items).split()
-        a = rng.randint(0, len(src) - 1)
-        texts.append(" ".join(t[:20] + src[a : a + rng.randint(1, 30)] + t[20:]))
-    got = D.Benchmark(list(range(20)), items).hits(texts)
-    for t, hits in zip(texts, got):
-        doc, want = t.split(), set()
-        for k, item in enumerate(items):
-            it = item.split()
-            covered = {j + x for i in range(len(doc) - 7) for j in range(len(it) - 7) if doc[i : i + 8] == it[j : j + 8] for x in range(8)}
-            if len(covered) >= min(13, len(it)) or len(covered) >= 0.6 * len(it):
-                want.add((k, len(covered)))
-        assert {(h[0], h[1]) for h in hits} == want
+        if n % 3:
+            src = [swap.get(w, w) if n % 3 == 1 or rng.random() < 0.5 else w for w in src]
+        a = rng.randint(0, len(src) // 2)
+        part = src[a : a + rng.randint(4, 30)]
+        filler = [token() for _ in range(60)]
+        text = " ".join(filler[:20] + part[: len(part) // 2] + filler[20 : 20 + rng.choice([0, 0, 1, 40])] + part[len(part) // 2 :])
+        got = {h[0]: (h[1], h[3]) for h in D.Benchmark(list(range(20)), items).hits([text])[0]}
+        assert got == brute(items, text), text
+        kinds |= {v[1] for v in got.values()}
+    assert kinds == {True, False}
+
+
+def test_probes():
+    one = "What is 12 + 7 - 3 + 19 - 4 + 8 + 22 - 6 + 31 ?"
+    two = "Anna met Bert and Cleo near Dora while Emil saw Fred and Gina"
+    marie = "Marie had some red apples at home. Marie gave two of them to her old friend and kept the others for later"
+    bench = D.Benchmark([1, 2, 3], [one, two, marie])
+    assert [h[0] for t in (one, two, marie) for h in bench.hits([t])[0]] == [1, 2, 3]
+    paula = bench.hits([marie.replace("Marie", "Paula")])[0]
+    assert [(h[0], h[2], h[3]) for h in paula] == [(3, 1.0, False)]
+    apart = "Marie had some red apples at home Marie " + FILL * 20 + " and kept the others for later and then"
+    assert bench.hits([apart])[0] == [] and bench.hits([marie.lower()])[0][0][2:] == (1.0, True)
+    german = D.Benchmark([1], ["Ein Zug fährt in zwei Stunden von hier nach dort und braucht dafür drei Liter, wie viel braucht er in vier Tagen"])
+    assert german.hits(["Ein Zug fährt in fünf Stunden von hier nach dort und braucht dafür sechs Liter, wie viel braucht er in acht Tagen"])[0][0][2] == 1.0
+
+
+def test_ties_and_long_texts():
+    text = ITEMS[1][1]
+    bench = D.Benchmark([1, 2], [text, text])
+    far = f"{text} {FILL} {FILL} {text} {FILL}" * 200
+    assert [(h[0], h[2], h[3]) for h in bench.hits([far])[0]] == [(1, 1.0, True), (2, 1.0, True)]
 
 
 def test_literal_runs_count_on_a_torn_diagonal():
