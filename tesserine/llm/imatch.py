@@ -13,10 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import safe_text, successors
+from .common import safe_text, stored, successors
 
 #: The band: terms in at least LEAST and at most MOST of the documents.
 LEAST, MOST = 0.005, 0.3
+#: Terms of a lexicon that goes into the plan.
+LITERALS = 300_000
 #: Of each hash of a term, these runs of bits decide on subsets; the term is in one if all its bits are 0.
 BITS, HASHES = (8, 8, 8, 6, 6, 6, 6, 4, 4, 4, 4), 3
 
@@ -27,16 +29,18 @@ def terms(text: Column) -> Column:
     return F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
 
 
-def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST, most: float = MOST) -> list[int]:
-    """Hashes of the terms within the band, counted over all documents.
+def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST, most: float = MOST) -> list[int] | DataFrame:
+    """Hashes of the terms within the band, counted over all documents: a list, or above LITERALS terms a table of `t`.
 
     At most (mean number of distinct terms of a document) / least of them exist, at any corpus size: each is in `least` of
-    all documents. That bound, some tens of thousands, is what lets them go to the driver and into the plan.
+    all documents.
     """
     n = docs.count()
     df = docs.select(F.explode(terms(safe_text(text))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     low, high = math.ceil(least * n), max(1, math.floor(most * n))
-    return [r[0] for r in df.where(F.col("df").between(low, high)).select("t").collect()]
+    words = stored(df.where(F.col("df").between(low, high)).select("t"), "lexicon")
+    few = [r[0] for r in words.limit(LITERALS + 1).collect()]
+    return few if len(few) <= LITERALS else words
 
 
 def _chosen(seed: int, at: int, bits: int) -> Callable[[Column], Column]:
@@ -59,10 +63,19 @@ def subset_hashes(known: Column) -> list[Column]:
     return out
 
 
-def with_fingerprint(df: DataFrame, text: Column, words: list[int], name: str) -> DataFrame:
+def known_terms(df: DataFrame, words: list[int] | DataFrame) -> DataFrame:
+    """df (with `_terms`) and `_known`: those terms, sorted, that the lexicon has. A list goes into the plan as a set, a
+    table is joined with the terms of each row."""
+    if isinstance(words, list):
+        return df.withColumn("_known", F.filter("_terms", lambda t: t.isin(words) if words else F.lit(False)))
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "terms")
+    held = rows.select("_row", F.explode("_terms").alias("t")).join(words, "t").groupBy("_row").agg(F.sort_array(F.collect_list("t")).alias("_known"))
+    return rows.join(held, "_row", "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<bigint>"))).drop("_row")
+
+
+def with_fingerprint(df: DataFrame, text: Column, words: list[int] | DataFrame, name: str) -> DataFrame:
     """df with `name`: array<bigint> of a hash for each subset; the last element is set only where all others are null."""
-    band = F.filter("_terms", lambda t: t.isin(words) if words else F.lit(False))
-    out = df.withColumn("_terms", F.sort_array(terms(text))).withColumn("_known", band)
+    out = known_terms(df.withColumn("_terms", F.sort_array(terms(text))), words)
     out = out.withColumn("_hashes", F.array(*subset_hashes(F.col("_known"))))
     alone = F.when(F.forall("_hashes", lambda x: x.isNull()), F.xxhash64("_terms"))
     return out.withColumn(name, F.concat("_hashes", F.array(alone))).drop("_terms", "_known", "_hashes")
