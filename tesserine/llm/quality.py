@@ -12,16 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, safe_text
+from .common import held_out, least_hashes, safe_text
 
 WIDTH, STEP, FILTERS = 8, 2, 16
 CHUNK, OVERLAP = 512, 64
-#: Training reads this many documents of each label at most (those with the least hash of doc_id) and of each document
-#: this many chunks at most, evenly spread.
-FIT_DOCS, FIT_CHUNKS, EPOCHS = 700, 12, 14
+#: Training reads this many documents of each label at most (those with the least hash of doc_id), whole.
+FIT_DOCS, EPOCHS = 700, 14
 
 
 def chunk_starts(n: int) -> np.ndarray:
@@ -109,32 +108,22 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, seed
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> tuple[list[list[bytes]], np.ndarray]:
-    """Chunks and labels of at most per_label learnable documents of each label.
+    """All chunks and the labels of at most per_label learnable documents of each label.
 
-    Ids are chosen among the labels first, by the least hash (each task keeps per_label of a label at most); only those
-    documents' texts are read. Documents without a label, with a null id or held out are never chosen.
+    Ids are chosen among the labels first, by the least hash; only those documents' texts are read. Rows without a label
+    (0 or 1) or with a null id or held out are never chosen, nor are ids that have both labels. Of rows that share an id
+    the text with the least hash is learnt from, once.
     """
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    w = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_label).select("doc_id", "quality").collect()
-    said = {r["doc_id"]: r["quality"] for r in sorted(chosen)}
-    if not said:
+    known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    ids = sorted(set().union(*least_hashes(known, "quality", per_label).values()))
+    if not ids:
         return [], np.zeros(0)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
-                raw = (t or "").encode("utf-8", "replace")
-                starts = chunk_starts(len(raw))
-                if len(starts) > FIT_CHUNKS:
-                    starts = starts[np.linspace(0, len(starts) - 1, FIT_CHUNKS).astype(int)]
-                out.append((i, [raw[s : s + CHUNK] for s in starts.tolist()]))
-            yield pd.DataFrame(out, columns=["doc_id", "chunks"])
-
-    own = docs.where(F.col("doc_id").isin(list(said))).select("doc_id", "text").mapInPandas(cut, "doc_id long, chunks array<binary>").collect()
-    own.sort(key=lambda r: (r["doc_id"], r["chunks"]))
-    return [[bytes(c) for c in r["chunks"]] for r in own], np.array([float(said[r["doc_id"]]) for r in own])
+    both = known.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
+    said = {r["doc_id"]: r["low"] for r in both.where("low = high").collect()}
+    own = docs.where(F.col("doc_id").isin(list(said))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
+    texts = [(r["doc_id"], r["text"].encode("utf-8", "replace")) for r in own.collect()]
+    texts.sort()
+    return [[raw[s : s + CHUNK] for s in chunk_starts(len(raw)).tolist()] for _, raw in texts], np.array([float(said[i]) for i, _ in texts])
 
 
 def predict(docs: DataFrame, net: Network) -> DataFrame:
@@ -150,7 +139,12 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> DataFrame:
-    """Trains on the learnable documents and scores all: doc_id, held_out, score, predicted (1 from 0.3 up)."""
+    """Trains on the learnable documents and scores all: doc_id, held_out, score, predicted (1 from 0.3 up).
+
+    One row per row of docs: repeated rows and ids give a row each, a null doc_id stays null and is not held out, a null
+    text is an empty one, a text of any length is read whole. Without any label to learn from all scores are 0.5; ids that
+    have both labels are not learnt from; an empty table gives no row.
+    """
     net = fit(*sample(docs, labels, per_label))
     out = predict(docs.select("doc_id", "text"), net)
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

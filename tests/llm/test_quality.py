@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tesserine.llm import quality as Q
+from tesserine.llm.common import held_out
 
 SF = "/root/testdata/sf0.1"
 
@@ -35,6 +36,48 @@ def test_held_out_accuracy(spark):
     assert auc > 0.9
 
 
+def test_probability_and_gradient_against_plain_python():
+    rng = np.random.default_rng(3)
+    net = Q.Network(rng.normal(0, 0.5, (Q.WIDTH, 257, Q.FILTERS)).astype(np.float32), rng.normal(size=2 * Q.FILTERS), 0.1)
+
+    def plain(raw, net=net):
+        body = list(raw) + [256] * (Q.WIDTH + Q.STEP)
+        positions = range((len(body) - Q.WIDTH) // Q.STEP + 1)
+        r = [[sum(float(net.table[j][body[k * Q.STEP + j]][f]) for j in range(Q.WIDTH)) for f in range(Q.FILTERS)] for k in positions]
+        tops = []
+        for s in range(0, max(1, len(raw) - Q.OVERLAP), Q.CHUNK - Q.OVERLAP):
+            inside = [r[k] for k in positions if s <= k * Q.STEP < s + Q.CHUNK]
+            tops.append([max(0.0, max(x[f] for x in inside)) for f in range(Q.FILTERS)])
+        features = [max(t[f] for t in tops) for f in range(Q.FILTERS)] + [sum(t[f] for t in tops) / len(tops) for f in range(Q.FILTERS)]
+        return 1 / (1 + np.exp(-(sum(x * w for x, w in zip(features, net.weights)) + net.bias)))
+
+    for n in (0, 1, 7, 60, 511, 512, 513, 1400):
+        raw = rng.integers(0, 256, n).astype(np.uint8).tobytes()
+        assert abs(net.probability(raw) - plain(raw)) < 1e-4, n
+
+
+def test_training_lowers_the_loss_and_separates():
+    rng = np.random.default_rng(5)
+    texts = [[b"spam spam spam " * rng.integers(1, 30)] if i % 2 else [b"calm words here " * rng.integers(1, 30)] for i in range(120)]
+    y = np.array([i % 2 for i in range(120)], float)
+    loss = []
+    for epochs in (0, 1, 6):
+        net = Q.fit(texts, y, epochs)
+        p = np.array([net.probability(x[0]) for x in texts])
+        loss.append(-np.mean(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)))
+    assert loss[0] > loss[1] > loss[2] and ((p > 0.5) == y).all()
+
+
+def test_conflicting_labels_and_long_texts(spark):
+    docs = spark.createDataFrame([(i, f"{'good prose of many words' if i % 2 else '$$ ## !!'} {i}") for i in range(40)] + [(1, "good again")] * 3 + [(100, "word " * 200_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(2, 1), (3, 0)] + [(4, 0)] * 5, "doc_id long, quality int")
+    texts, y = Q.sample(docs, labels)
+    held = {r.doc_id for r in docs.where(held_out()).collect()}
+    assert len(texts) == len({*range(40)} - {2, 3} - held) and set(y) == {0.0, 1.0}
+    got = {r.doc_id: r.score for r in Q.classify(docs, labels).collect()}
+    assert got[5] > got[6] and 0 <= got[100] <= 1
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "good text", 5), (2, None, 5), (None, "", 5), (3, "### bad", 5), (3, "### bad", 5)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
