@@ -93,6 +93,12 @@ def trigram_query(pattern: str, most_paths: int = 64, widest_class: int = 6) ->
     return sorted((g for g in found if not any(h < g for h in found)), key=sorted)
 
 
+def row_key(text: str, key: str) -> Column:
+    """What postings know a document by: hash of key and text, so rows of one key or a null one do not meet. Should two
+    texts share it, they share candidates, which are verified in each row's own text."""
+    return F.xxhash64(F.col(key), F.col(text), F.length(text))
+
+
 def postings(docs: DataFrame, grams: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
     """The inverted index over the trigrams that queries use: (trigram, key), once for each document that holds it."""
     low = F.lower(safe_text(text))
@@ -120,38 +126,55 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", key
     return held.select(F.col(key), kinds.alias("_kinds")).where(F.size("_kinds") > 0)
 
 
+SPANS = "array<struct<start:int,kind_order:int,end:int,kind:string>>"
+#: Matches whose places are added up in one go; runs of them are then moved to where they begin.
+RUN = 512
+
+
 def rule_spans(text: Column, rule: Rule, order: int, scan: Column) -> Column:
-    """array<struct<start,kind_order,end,kind>>, code points: what lies between matches, by split, gives the places."""
+    """array<struct<start,kind_order,end,kind>>, code points: what lies between matches, by split, gives the places.
+
+    Places are running sums, made in runs of RUN matches, so a text full of matches costs no square of their number.
+    """
     p = rule.pattern
     found, between = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)
     values = found if rule.group == 0 else F.regexp_extract_all(text, F.lit(p), F.lit(rule.group))
     lengths = lambda x: F.transform(x, F.length)
     pairs = F.zip_with(lengths(found), lengths(values), lambda m, v: F.struct(m.alias("m"), v.alias("v")))
     each = F.zip_with(pairs, F.slice(lengths(between), 1, F.size(found)), lambda x, b: F.struct(x["m"].alias("m"), x["v"].alias("v"), b.alias("b")))
-    kind = "array<struct<start:int,kind_order:int,end:int,kind:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["b"]
         end = begin + x["m"]
         own = F.struct(begin.alias("start"), F.lit(order).alias("kind_order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        more = F.when(x["v"] >= rule.least, F.concat(acc["out"], F.array(own).cast(kind))).otherwise(acc["out"])
+        more = F.when(x["v"] >= rule.least, F.concat(acc["out"], F.array(own).cast(SPANS))).otherwise(acc["out"])
         return F.struct(end.alias("at"), more.alias("out"))
 
-    return F.when(scan, F.aggregate(each, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    def join(acc: Column, run: Column) -> Column:
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["runs"], F.array(F.struct(acc["at"].alias("at"), run["out"].alias("out")))).alias("runs"))
+
+    def moved(run: Column) -> Column:
+        return F.transform(run["out"], lambda s: F.struct((s["start"] + run["at"]).alias("start"), s["kind_order"].alias("kind_order"), (s["end"] + run["at"]).alias("end"), s["kind"].alias("kind")))
+
+    def places(all_: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda i: F.aggregate(F.slice(all_, i * RUN + 1, F.lit(RUN)), start, add))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at:int,out:{SPANS}>>").alias("runs"))
+        return F.flatten(F.transform(F.aggregate(runs, none, join, lambda acc: acc["runs"]), moved))
+
+    empty = F.array().cast(SPANS)
+    return F.when(scan, F.element_at(F.transform(F.array(each), lambda all_: F.when(F.size(all_) > RUN, places(all_)).otherwise(F.aggregate(all_, start, add, lambda acc: acc["out"]))), 1)).otherwise(empty)
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """`docs` with the column `secret_spans`: array<struct<start,kind_order,end,kind>> by start, then by the rules' order.
 
-    All rows and columns of `docs` stay (columns named _kinds or secret_spans are replaced). A null text is an empty one
-    and has no spans; a null key is a key like others. Rows that share a key share candidates, which the regexes then
-    verify in each row's own text. One shuffle of the postings and, unless the candidates are few, one of the texts, both
-    by key.
+    All rows and columns of `docs` stay (columns named _row, _kinds or secret_spans are replaced). A null text is an empty
+    one and has no spans; null and repeated keys are allowed; an empty table gives no row; texts of any length are searched
+    whole. One shuffle of the postings and, unless the candidates are few, one of the texts, both by row_key().
     """
-    docs = docs.drop("_kinds", "secret_spans")
-    hits = candidates(docs, rules, text, key).withColumnRenamed(key, "_key")
-    both = docs.join(hits, docs[key].eqNullSafe(hits["_key"]), "left").drop("_key")
+    docs = docs.drop("_kinds", "secret_spans").withColumn("_row", row_key(text, key))
+    both = docs.join(candidates(docs, rules, text, "_row"), "_row", "left").drop("_row")
     whole = safe_text(text)
     parts = []
     for i, r in enumerate(rules):

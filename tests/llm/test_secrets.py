@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from tesserine.llm import secrets as S
 
 TEXTS = [
@@ -54,5 +56,14 @@ def test_redact(spark):
     assert by[13] == "[SECRET]"[:8] + " PRIVATE KEY-----" or "PRIVATE" not in by[13]
 
 
+def test_many_matches_and_hot_keys(spark):
+    texts = [("ab " + "0123456789abcdef" * 2 + " token=abcdefgh%d\n" % n) * n for n in (S.RUN // 2, S.RUN - 1, S.RUN, S.RUN + 1, 2 * S.RUN + 1)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(5, t) for t in texts], "doc_id long, text string")
+    found = S.find(df).select("text", F.col("secret_spans").alias("s")).collect()
+    assert len(found) == 10
+    for r in found:
+        assert [tuple(x) for x in r.s] == S.spans_of(r.text)
+
+
 def test_empty(spark):
     assert S.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
