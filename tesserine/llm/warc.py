@@ -29,6 +29,7 @@ SCHEMA = "record_id string, record_type string, target_uri string, payload_diges
 WRITE_SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes bigint, refers_to string, payload string"
 #: Bytes of archive that a partition reads, about.
 SPLIT = 8 << 20
+KINDS = {"record_id": pa.string(), "record_type": pa.string(), "target_uri": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "refers_to": pa.string(), "payload": pa.binary(), "intact": pa.bool_()}
 DATE = "2000-01-01T00:00:00Z"
 PUSHED = {"record_type", "target_uri", "payload_digest", "record_id", "refers_to"}
 
@@ -139,11 +140,117 @@ def _headers(raw: bytes) -> dict[str, str]:
     return out
 
 
-def members(f, start: int, end: int | None, wants) -> Iterator[tuple[dict, dict, bytes | None]]:
-    """(WARC headers, HTTP headers, payload or None) of the records that begin in [start, end).
+class Inflated:
+    """The bytes of a gzip file of any members, forwards, never more than a piece beyond what was asked for."""
+
+    def __init__(self, f):
+        self.f, self.z, self.raw, self.out = f, zlib.decompressobj(31), b"", bytearray()
+
+    def _more(self) -> bool:
+        if self.z.eof:
+            self.raw, self.z = self.z.unused_data or self.raw, zlib.decompressobj(31)
+        if not self.raw:
+            self.raw = self.f.read(1 << 16)
+        if not self.raw:
+            return False
+        self.out += self.z.decompress(self.raw, 1 << 20)
+        self.raw = b"" if self.z.eof else self.z.unconsumed_tail
+        return True
+
+    def read(self, n: int) -> bytes:
+        while len(self.out) < n and self._more():
+            pass
+        got = bytes(self.out[:n])
+        del self.out[:n]
+        return got
+
+    def skip(self, n: int) -> None:
+        while n > 0:
+            got = min(n, len(self.out))
+            del self.out[:got]
+            n -= got
+            if n and not self.out and not self._more():
+                return
+
+
+class Plain:
+    def __init__(self, f):
+        self.f = f
+
+    def read(self, n: int) -> bytes:
+        return self.f.read(n)
+
+    def skip(self, n: int) -> None:
+        self.f.seek(self.f.tell() + n)
+
+
+def _until_blank(stream, most: int) -> tuple[bytes, bytes]:
+    """What is before the first blank line, and what was read after it; all (up to `most` bytes) if there is none."""
+    got = b""
+    while len(got) < most:
+        piece = stream.read(min(8192, most - len(got)))
+        got += piece
+        at = got.find(b"\r\n\r\n", max(0, len(got) - len(piece) - 3))
+        if at >= 0:
+            return got[:at], got[at + 4 :]
+        if not piece:
+            break
+    return got, b""
+
+
+def records(stream, wants) -> Iterator[tuple[dict, dict, bytes | None, int]]:
+    """As members(), of a stream of records that follow each other. A record's headers are read first; the block of one
+    that is not wanted is passed over, of one that is wanted without its payload only the HTTP headers are read."""
+    ahead = b""
+    while True:
+        while len(ahead := ahead.lstrip(b"\r\n")) < 5 and (piece := stream.read(64)):
+            ahead += piece
+        if not ahead.startswith(b"WARC/"):
+            return
+        if b"\r\n\r\n" not in ahead:
+            head, rest = _until_blank(_Ahead(ahead, stream), 1 << 24)
+        else:
+            head, _, rest = ahead.partition(b"\r\n\r\n")
+        said = _headers(head)
+        size = int(said.get("content-length") or 0)
+        block = _Ahead(rest, stream)
+        level, used, http = wants(said), 0, {}
+        if level:
+            top = b""
+            kind = said.get("content-type")
+            if said.get("warc-type") in ("response", "request", "revisit") if kind is None else kind.lower().startswith("application/http"):
+                top, body = _until_blank(block, size)
+                http, used = _headers(top), min(size, len(top) + 4)
+                block.ahead = body + block.ahead
+            yield said, http, block.read(size - used) if level == 2 else None, size - used
+            if level == 2:
+                used = size
+        block.skip(size - used)
+        ahead = block.ahead
+
+
+class _Ahead:
+    """A stream with some bytes put back before it."""
+
+    def __init__(self, ahead: bytes, stream):
+        self.ahead, self.stream = ahead, stream
+
+    def read(self, n: int) -> bytes:
+        got, self.ahead = self.ahead[:n], self.ahead[n:]
+        return got + self.stream.read(n - len(got)) if len(got) < n else got
+
+    def skip(self, n: int) -> None:
+        got = min(n, len(self.ahead))
+        self.ahead = self.ahead[got:]
+        if n > got:
+            self.stream.skip(n - got)
+
+
+def members(f, start: int, end: int | None, wants) -> Iterator[tuple[dict, dict, bytes | None, int]]:
+    """(WARC headers, HTTP headers, payload or None, payload bytes) of the records that begin in [start, end).
 
-    wants(headers) says 0 to pass over a record, 1 for its headers, 2 for its payload too. Members without the `WL` field
-    (archives of others) are inflated up to their headers, and wholly to find the next one.
+    wants(headers) says 0 to pass over a record, 1 for its headers, 2 for its payload too. Bodies of members with the `WL`
+    field are stepped over without being inflated; archives of others, plain or gzip, are read as one stream.
     """
     f.seek(start)
     at = start
@@ -151,39 +258,23 @@ def members(f, start: int, end: int | None, wants) -> Iterator[tuple[dict, dict,
         top = f.read(12)
         if len(top) < 12:
             return
-        if top[:4] == b"\x1f\x8b\x08\x04":
-            extra = f.read(struct.unpack("<H", top[10:12])[0])
-        else:
-            extra = b""
-        if extra[:2] == b"WL" and not top[3] & ~4:
-            first, rest = struct.unpack("<QQ", extra[4:20])
-            z = zlib.decompressobj(-15)
-            head = z.decompress(f.read(first))
-            at += 12 + len(extra) + first + rest + 8
-            said = _headers(head.partition(b"\r\n\r\n")[0])
-            level = wants(said)
-            body = z.decompress(f.read(rest)) if level == 2 else b""
-            f.seek(at)
-        else:
+        extra = f.read(struct.unpack("<H", top[10:12])[0]) if top[:4] == b"\x1f\x8b\x08\x04" else b""
+        if extra[:2] != b"WL":
             f.seek(at)
-            z, raw = zlib.decompressobj(31), b""
-            while not z.eof and (piece := f.read(1 << 16)):
-                raw += z.decompress(piece)
-                at += len(piece)
-            at -= len(z.unused_data)
-            f.seek(at)
-            top_, _, block = raw.partition(b"\r\n\r\n")
-            said = _headers(top_)
-            block = block[: int(said.get("content-length", 0))]
-            http, _, body = block.partition(b"\r\n\r\n")
-            level = wants(said)
-            if level:
-                yield said, _headers(http), body if level == 2 else None
-            continue
+            yield from records(Inflated(f) if top[:2] == b"\x1f\x8b" else Plain(f), wants)
+            return
+        first, rest = struct.unpack("<QQ", extra[4:20])
+        z = zlib.decompressobj(-15)
+        head = z.decompress(f.read(first))
+        at += 12 + len(extra) + first + rest + 8
+        said = _headers(head.partition(b"\r\n\r\n")[0])
+        level = wants(said)
+        body = z.decompress(f.read(rest)) if level == 2 else b""
+        f.seek(at)
         if level:
-            top_, _, http = head.partition(b"\r\n\r\n")
+            http = head.partition(b"\r\n\r\n")[2]
             length = int(said["content-length"]) - len(http)
-            yield said, _headers(http.partition(b"\r\n\r\n")[0]), body[:length] if level == 2 else None
+            yield said, _headers(http.partition(b"\r\n\r\n")[0]), body[:length] if level == 2 else None, length
 
 
 def _bare(x: str | None) -> str | None:
@@ -191,8 +282,9 @@ def _bare(x: str | None) -> str | None:
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payload: bool, types: list[str] | None):
-        self.path, self.payload, self.filters = path, payload, []
+    def __init__(self, path: str, payload: bool, types: list[str] | None, columns: list[str] | None = None):
+        self.path, self.columns, self.filters = path, columns or list(KINDS), []
+        self.payload = payload and not {"payload", "intact"}.isdisjoint(self.columns)
         if types is not None:
             self.filters.append(("record_type", "in", types))
 
@@ -238,25 +330,34 @@ class WarcReader(DataSourceReader):
         if not part.path:
             return
         fs, _ = filesystem(self.path)
-        names = ["record_id", "record_type", "target_uri", "payload_digest", "payload_bytes", "refers_to", "payload", "intact"]
-        kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary(), pa.bool_()]
         rows, size = [], 0
         with fs.open_input_file(part.path) as f:
-            for said, http, body in members(f, part.start, part.end, self._wants):
+            for said, http, body, length in members(f, part.start, part.end, self._wants):
                 digest = (said.get("warc-payload-digest") or "").removeprefix("sha1:") or None
-                n = int(http["content-length"]) if "content-length" in http else (len(body) if body is not None else None)
-                intact = None if body is None else len(body) == n and base64.b32encode(hashlib.sha1(body).digest()).decode() == digest
-                rows.append((_bare(said.get("warc-record-id")), said.get("warc-type"), said.get("warc-target-uri"), digest, n, _bare(said.get("warc-refers-to")), body, intact))
+                revisit = said.get("warc-type") == "revisit"
+                n = int(http.get("content-length", "")) if revisit and http.get("content-length", "").isdigit() else None if revisit else length
+                intact = None if body is None or digest is None else len(body) == n and base64.b32encode(hashlib.sha1(body).digest()).decode() == digest
+                row = (_bare(said.get("warc-record-id")), said.get("warc-type"), said.get("warc-target-uri"), digest, n, _bare(said.get("warc-refers-to")), body, intact)
+                rows.append(row)
                 size += len(body or b"")
                 if len(rows) >= 2000 or size >= 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    yield self._batch(rows)
                     rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            yield self._batch(rows)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        columns = dict(zip(KINDS, zip(*rows, strict=True), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], KINDS[c]) for c in self.columns], names=self.columns)
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc").option("payload", "false").option("types", "response,revisit").load(path)"""
+    """spark.read.format("warc").option("payload", "false").option("types", "response,revisit").load(path)
+
+    Reads a file or a folder, of own archives or of others (.warc, .warc.gz). With a schema of some of the columns the
+    others are not made; payloads are read only for the columns payload and intact. intact is null where the payload was
+    not read or the record names no digest.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -267,7 +368,7 @@ class WarcSource(DataSource):
 
     def reader(self, schema) -> WarcReader:
         types = self.options.get("types")
-        return WarcReader(self.options["path"], str(self.options.get("payload", "true")).lower() != "false", types.split(",") if types else None)
+        return WarcReader(self.options["path"], str(self.options.get("payload", "true")).lower() != "false", types.split(",") if types else None, [c for c in schema.names])
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"])
@@ -324,7 +425,12 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes the pages to a new archive in the shared folder and reads it back."""
+    """Writes the pages to a new archive in the shared folder and reads it back.
+
+    One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to, intact. A null html is an empty
+    payload, a null url no target; a null page_id stays null and is only the response where all equal payloads' are null;
+    rows that repeat the largest page_id of a payload are all responses; an empty table gives no row.
+    """
     path = scratch(pages.sparkSession, "warc")
     archive(pages, path, least_bytes)
     return digests(pages.sparkSession, path)

@@ -49,6 +49,35 @@ def test_predicates_and_foreign_archives(spark, tmp_path):
     assert [bytes(r.payload) for r in spark.read.format("warc").load(str(other)).collect()] == [b"hello", b"world"]
 
 
+def test_archives_of_others_plain_and_in_one_member(spark, tmp_path):
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 9\r\n\r\nsoft: x\r\n\r\n\r\n"
+    bodies = [b"hello", b"", b"a\r\n\r\nb" * 3000, b"x" * 200_000]
+    raw = info
+    for i, body in enumerate(bodies):
+        block = b"HTTP/1.1 200 OK\r\nX-Filler: " + b"f" * (9000 if i == 2 else 3) + b"\r\n\r\n" + body
+        raw += b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Target-URI: http://x/%d\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % (b"request" if i == 1 else b"response", i, len(block)) + block + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(raw)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(raw))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(raw[:5000]) + gzip.compress(raw[5000:]))
+    W.register(spark)
+    rows = spark.read.format("warc").load(str(tmp_path)).collect()
+    for kind in ("warcinfo", "request", "response"):
+        want = {"warcinfo": [b"soft: x\r\n"], "request": [b""], "response": [b"hello", *bodies[2:]]}[kind]
+        got = [r for r in rows if r.record_type == kind]
+        assert sorted(bytes(r.payload) for r in got) == sorted(want * 3) and all(r.payload_bytes == len(r.payload) and r.intact is None for r in got)
+    light = spark.read.format("warc").schema("record_type string, payload_bytes bigint").load(str(tmp_path)).where("record_type = 'response'")
+    assert light.columns == ["record_type", "payload_bytes"] and sorted(r.payload_bytes for r in light.collect()) == sorted([5, 18000, 200_000] * 3)
+    inflated = []
+
+    class Counted(W.Inflated):
+        def read(self, n):
+            inflated.append(n)
+            return super().read(n)
+
+    with open(tmp_path / "b.warc.gz", "rb") as f:
+        assert list(W.records(Counted(f), lambda said: 0)) == [] and sum(inflated) < 60_000  # bodies are passed over
+
+
 def test_empty(spark):
     assert W.round_trip(frame(spark).limit(0)).count() == 0
     assert W.round_trip(frame(spark)).where(F.col("payload_bytes") < 0).count() == 0
