@@ -10,20 +10,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import islice, repeat
 
+import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, safe_text
+from .common import chunks, held_out, least_hashes, safe_text
 
-#: Documents of each language that training reads at most (those with the least hash of doc_id), and its words at most.
-FIT_DOCS, FIT_WORDS, ROUNDS = 400, 60_000, 3
-#: Words are cut into stretches of at most this many characters; pieces are at most LONGEST long.
-STRETCH, LONGEST = 48, 12
+#: Documents of each language that training reads at most (those with the least hash of doc_id), whole.
+FIT_DOCS, ROUNDS = 400, 3
+#: Words up to this length are scored side by side, longer ones one by one with running logarithms.
+SIDE_BY_SIDE = 40
 #: What a probability is multiplied by for each character, so that products stay within a double's range.
 SCALE = 16.0
+#: Distinct words that a worker remembers (the first ones).
+MEMORY_WORDS = 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -35,127 +40,211 @@ def vocabulary(path: str) -> dict[str, int]:
     pieces = {}
     for i in range(sp.get_piece_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
-            p = sp.id_to_piece(i).replace("▁", " ").lower()
-            if 0 < len(p) <= LONGEST:
-                pieces.setdefault(p, len(pieces))
+            pieces.setdefault(sp.id_to_piece(i).replace("▁", " ").lower(), len(pieces))
     return pieces
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower case, each with the mark of its start; long runs in stretches."""
-    out = []
-    for w in LETTERS.findall((text or "").lower()):
-        if len(w) < STRETCH:
-            out.append(" " + w)
-        else:
-            w = " " + w
-            out += [w[i : i + STRETCH] for i in range(0, len(w), STRETCH)]
-    return out
+    """Runs of letters, lower case."""
+    return LETTERS.findall((text or "").lower())
+
+
+class Pieces:
+    """A vocabulary, searched for all pieces at all places of a word at once."""
+
+    def __init__(self, numbers: dict[str, int]):
+        self.unknown = len(numbers)
+        self.search = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.size = np.ones(len(numbers) + 1, np.int64)
+        for piece, i in numbers.items():
+            self.size[i] = len(piece)
+            if piece:
+                self.search.add_word(piece, i)
+        self.search.make_automaton()
+        self.found = self.search.iter if numbers else lambda _: ()
+        self.longest = int(self.size.max())
+
+    def edges(self, word: str) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Of each place in a word: the pieces that end there, and their sizes; any character is a piece of its own."""
+        found, size, unknown = iter(self.found(word)), self.size, self.unknown
+        ahead = next(found, None)
+        for end in range(len(word)):
+            own = []
+            while ahead is not None and ahead[0] == end:
+                own.append(ahead[1])
+                ahead = next(found, None)
+            if not own or size[own].min() > 1:
+                own.append(unknown)
+            yield own, size[own]
+
+    def long_log_probability(self, word: str, log_p: np.ndarray) -> np.ndarray:
+        """[languages] of one word of any length: only the last `longest` sums are held. log_p: [piece, languages]."""
+        ring = np.zeros((self.longest + 1, log_p.shape[1]))
+        end = 0
+        for end, (own, sizes) in enumerate(self.edges(word), 1):
+            ring[end % len(ring)] = np.logaddexp.reduce(ring[(end - sizes) % len(ring)] + log_p[own], 0)
+        return ring[end % len(ring)].copy()
+
+    def long_expected(self, word: str, log_p: np.ndarray, count: float, uses: np.ndarray) -> None:
+        """Adds the expected number of uses of each piece in one word. log_p: [piece]."""
+        edges = list(self.edges(word))
+        alpha, beta = np.zeros(len(word) + 1), np.full(len(word) + 1, -np.inf)
+        for end, (own, sizes) in enumerate(edges, 1):
+            alpha[end] = np.logaddexp.reduce(alpha[end - sizes] + log_p[own])
+        beta[-1] = 0
+        for end in range(len(word), 0, -1):
+            own, sizes = edges[end - 1]
+            flow = log_p[own] + beta[end]
+            np.add.at(uses, own, count * np.exp(alpha[end - sizes] + flow - alpha[-1]))
+            beta[end - sizes] = np.logaddexp(beta[end - sizes], flow)
 
 
 class Lattice:
     """All segmentations of some words: an edge for each piece that fits, by where it ends."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int]):
-        self.n, unknown = len(words), len(pieces)
-        by_end: dict[int, tuple[list[int], list[int], list[int], list[int]]] = {}
-        get = pieces.get
-        for i, w in enumerate(words):
-            for e in range(1, len(w) + 1):
-                edges = by_end.get(e)
-                if edges is None:
-                    edges = by_end[e] = ([], [], [], [])
-                single = False
-                for s in range(max(0, e - LONGEST), e):
-                    p = get(w[s:e])
-                    if p is not None:
-                        edges[0].append(i), edges[1].append(s), edges[2].append(p), edges[3].append(e - s)
-                        single |= s == e - 1
-                if not single:
-                    edges[0].append(i), edges[1].append(e - 1), edges[2].append(unknown), edges[3].append(1)
-        self.edges = [(e, *(np.array(x, np.int64) for x in by_end[e])) for e in sorted(by_end)]
+    def __init__(self, words: list[str], pieces: Pieces):
+        self.n = len(words)
         self.lengths = np.fromiter(map(len, words), np.int64, self.n)
+        ends, piece = np.array(list(pieces.found("\0".join(words))), np.int64).reshape(-1, 2).T
+        starts = np.cumsum(self.lengths + 1) - self.lengths - 1
+        size = pieces.size[piece]
+        # characters that are no piece by themselves are unknown ones
+        single = np.zeros(int(self.lengths.sum()) + self.n, bool)
+        single[ends[size == 1]] = True
+        single[starts + self.lengths] = True
+        lone = np.flatnonzero(~single)
+        ends, piece = np.concatenate((ends, lone)), np.concatenate((piece, np.full(len(lone), pieces.unknown)))
+        word = np.searchsorted(starts, ends, side="right") - 1
+        to = ends - starts[word] + 1
+        by = np.lexsort((word, to))
+        word, to, piece = word[by], to[by], piece[by]
+        size = pieces.size[piece]
+        bounds = np.flatnonzero(np.diff(to, prepend=0, append=self.lengths.max(initial=0) + 1))
+        #: (end, distinct words, where each one's edges begin, words, starts, pieces, sizes) by end.
+        self.edges = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = word[a:b]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            self.edges.append((int(to[a]), own[first], first, own, to[a:b] - size[a:b], piece[a:b], SCALE ** size[a:b].astype(float)))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """[n, longest + 1] sums over all segmentations of each word's beginnings, scaled by SCALE a character."""
-        alpha = np.zeros((self.n, (self.edges[-1][0] if self.edges else 0) + 1))
+        """[n, longest + 1, languages] sums over all segmentations of each word's beginnings, scaled by SCALE a character.
+
+        p: [piece, languages].
+        """
+        alpha = np.zeros((self.n, int(self.lengths.max(initial=0)) + 1, p.shape[1]))
         alpha[:, 0] = 1
-        for e, word, start, piece, size in self.edges:
-            alpha[:, e] = np.bincount(word, alpha[word, start] * p[piece] * SCALE**size, self.n)
+        for e, distinct, first, word, start, piece, scale in self.edges:
+            alpha[distinct, e] = np.add.reduceat(alpha[word, start] * p[piece] * scale[:, None], first, axis=0)
         return alpha
 
     def log_probability(self, p: np.ndarray) -> np.ndarray:
+        """[n, languages]"""
         alpha = self.forward(p)
-        return np.log(np.maximum(alpha[np.arange(self.n), self.lengths], 1e-290)) - self.lengths * np.log(SCALE)
+        return np.log(np.maximum(alpha[np.arange(self.n), self.lengths], 1e-290)) - (self.lengths * np.log(SCALE))[:, None]
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected number of uses of each piece, words weighted by counts."""
-        alpha = self.forward(p)
+        """Expected number of uses of each piece, words weighted by counts. p: [piece]."""
+        alpha = self.forward(p[:, None])[:, :, 0]
         whole = np.maximum(alpha[np.arange(self.n), self.lengths], 1e-290)
         beta = np.zeros_like(alpha)
         beta[np.arange(self.n), self.lengths] = counts / whole
         uses = np.zeros(len(p))
-        for e, word, start, piece, size in reversed(self.edges):
-            flow = p[piece] * SCALE**size
-            np.add.at(beta, (word, start), beta[word, e] * flow)
-            uses += np.bincount(piece, alpha[word, start] * flow * beta[word, e], len(p))
+        for e, _, _, word, start, piece, scale in reversed(self.edges):
+            flow = p[piece] * scale * beta[word, e]
+            np.add.at(beta, (word, start), flow)
+            uses += np.bincount(piece, alpha[word, start] * flow, len(p))
         return uses
 
 
 @dataclass
 class Model:
     languages: list[str]
-    pieces: dict[str, int]
+    numbers: dict[str, int]  # of the pieces
     probabilities: np.ndarray  # [language, piece]; the last piece is any unknown character
 
     def __post_init__(self):
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(self.languages)))
 
-    def word_scores(self, words: list[str], most: int = 120_000) -> np.ndarray:
-        """[word, language] log probabilities of distinct words; a worker keeps those of the first `most` words."""
-        at = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("pieces", "by_piece")}
+
+    @cached_property
+    def pieces(self) -> Pieces:
+        return Pieces(self.numbers)
+
+    @cached_property
+    def by_piece(self) -> np.ndarray:
+        return np.ascontiguousarray(self.probabilities.T)
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """[word, language] log probabilities of words, each with the mark of its start."""
         out = np.empty((len(words), len(self.languages)))
-        out[at >= 0] = self.table[at[at >= 0]]
-        new = np.flatnonzero(at < 0).tolist()
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            lattice = Lattice([words[j] for j in part], self.pieces)
-            out[part] = np.stack([lattice.log_probability(p) for p in self.probabilities], 1)
-            keep = part[: max(0, most - len(self.known))]
-            if keep:
-                base = len(self.table)
-                self.known.update((words[j], base + k) for k, j in enumerate(keep))
-                self.table = np.concatenate((self.table, out[keep]))
+        short = [i for i, w in enumerate(words) if len(w) < SIDE_BY_SIDE]
+        for at in range(0, len(short), 10_000):
+            part = short[at : at + 10_000]
+            out[part] = Lattice([" " + words[i] for i in part], self.pieces).log_probability(self.by_piece)
+        if len(short) < len(words):
+            logs = np.log(self.by_piece)
+            for i, w in enumerate(words):
+                if len(w) >= SIDE_BY_SIDE:
+                    out[i] = self.pieces.long_log_probability(" " + w, logs)
         return out
 
-
-def fit(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int = ROUNDS, smooth: float = 0.1) -> Model:
+    def text_scores(self, texts: list[str | None], most: int = MEMORY_WORDS) -> tuple[np.ndarray, np.ndarray]:
+        """[text, language] log probabilities, and the number of words of each text."""
+        split = [words_of(t) for t in texts]
+        if not self.languages:
+            return np.zeros((len(texts), 0)), np.fromiter(map(len, split), np.int64, len(split))
+        numbered = [np.fromiter(map(self.known.get, ws, repeat(-1)), np.int64, len(ws)) for ws in split]
+        missed = [np.flatnonzero(at < 0) for at in numbered]
+        new = list({ws[i] for ws, m in zip(split, missed, strict=True) for i in m.tolist()})
+        if new:
+            base = len(self.table)
+            self.known.update(zip(new, range(base, base + len(new)), strict=True))
+            self.table = np.concatenate((self.table, self.word_scores(new)))
+        out = np.zeros((len(texts), len(self.languages)))
+        for i, (ws, at, m) in enumerate(zip(split, numbered, missed, strict=True)):
+            at[m] = [self.known[ws[j]] for j in m.tolist()]
+            out[i] = self.table[at].sum(0)
+        if len(self.table) > most:
+            for w in list(islice(self.known, most, None)):
+                del self.known[w]
+            self.table = self.table[:most].copy()
+        return out, np.fromiter(map(len, split), np.int64, len(split))
+
+
+def fit(counts: dict[str, dict[str, int]], numbers: dict[str, int], rounds: int = ROUNDS, smooth: float = 0.1) -> Model:
     """counts: of each language the words' counts. Deterministic; smoothed so that no piece has probability 0."""
-    out = []
+    out, pieces = [], Pieces(numbers)
     for lang in sorted(counts):
         words = sorted(counts[lang])
-        weights = np.array([counts[lang][w] for w in words], float)
-        lattice = Lattice(words, pieces)
-        p = np.full(len(pieces) + 1, 1.0 / (len(pieces) + 1))
+        short = [w for w in words if len(w) < SIDE_BY_SIDE]
+        parts = [short[i : i + 20_000] for i in range(0, len(short), 20_000)]
+        lattices = [(Lattice([" " + w for w in part], pieces), np.array([counts[lang][w] for w in part], float)) for part in parts]
+        p = np.full(len(numbers) + 1, 1.0 / (len(numbers) + 1))
         for _ in range(rounds):
-            uses = lattice.expected(p, weights) + smooth
+            uses = np.full(len(p), smooth)
+            for lattice, weights in lattices:
+                uses += lattice.expected(p, weights)
+            for w in words:
+                if len(w) >= SIDE_BY_SIDE:
+                    pieces.long_expected(" " + w, np.log(p), counts[lang][w], uses)
             p = uses / uses.sum()
         out.append(p)
-    return Model(sorted(counts), pieces, np.array(out))
+    return Model(sorted(counts), numbers, np.array(out).reshape(len(out), len(numbers) + 1))
 
 
-def sample_counts(docs: DataFrame, per_language: int = FIT_DOCS, most_words: int = FIT_WORDS) -> dict[str, dict[str, int]]:
-    """Word counts of at most per_language documents of each language that may be learnt from; the most frequent words.
-
-    The documents are those with the least hash of doc_id: their ids are chosen first (each task keeps per_language ids
-    of a language at most), and only their texts are then split.
-    """
-    may = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = may.select("doc_id", "lang").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_language)
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct().collect()
-    chosen = may.where(F.col("doc_id").isin([r[0] for r in ids])) if ids else may.limit(0)
+def sample_counts(docs: DataFrame, per_language: int = FIT_DOCS) -> dict[str, dict[str, int]]:
+    """Counts of all words of the documents whose doc_ids have a language's least hashes, per_language of them at most;
+    rows that may not be learnt from, and rows without a doc_id or language, are left out."""
+    may = docs.where(~held_out())
+    ids = least_hashes(may, "lang", per_language)
+    pairs = [F.struct(F.lit(lang), F.lit(i).cast("long")) for lang, own in ids.items() for i in sorted(own)]
+    if not pairs:
+        return {}
+    chosen = may.where(F.struct("lang", F.col("doc_id").cast("long")).isin(*pairs))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -164,9 +253,8 @@ def sample_counts(docs: DataFrame, per_language: int = FIT_DOCS, most_words: int
                 yield pd.DataFrame({"lang": lang, "word": c.index.astype(object), "n": c.to_numpy("int64")})
 
     each = chosen.select("lang", "text").mapInPandas(split, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     out: dict[str, dict[str, int]] = {}
-    for r in each.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= most_words).collect():
+    for r in each.collect():
         out.setdefault(r["lang"], {})[r["word"]] = r["n"]
     return out
 
@@ -176,41 +264,36 @@ def train(docs: DataFrame, path: str, per_language: int = FIT_DOCS) -> Model:
     return fit(sample_counts(docs, per_language), vocabulary(path))
 
 
-def _said(docs: DataFrame, model: Model, text: str) -> Column:
+def _said(docs: DataFrame, model: Model, text: str, memory_words: int) -> Column:
     """Column struct<lang_pred,score> of each whole text."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x 32,000 pieces: fixed by the vocabulary
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = held.value
         for texts in batches:
+            texts = texts.tolist()
             langs, scores = [], []
-            for at in range(0, len(texts), 400):
-                split = [words_of(t) for t in texts.iloc[at : at + 400]]
-                sizes = np.fromiter(map(len, split), np.int64, len(split))
-                codes, distinct = pd.factorize(np.array([w for ws in split for w in ws], dtype=object))
-                per_word = m.word_scores(list(distinct)) if len(distinct) and m.languages else np.zeros((len(distinct), 1))
-                total = np.zeros((len(split), per_word.shape[1]))
-                owner = np.repeat(np.arange(len(split)), sizes)
-                for k in range(per_word.shape[1]):
-                    total[:, k] = np.bincount(owner, per_word[codes, k], len(split)) if len(codes) else 0
-                best = total.argmax(1)
+            for low, high in chunks(texts):
+                total, words = m.text_scores(texts[low:high], memory_words)
+                known = (words > 0) & bool(m.languages)
+                if not m.languages:
+                    total = np.zeros((high - low, 1))
                 top = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                for i, n in enumerate(sizes):
-                    known = n and m.languages
-                    langs.append(m.languages[best[i]] if known else "und")
-                    scores.append(float(top[i]) if known else 0.0)
+                langs += [m.languages[i] if k else "und" for i, k in zip(total.argmax(1).tolist(), known.tolist(), strict=True)]
+                scores += np.where(known, top, 0.0).tolist()
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
     return F.pandas_udf(score, "lang_pred string, score double")(safe_text(text))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", memory_words: int = MEMORY_WORDS) -> DataFrame:
     """`docs` with lang_pred and score: the likeliest language of each whole text and its posterior (equal priors).
 
-    Only the text is read. A null text or one without a letter gives `und` and 0.0, as does a model of no language.
-    Narrow: no shuffle. Columns named lang_pred or score are replaced.
+    Only the text is read. A null text or one without a letter gives `und` and 0.0, as does a model of no language; of
+    equally likely languages the first by name is taken. Repeated rows give equal rows, an empty table none. Narrow: no
+    shuffle; a worker remembers memory_words words. Columns named lang_pred or score are replaced.
     """
-    found = docs.withColumn("_said", _said(docs, model, text))
+    found = docs.withColumn("_said", _said(docs, model, text, memory_words))
     return found.withColumn("lang_pred", F.col("_said.lang_pred")).withColumn("score", F.col("_said.score")).drop("_said")
 
 
@@ -218,12 +301,12 @@ def _lettered(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: LETTERS.search(t) is not None).astype(bool)
 
 
-def keep_identified(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", memory_words: int = MEMORY_WORDS) -> DataFrame:
     """`docs` without the documents of no letter (or null); a null `lang` becomes the prediction, or stays null if the
     model has no language."""
     if not model.languages:
         return docs.where(F.pandas_udf(_lettered, "boolean")(safe_text(text)))
-    found = docs.withColumn("_said", _said(docs, model, text)).where("_said.lang_pred != 'und'")
+    found = docs.withColumn("_said", _said(docs, model, text, memory_words)).where("_said.lang_pred != 'und'")
     return found.withColumn(lang, F.coalesce(F.col(lang), F.col("_said.lang_pred"))).drop("_said")
 
 

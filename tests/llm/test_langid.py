@@ -29,22 +29,56 @@ def test_forward_sums_all_segmentations():
         return total
 
     words = ["aba", "abab", "bab", "cab", "a", "abcba"]
-    got = np.exp(L.Lattice(words, pieces).log_probability(p))
-    assert np.allclose(got, [brute(w) for w in words])
+    both = np.stack((p, p[::-1]), 1)
+    got = np.exp(L.Lattice(words, L.Pieces(pieces)).log_probability(both))
+    assert np.allclose(got[:, 0], [brute(w) for w in words]) and not np.allclose(got[:, 0], got[:, 1])
+    one_by_one = [L.Pieces(pieces).long_log_probability(w, np.log(both)) for w in words]
+    assert np.allclose(np.exp(one_by_one), got)
 
 
 def test_remembered_words_score_the_same():
     words = [f"{a}{b}{c}" for a in "abc" for b in "abcd" for c in "ab"]
-    m = L.fit({"x": dict.fromkeys(words, 1), "y": {"ab": 3}}, {"a": 0, "b": 1, "ab": 2, "c": 3})
-    first = m.word_scores(words[:9], 15)
-    m.word_scores(words[5:], 15)
-    assert np.allclose(m.word_scores(words[:9], 15), first) and np.allclose(m.word_scores(words, 15), m.word_scores(words[::-1], 15)[::-1])
-    assert len(m.known) == len(m.table) == 15
+    m = L.fit({"x": dict.fromkeys(words, 1), "y": {"ab": 3}}, {"a": 0, "b": 1, "ab": 2, "c": 3, " a": 4})
+    first = m.word_scores(words)
+    texts = [" ".join(words[:9]), " ".join(words[5:]), "", None, "x" * 500]
+    want = [first[:9].sum(0), first[5:].sum(0), 0, 0, m.word_scores(["x" * 500])[0]]
+    for most in (5, 15, 100):
+        for _ in range(2):
+            got, n = m.text_scores(texts, most)
+            assert n.tolist() == [9, len(words) - 5, 0, 0, 1] and all(np.allclose(g, w) for g, w in zip(got, want, strict=True))
+        assert len(m.known) == len(m.table) <= most
+
+
+def test_expected_uses_against_all_segmentations():
+    numbers = {"a": 0, "b": 1, "ab": 2, "ba": 3, " a": 4}
+    p = np.array([0.2, 0.15, 0.3, 0.1, 0.05, 0.2])
+    words, counts = [" abab", " bb", " acab"], np.array([3.0, 1.0, 2.0])
+
+    def ways(w):
+        if not w:
+            yield []
+        for k in range(1, len(w) + 1):
+            i = numbers.get(w[:k], 5 if k == 1 else None)
+            if i is not None:
+                for rest in ways(w[k:]):
+                    yield [i, *rest]
+
+    want = np.zeros(6)
+    for w, c in zip(words, counts):
+        weights = [math.prod(p[i] for i in x) for x in ways(w)]
+        for x, v in zip(ways(w), weights):
+            for i in x:
+                want[i] += c * v / sum(weights)
+    assert np.allclose(L.Lattice(words, L.Pieces(numbers)).expected(p, counts), want)
+    one_by_one = np.zeros(6)
+    for w, c in zip(words, counts):
+        L.Pieces(numbers).long_expected(w, np.log(p), c, one_by_one)
+    assert np.allclose(one_by_one, want)
 
 
 def test_em_raises_likelihood():
-    words, pieces = {"aab": 5, "ab": 9, "b": 2}, {"a": 0, "b": 1, "ab": 2}
-    at = [float(np.dot(L.Lattice(list(words), pieces).log_probability(L.fit({"x": words}, pieces, r, 1e-9).probabilities[0]), list(words.values()))) for r in (1, 2, 6)]
+    words, numbers = {"aab": 5, "ab": 9, "b": 2, "ab" * 30: 1}, {"a": 0, "b": 1, "ab": 2, " ": 3}
+    at = [float(np.dot(L.fit({"x": words}, numbers, r, 1e-9).word_scores(list(words))[:, 0], list(words.values()))) for r in (1, 2, 6)]
     assert at[0] <= at[1] + 1e-9 <= at[2] + 2e-9
 
 
@@ -55,7 +89,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_edges(spark):
-    rows = [(1, "the and of the thing", "en", 1), (2, "der und die das", "de", 1), (3, None, "en", 1), (4, "12 34 !!", None, 1), (5, "", None, 1), (6, "the " * 30000, None, 1), (None, "und die", None, 1), (6, "the", None, 1), (7, "x" * 500, None, 1)]
+    rows = [(1, "the and of the thing", "en", 1), (2, "der und die das", "de", 1), (3, None, "en", 1), (4, "12 34 !!", None, 1), (5, "", None, 1), (6, "the " * 30000, None, 1), (None, "und die", None, 1), (6, "the", None, 1), (7, "x" * 500, None, 1), (8, "und" * 40000, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     got = L.identify(df, PATH).collect()
     assert len(got) == len(rows)
