@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, lean
 
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of the first 256 characters, with their letters, numbers and blanks written out (several times faster).
@@ -307,6 +307,8 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, text: str
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *(pa.array(c, f[1]) for c, f in zip(out, fields, strict=True))], names=[key, *(f[0] for f in fields)])
 
+        bpe.forget(len(bpe.specials))
+
     kind = docs.select(key).schema[0].dataType.simpleString()
     schema = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), schema)

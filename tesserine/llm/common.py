@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import math
 import tempfile
@@ -11,7 +12,7 @@ import time
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import reduce, wraps
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -119,7 +120,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 #: Characters of the texts that a worker splits at once; one longer text is a run of its own.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_500_000
 
 
 def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
@@ -135,6 +136,20 @@ def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[i
         yield start, len(texts)
 
 
+def lean(run: Callable) -> Callable:
+    """run(batches), after whose last batch the worker gives freed memory back: workers live on into other stages."""
+
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def least_hashes(df: DataFrame, by: str, k: int) -> dict[Any, set[int]]:
     """Of each value of the column `by` (null left out): the k doc_ids with the least hashes (all, if they are fewer).
 
@@ -163,7 +178,7 @@ def successors(df: DataFrame, order: str, carry: list[str], make: Callable[[Data
     neighbours but the last one's, and that one is the first row of the next block. Only rows that are equal in order and
     in what they carry stay together whatever their number. What goes to the driver is a number for each block.
     """
-    n = blocks or 4 * shuffle_partitions(df.sparkSession)
+    n = blocks or 12 * shuffle_partitions(df.sparkSession)
     keyed = df.withColumn("_order", F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)))).withColumn("_tie", F.xxhash64(*carry))
     shares = [i / n for i in range(1, n)]
     cuts = keyed.agg(F.percentile_approx("_order", shares, 20 * n)).first()[0] if shares else []

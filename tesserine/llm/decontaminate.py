@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import safe_text
+from .common import lean, safe_text
 
 #: Template tokens in a window, literal ones that it needs; matched tokens, or share of the item, that make a leak.
 WIDTH, LITERAL, ENOUGH, SHARE = 8, 4, 13, 0.6
@@ -227,7 +227,7 @@ def leaks(benchmark: DataFrame, text: Column) -> Column:
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).orderBy("item_id").collect()
         held = benchmark.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
 
-        parts.append(F.pandas_udf(_against(held), HITS)(text))
+        parts.append(F.pandas_udf(lean(_against(held)), HITS)(text))
     return parts[0] if n_blocks == 1 else F.concat(*parts)
 
 

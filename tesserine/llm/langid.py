@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, least_hashes, safe_text
+from .common import chunks, held_out, lean, least_hashes, safe_text
 
 #: Documents of each language that training reads at most (those with the least hash of doc_id), whole.
 FIT_DOCS, ROUNDS = 400, 3
@@ -208,11 +208,15 @@ class Model:
         for i, (ws, at, m) in enumerate(zip(split, numbered, missed, strict=True)):
             at[m] = [self.known[ws[j]] for j in m.tolist()]
             out[i] = self.table[at].sum(0)
+        self.forget(most)
+        return out, np.fromiter(map(len, split), np.int64, len(split))
+
+    def forget(self, most: int) -> None:
+        """Keeps the first `most` words alone."""
         if len(self.table) > most:
             for w in list(islice(self.known, most, None)):
                 del self.known[w]
             self.table = self.table[:most].copy()
-        return out, np.fromiter(map(len, split), np.int64, len(split))
 
 
 def fit(counts: dict[str, dict[str, int]], numbers: dict[str, int], rounds: int = ROUNDS, smooth: float = 0.1) -> Model:
@@ -282,8 +286,10 @@ def _said(docs: DataFrame, model: Model, text: str, memory_words: int) -> Column
                 langs += [m.languages[i] if k else "und" for i, k in zip(total.argmax(1).tolist(), known.tolist(), strict=True)]
                 scores += np.where(known, top, 0.0).tolist()
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        m.forget(0)
 
-    return F.pandas_udf(score, "lang_pred string, score double")(safe_text(text))
+    # as one that is not deterministic it is never planned twice, for a filter and for a column
+    return F.pandas_udf(lean(score), "lang_pred string, score double").asNondeterministic()(safe_text(text))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", memory_words: int = MEMORY_WORDS) -> DataFrame:

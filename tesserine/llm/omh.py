@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 WORDS, PICKS, BANDS, SIMILAR = 5, 4, 32, 0.8
 #: Up to this many different texts in a bucket are compared pair by pair at once; in larger buckets first all with a lead,
@@ -150,7 +150,7 @@ def _sketches(docs: DataFrame, mark: Column) -> DataFrame:
                     "bands": [sketch(x).view(np.int64).tolist() if len(x) else [] for x in own],
                 })
 
-    return docs.select(_id(), mark.alias("mark"), "text").mapInPandas(run, "id long, mark long, key binary, n int, bands array<long>")
+    return docs.select(_id(), mark.alias("mark"), "text").mapInPandas(lean(run), "id long, mark long, key binary, n int, bands array<long>")
 
 
 def _id() -> Column:
@@ -199,7 +199,7 @@ def _apart(tagged: DataFrame, bodies: DataFrame, similar: float) -> DataFrame:
                 for at in range(0, len(tokens), 100_000):
                     yield pd.DataFrame({"id": i, "token": tokens[at : at + 100_000]})
 
-    tokens = stored(bodies.join(hard.select("id"), "id").mapInPandas(split, "id long, token long"), "tokens")
+    tokens = stored(bodies.join(hard.select("id"), "id").mapInPandas(lean(split), "id long, token long"), "tokens")
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ordered = tokens.join(frequent, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     own = hard.join(ordered, "id").withColumn("lone", F.col("n") - F.size("shared")).withColumn("c", _class(F.col("n")))
@@ -235,7 +235,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, similar: float) -> DataFrame:
             yield out[out["similarity"] > 0]
 
     x, y = bodies.toDF("a", "x"), bodies.toDF("b", "y")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, similarity double")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(lean(run), "a long, b long, similarity double")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -274,7 +274,7 @@ def _classes(docs: DataFrame, mark: Column, similar: float, rounds: int) -> Data
 
     wanted = members.select(F.col("id").alias("number")).distinct().join(texts.select(F.col("text").alias("number"), "row.*"), "number")
     rows = docs.select(_id(), mark.alias("mark"), "text").join(wanted, ["id", "mark"]).groupBy("number").agg(F.first("text").alias("text"))
-    bodies = stored(rows.mapInPandas(body, "id long, body binary"), "bodies")
+    bodies = stored(rows.mapInPandas(lean(body), "id long, body binary"), "bodies")
 
     links = stored(_verified(pairs, bodies, similar), "links")
     tried, labels = pairs, components(links)
