@@ -13,10 +13,13 @@ from tesserine.llm import bpe, decontaminate, langid, omh, secrets
 from tesserine.llm.common import read, stored
 from tesserine.llm.queries import BYTE_BPE, PIECES
 
+#: Distinct words that a worker remembers in a stage; the stages share their workers' memory.
+MEMORY_WORDS = 120_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter have no language and go; an unknown `lang` is filled in."""
-    return langid.keep_identified(docs, langid.train(docs, PIECES))
+    return langid.keep_identified(docs, langid.train(docs, PIECES), memory_words=MEMORY_WORDS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +39,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of the ids and of the decoded text."""
-    return bpe.encode_decode(docs, BYTE_BPE)
+    return bpe.encode_decode(docs, BYTE_BPE, memory_words=MEMORY_WORDS)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secret_scan), ("tokens", tokens)]
