@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Token and code patterns, stop words, field labels. RE2 and Java read them alike.
+# Token and code patterns, stop words, field labels, directives and topics from outside. RE2 and Java read
+# those without possessive quantifiers alike.
 TOKEN = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.\p{L}{2,}|[0-9]{1,4}(?:[-/][0-9]{1,2}){1,2}|[0-9]+(?:\.[0-9]+)?%?|[\x{0980}-\x{09ff}]+|\p{L}+"
 CODE = r"(?:^|[^\p{L}\p{N}_])([a-z]{2,12})\s*-?\s*([0-9]{2,4})(?:\s*\(\s*([a-z0-9]+)\s*\))?"
 STOP_WORDS = "a an and are as at be by for from how in is it of on or that the this to was what when where which who why with".split()
+COURSE_CODE = r"(?:^|[^A-Za-z0-9])([A-Za-z]{2,12}(?:\s*\(\s*[A-Za-z]{2,12}\s*\))?\s*[- ]?\s*[0-9]{2,4}(?:\s*\([A-Za-z0-9]{1,4}\))?)(?:$|[^A-Za-z0-9])"
 FIELD_PATTERNS = {
-    "attendance": r"\battend(ance|ed)?\b",
-    "credits": r"\bcredits?\b",
-    "email": r"[\w.+-]+@[\w-]+\.[a-z]{2,}",
-    "percentage": r"[0-9]+(\.[0-9]+)?\s*%",
-    "policy": r"\b(policy|policies|rules?)\b",
-    "requirement": r"\b(require[ds]?|requirements?|must)\b",
-    "topics": r"\b(topics?|contents?)\b",
+    "attendance": r"\battendance\b",
+    "course_code": r"\bcourse\s+(?:code|no\.?)(?:$|[^a-z0-9_])|" + COURSE_CODE,
+    "course_title": r"\bcourse\s+title\b",
+    "credits": r"\bcredits?\b|\bcredit\s+value\b",
+    "date": r"\b(?:19|20)[0-9]{2}\b|\b[0-9]{1,2}[/-][0-9]{1,2}[/-](?:[0-9]{2}|[0-9]{4})\b",
+    "email": r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}",
+    "percentage": r"[0-9]+(?:\.[0-9]+)?\s*%|\bpercentage\b",
+    "policy": r"\bpolic(?:y|ies)\b|\brules?\b|\bregulations?\b",
+    "prerequisite": r"\bpre\s*[- ]?\s*requisites?\b",
+    "requirement": r"\brequired\b|\brequirements?\b|\bmust\b",
+    "topics": r"\bcourse\s+content\b|\btopics?\b",
 }
 BENGALI_DIGITS = "০১২৩৪৫৬৭৮৯"
 DASHES = "‐‑‒–—―−"
-INJECTION = (r"ignore (all |any )?(previous|prior) (instructions|rules)", r"disregard the (context|evidence)", r"reveal (the )?(system )?prompt")
-OUT_OF_DOMAIN = (r"\bweather\b", r"\bfootball\b", r"\bstock price\b", r"\brecipe\b", r"\bmovie\b", r"\bjoke\b", r"\bpresident\b", r"\bbitcoin\b")
-IN_DOMAIN = r"\b(university|course|semester|department)\b"
+SPACES = "\u00a0\u2007\u202f"
+INJECTION = (
+    r"\bignore\s+(?:all\s+)?(?:the\s+)?(?:previous\s+instructions|university\s+documents?|pdf|provided\s+documents?)\b",
+    r"\bdo\s+not\s+use\s+(?:the\s+)?(?:pdf|documents?|sources?)\b",
+    r"\banswer\s+from\s+(?:your\s+)?own\s+knowledge\b",
+)
+OUT_OF_DOMAIN = (
+    r"\bweather\b|\bforecast\s+(?:today|tomorrow)\b|\btemperature\s+(?:today|tomorrow)\b|\bwill\s+it\s+rain\b",
+    r"\b(?:world\s+cup|football\s+match|cricket\s+match)\b.*\b(?:won|winner|score)\b|\bwho\s+won\s+(?:the\s+)?(?:world\s+cup|football\s+match|cricket\s+match|match)\b",
+    r"\b(?:give|provide|need|want)\s+(?:me\s+)?(?:medical|health)\s+advice\b|\b(?:diagnose|prescribe)\s+(?:my|me)\b",
+    r"\b(?:write|generate|show)\s+(?:me\s+)?(?:a\s+)?(?:python|javascript|java)\s+(?:sorting\s+)?(?:code|program|function|script)\b",
+    r"\b(?:who\s+is\s+(?:the\s+)?(?:current\s+)?president|latest\s+(?:political\s+)?news|election\s+result)\b",
+    r"\b(?:capital\s+of\s+france|who\s+wrote\s+hamlet|largest\s+planet)\b",
+    r"\b(?:should\s+i\s+(?:break\s+up|marry|invest)|relationship\s+advice)\b",
+    r"আজকের\s+আবহাওয়া|বিশ্বকাপ\s+কে\s+জিতেছে|চিকিৎসা\s+পরামর্শ",
+)
+IN_DOMAIN = r"\b(?:university|campus|course|syllabus|curriculum|department|semester|faculty|admission|tuition|prospectus)\b|বিশ্ববিদ্যালয়|কোর্স|সিলেবাস|বিভাগ|ভর্তি"
+
+#: The patterns for Java: possessive where giving back can never help, which spares the scanner most of its work.
+_TOKEN_JAVA = TOKEN.replace("_.+-]+@", "_.+-]++@")
+_CODE_JAVA = CODE.replace(r"([a-z]{2,12})\s*-?\s*", r"([a-z]{2,12}+)\s*+-?\s*+")
+_NOT_ASCII = r"[^\x00-\x7f]"
 
 
 def folded(text: Column) -> Column:
@@ -38,46 +61,81 @@ def folded_sql(text: str) -> str:
     return f"replace(lower(coalesce({text}, '')), 'ß', 'ss')"
 
 
-def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for b in batches:
-        yield b.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t), na_action="ignore")
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with the value evaluated, and planned, once however often `of` uses it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _icu(class_: str, method: str, text: Column) -> Column:
+    """A call of the Unicode library that Spark brings; texts of ASCII alone, which it would not change, are passed by."""
+    changed = lambda t: F.reflect(F.lit(f"com.ibm.icu.{class_}"), F.lit(method), F.coalesce(t, F.lit("")), F.lit(True))
+    return let(text, lambda t: F.when(t.rlike(_NOT_ASCII), changed(t)).otherwise(t))
 
 
 def nfkc(text: Column) -> Column:
-    return F.pandas_udf(_nfkc, "string")(text)
+    return _icu("text.Normalizer", "compose", text)
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding; null stays null."""
+    return F.lower(_icu("lang.UCharacter", "foldCase", text))
+
+
+def _plain_marks(text: Column) -> Column:
+    """Bengali digits to ASCII, dashes to '-', fixed-width spaces to blanks."""
+    return F.translate(text, BENGALI_DIGITS + DASHES + SPACES, "0123456789" + "-" * len(DASHES) + " " * len(SPACES))
 
 
-def normalize_unicode(text: Column, compatibility: bool = True) -> Column:
-    """NFKC, Bengali digits to ASCII, dashes and spaces folded, white space collapsed. NFKC alone needs Arrow."""
-    out = nfkc(F.coalesce(text, F.lit(""))) if compatibility else F.coalesce(text, F.lit(""))
-    out = F.translate(out, BENGALI_DIGITS, "0123456789")
-    out = F.translate(out, DASHES, "-" * len(DASHES))
-    return F.trim(F.regexp_replace(out, r"(?U)[\s\x{00A0}\x{200B}]+", " "))
+def normalize_unicode(text: Column) -> Column:
+    """NFKC, Bengali digits to ASCII, dashes and spaces folded, white space collapsed; null as empty."""
+    out = _plain_marks(nfkc(F.coalesce(text, F.lit(""))))
+    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+
+
+def normalize_unicode_sql(text: str) -> str:
+    """For texts that NFKC does not change."""
+    marks = f"translate(coalesce({text}, ''), '{BENGALI_DIGITS}{DASHES}{SPACES}', '0123456789{'-' * len(DASHES)}{' ' * len(SPACES)}')"
+    return rf"trim(regexp_replace({marks}, '\s+', ' ', 'g'))"
 
 
 def clean_page(text: Column) -> Column:
-    """Replacement characters to '-', one kind of line end, words joined over line ends, runs of blanks collapsed and at
-    most one blank line kept."""
+    """Replacement characters to '-', one kind of line end, lower-case words joined over a line end with a hyphen, blanks
+    collapsed, and of blank lines between others one kept."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), "�", "-")
     out = F.regexp_replace(out, "\r\n?", "\n")
-    out = F.regexp_replace(out, r"(?<=\p{Ll})-\n(?=\p{Ll})", "")
-    out = F.regexp_replace(out, "[ \t\f]+", " ")
-    out = F.regexp_replace(out, " ?\n ?", "\n")
-    return F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    out = F.regexp_replace(out, r"(?U)(?<=[a-z])\s*-\s*\n\s*(?=[a-z])", "")
+    out = F.regexp_replace(out, "[\t \u00a0]+", " ")
+    out = F.regexp_replace(out, r"(?U)[\s&&[^\n]]*\n[\s&&[^\n]]*", "\n")
+    return F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+
+
+def clean_page_sql(text: str) -> str:
+    """For texts whose white space is ASCII."""
+    out = f"regexp_replace(replace(coalesce({text}, ''), '�', '-'), '\\r\\n?', chr(10), 'g')"
+    for _ in range(2):  # RE2 has no look-around: a letter that ends one join may begin the next
+        out = rf"regexp_replace({out}, '([a-z])\s*-\s*\n\s*([a-z])', '\1\2', 'g')"
+    out = rf"regexp_replace(regexp_replace({out}, '[\t ]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
+    return rf"regexp_replace(regexp_replace({out}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+def _token_text(text: Column) -> Column:
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(_NOT_ASCII), casefold(_plain_marks(nfkc(t)))).otherwise(F.lower(t)))
 
 
 def tokens(text: Column) -> Column:
     """Sparse tokens: addresses, dates, numbers, Bengali runs and words, then the aliases of codes such as 'abc 123 (x)'."""
-    low = folded(text)
-    codes = F.regexp_extract_all(low, F.lit(CODE), F.lit(0))  # one pass; the parts come from the few matches
+    low = _token_text(text)
 
     def aliases_of(m: Column) -> Column:
         p, n, x = (F.regexp_extract(m, CODE, i) for i in (1, 2, 3))
         both = F.concat(p, n)
         return F.when(x != "", F.array(p, n, both, x, F.concat(both, x))).otherwise(F.array(p, n, both))
 
-    aliases = F.flatten(F.transform(codes, aliases_of))
-    return F.concat(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)), aliases)
+    def of(t: Column) -> Column:
+        codes = F.when(t.rlike("[0-9]{2}"), F.regexp_extract_all(t, F.lit(_CODE_JAVA), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.regexp_extract_all(t, F.lit(_TOKEN_JAVA), F.lit(0)), F.flatten(F.transform(codes, aliases_of)))
+
+    return let(low, of)
 
 
 def tokens_sql(text: str) -> str:
@@ -116,12 +174,12 @@ def content_tokens_sql(text: str) -> str:
 
 def field_types(text: Column) -> Column:
     """Labels of the fields whose pattern the text has, in alphabetical order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(k)) for k, p in sorted(FIELD_PATTERNS.items())]))
+    t = F.coalesce(text, F.lit(""))
+    return F.array_compact(F.array(*[F.when(t.rlike("(?i)" + p), F.lit(k)) for k, p in sorted(FIELD_PATTERNS.items())]))
 
 
 def field_types_sql(text: str) -> str:
-    cases = ", ".join(f"CASE WHEN regexp_matches(lower(coalesce({text}, '')), '{p}') THEN '{k}' END" for k, p in sorted(FIELD_PATTERNS.items()))
+    cases = ", ".join(f"CASE WHEN regexp_matches(coalesce({text}, ''), '(?i){p}') THEN '{k}' END" for k, p in sorted(FIELD_PATTERNS.items()))
     return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
 
 
@@ -146,15 +204,41 @@ def script_profile_sql(text: str) -> str:
 
 
 def strip_directives(text: Column) -> Column:
-    out = F.lower(F.coalesce(text, F.lit("")))
+    """The text without overt commands to pass the documents by, and without what is left at its start and end."""
+    out = F.coalesce(text, F.lit(""))
+    for p in INJECTION:
+        out = F.regexp_replace(out, "(?i)" + p, " ")
+    out = F.regexp_replace(out, r"(?i)^[\s,;:.!?-]*(?:and\s+)?", "")
+    return F.regexp_replace(out, r"^[ ,;:.-]+|[ ,;:.-]+$", "")
+
+
+def strip_directives_sql(text: str) -> str:
+    out = f"coalesce({text}, '')"
     for p in INJECTION:
-        out = F.regexp_replace(out, p, " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+        out = f"regexp_replace({out}, '(?i){p}', ' ', 'g')"
+    out = rf"regexp_replace({out}, '(?i)^[\s,;:.!?-]*(?:and\s+)?', '')"
+    return f"regexp_replace({out}, '^[ ,;:.-]+|[ ,;:.-]+$', '', 'g')"
 
 
 def out_of_domain(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return low.rlike("|".join(OUT_OF_DOMAIN)) & ~low.rlike(IN_DOMAIN)
+    """Blank, or about a topic from outside without a word that ties it to the institution."""
+    clean = strip_directives(text)
+    return (clean == "") | (clean.rlike("(?i)" + "|".join(OUT_OF_DOMAIN)) & ~clean.rlike("(?i)" + IN_DOMAIN))
+
+
+def out_of_domain_sql(text: str) -> str:
+    clean = strip_directives_sql(text)
+    return f"({clean} = '' OR regexp_matches({clean}, '(?i){'|'.join(OUT_OF_DOMAIN)}') AND NOT regexp_matches({clean}, '(?i){IN_DOMAIN}'))"
+
+
+def found(text: Column, pattern: Column) -> Column:
+    """Whether a pattern that is a Column itself is in the text."""
+    return F.call_function("rlike", text, pattern)
+
+
+def group(text: Column, pattern: Column, i: int) -> Column:
+    """Group i of the first match of a pattern that is a Column itself; empty without a match."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(i))
 
 
 def coalesce_blank(*columns: Column) -> Column:

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import evaluation as E
 from ..operators import ingest as I
+from ..operators import structure as structure
 from ..session import table
 
 
@@ -42,7 +43,7 @@ def page_issues(spark, sf):
 
 
 def document_statuses(spark, sf):
-    pages = table(spark, sf, "documents").select(F.col("source").alias("document_id"), F.when(F.col("doc_id") % 7 > 0, F.col("text")).alias("text"))
+    pages = table(spark, sf, "documents").select(F.col("source").alias("document_id"), "text")
     return I.statuses(pages)
 
 
@@ -77,7 +78,7 @@ def page_text(spark, sf):
 
 def page_text_blocks(spark, sf):
     pages = table(spark, sf, "documents").select(F.format_string("d%d", "doc_id").alias("document_id"), F.lit(1).alias("page"), "text")
-    return C.blocks(pages).select("block_id", "block_type", "heading", F.length("text").alias("n_chars"))
+    return structure.blocks(pages).select("block_id", "block_type", "heading", F.length("text").alias("n_chars"))
 
 
 def field_types(spark, sf):
@@ -130,10 +131,9 @@ def throughput(spark, sf):
 
 def group_summary_grouping_sets(spark, sf):
     e = table(spark, sf, "events").withColumn("hour", F.hour("ts"))
-    e.createOrReplaceTempView("_summary_events")
-    return spark.sql("""
-      SELECT CAST(grouping_id(event_type, hour) AS INT) AS level, event_type, hour, count(*) AS n, round(avg(value), 6) AS mean_value, count(DISTINCT user_id) AS users
-      FROM _summary_events GROUP BY GROUPING SETS ((), (event_type), (hour), (event_type, hour)) HAVING count(*) >= 5""")
+    sets = e.groupingSets([[], [F.col("event_type")], [F.col("hour")], [F.col("event_type"), F.col("hour")]], F.col("event_type"), F.col("hour"))
+    out = sets.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.count_distinct("user_id").alias("users"))
+    return out.where("n >= 5").select("level", "event_type", "hour", "n", "mean_value", "users")
 
 
 def _signals(spark, sf) -> DataFrame:
@@ -197,8 +197,8 @@ def stratified_sample(spark, sf):
 
 def run_compare_paired(spark, sf):
     d = table(spark, sf, "documents")
-    a = d.where("doc_id % 3 != 0").select("doc_id", (F.col("n_chars") % 100).alias("score"))
-    b = d.where("doc_id % 4 != 0").select("doc_id", (F.col("n_chars") % 90).alias("score"))
+    a = d.where("lang != 'fr'").select("doc_id", (F.col("n_chars") % 100).alias("score"))
+    b = d.where("lang != 'es'").select("doc_id", (F.col("n_chars") % 90).alias("score"))
     return E.compare_runs(a, b, "doc_id", "score")
 
 
@@ -259,13 +259,6 @@ r AS (SELECT x, sum(c) AS r FROM t GROUP BY x), k AS (SELECT y, sum(c) AS k FROM
 SELECT CAST(n AS BIGINT) AS n, round(1 - off / n, 6) AS observed, round(1 - ch / (n * n), 6) AS expected, round(CASE WHEN ch = 0 THEN CASE WHEN off = 0 THEN 1e0 END ELSE 1 - (off / n) / (ch / (n * n)) END, 6) AS kappa FROM s, e"""
 
 
-def _strip_sql(text: str) -> str:
-    out = f"lower(coalesce({text}, ''))"
-    for p in T.INJECTION:
-        out = f"regexp_replace({out}, '{p}', ' ', 'g')"
-    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
-
-
 _PARITY_SQL = """WITH e AS (SELECT user_id, event_type, max(value) AS best FROM events WHERE event_type IN ('click', 'purchase', 'signup') GROUP BY ALL),
 f AS (SELECT user_id, count(DISTINCT event_type) AS v, coalesce(bool_or(best >= 50) FILTER (event_type = 'click'), FALSE) AS a, coalesce(bool_or(best >= 50) FILTER (event_type = 'purchase'), FALSE) AS b, coalesce(bool_or(best >= 50) FILTER (event_type = 'signup'), FALSE) AS c FROM e GROUP BY user_id)
 SELECT user_id, CASE WHEN v < 3 THEN 'OTHER_MISMATCH' WHEN a AND b AND c THEN 'ALL_THREE' WHEN a AND b THEN 'FIRST_AND_SECOND' WHEN a AND c THEN 'FIRST_AND_THIRD' WHEN b AND c THEN 'SECOND_AND_THIRD' WHEN a THEN 'FIRST_ONLY' WHEN b THEN 'SECOND_ONLY' WHEN c THEN 'THIRD_ONLY' ELSE 'NONE' END AS category FROM f"""
@@ -287,7 +280,7 @@ REGISTRY = {
     "doc_profile_by_lang": (doc_profile_by_lang, _profile("lang")),
     "corpus_fingerprint_rows": (corpus_fingerprint_rows, f"SELECT doc_id, source || '/' || doc_id AS relative_path, {_SHA} AS sha256, 'doc-' || substr(sha256(lower(source || '/' || doc_id) || chr(0) || {_SHA}), 1, 24) AS document_id FROM documents"),
     "page_issues": (page_issues, "SELECT source AS document_id, doc_id AS page, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_page' ELSE 'requires_ocr' END AS issue_type FROM documents WHERE trim(coalesce(text, '')) = '' OR length(regexp_replace(text, '[^\\p{L}]', '', 'g')) < 10"),
-    "document_statuses": (document_statuses, "SELECT *, CASE WHEN good = pages THEN 'success' WHEN good > 0 THEN 'partial' ELSE 'failed' END AS status FROM (SELECT source AS document_id, count(*) AS pages, count(*) FILTER (doc_id % 7 > 0 AND trim(coalesce(text, '')) <> '') AS good FROM documents GROUP BY source)"),
+    "document_statuses": (document_statuses, "SELECT *, CASE WHEN good = pages THEN 'success' WHEN good > 0 THEN 'partial' ELSE 'failed' END AS status FROM (SELECT source AS document_id, count(*) AS pages, count(*) FILTER (trim(coalesce(text, '')) <> '') AS good FROM documents GROUP BY source)"),
     "chunk_windows": (chunk_windows, f"WITH {_W} SELECT doc_id, word_start, word_end, sha256(text) AS text_sha256 FROM k"),
     "chunk_links": (chunk_links, f"WITH {_W}, l AS (SELECT doc_id AS document_id, chunk_id, page, lag(chunk_id) OVER v AS previous_chunk_id, lead(chunk_id) OVER v AS next_chunk_id, lag(page) OVER v AS pp, lag(text) OVER v AS pt FROM k WINDOW v AS (PARTITION BY doc_id ORDER BY page, chunk_id)) SELECT document_id, chunk_id, previous_chunk_id, next_chunk_id, CASE WHEN page = pp + 1 AND NOT regexp_matches(rtrim(pt), '[.!?।]$') THEN previous_chunk_id END AS continuation_of FROM l"),
     "chunk_stats": (chunk_stats, f"WITH {_W}, c AS (SELECT source, len({T.words_sql('text')}) AS n FROM k) SELECT source, count(*) AS chunks, round(avg(n), 6) AS mean_words, median(n) AS median_words, min(n) AS min_words, max(n) AS max_words FROM c GROUP BY source"),
@@ -296,7 +289,7 @@ REGISTRY = {
     "page_text_blocks": (page_text_blocks, None),
     "field_types": (field_types, f"SELECT doc_id, array_to_string({T.field_types_sql('text')}, ',') AS fields FROM documents"),
     "chunk_language_profile": (chunk_language_profile, f"SELECT doc_id, {T.script_profile_sql('text')} AS script FROM documents"),
-    "injection_ood_flags": (injection_ood_flags, f"SELECT conv_id, turn, sha256({_strip_sql('text')}) AS clean_sha256, regexp_matches(lower(coalesce(text, '')), '{'|'.join(T.OUT_OF_DOMAIN)}') AND NOT regexp_matches(lower(coalesce(text, '')), '{T.IN_DOMAIN}') AS out_of_domain FROM conversations"),
+    "injection_ood_flags": (injection_ood_flags, f"SELECT conv_id, turn, sha256({T.strip_directives_sql('text')}) AS clean_sha256, {T.out_of_domain_sql('text')} AS out_of_domain FROM conversations"),
     "token_prf_proxies": (token_prf_proxies, f"WITH {_PRF} SELECT * FROM pf"),
     "overlap_gates": (overlap_gates, f"WITH {_PRF} SELECT pair_id, token_recall >= 0.70e0 AND token_f1 >= 0.45e0 AS acceptable, token_recall >= 0.85e0 AS complete FROM pf"),
     "overlap_recall": (overlap_recall, f"WITH {_PAIR}, t AS (SELECT pair_id, {T.content_tokens_sql('reference')} AS r, {T.content_tokens_sql('answer')} AS a FROM pr) SELECT pair_id, round(CASE WHEN len(r) > 0 THEN len(list_intersect(r, a)) / CAST(len(r) AS DOUBLE) ELSE 0e0 END, 6) AS recall FROM t"),
@@ -314,7 +307,7 @@ REGISTRY = {
     "cohen_kappa": (cohen_kappa, _kappa("SELECT quality AS x, toxic AS y FROM labels", "CASE WHEN x = y THEN 0e0 ELSE 1e0 END")),
     "weighted_kappa": (weighted_kappa, _kappa("SELECT CAST(least(n_chars // 1000, 4) AS DOUBLE) AS x, CAST(least((n_chars + doc_id % 3 * 700) // 1000, 4) AS DOUBLE) AS y FROM labels JOIN documents USING (doc_id)", "((x - y) * (x - y) / 16e0)")),
     "stratified_sample": (stratified_sample, "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id || ':42'), doc_id) AS draw FROM documents QUALIFY draw <= 10"),
-    "run_compare_paired": (run_compare_paired, "WITH a AS (SELECT doc_id, n_chars % 100 AS before FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, n_chars % 90 AS after FROM documents WHERE doc_id % 4 <> 0) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, before, after, CASE WHEN b.doc_id IS NULL THEN 'only_first' WHEN a.doc_id IS NULL THEN 'only_second' WHEN after > before THEN 'improved' WHEN after < before THEN 'regressed' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id"),
+    "run_compare_paired": (run_compare_paired, "WITH a AS (SELECT doc_id, n_chars % 100 AS before FROM documents WHERE lang <> 'fr'), b AS (SELECT doc_id, n_chars % 90 AS after FROM documents WHERE lang <> 'es') SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, before, after, CASE WHEN b.doc_id IS NULL THEN 'only_first' WHEN a.doc_id IS NULL THEN 'only_second' WHEN after > before THEN 'improved' WHEN after < before THEN 'regressed' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id"),
     "resume_anti_join": (resume_anti_join, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
     "dataset_validation_report": (dataset_validation_report, "SELECT 'blank_text' AS problem, count(*) FILTER (trim(coalesce(text, '')) = '') AS rows FROM conversations UNION ALL SELECT 'blank_role', count(*) FILTER (trim(coalesce(role, '')) = '') FROM conversations UNION ALL SELECT 'enum_role', count(*) FILTER (coalesce(role, '') NOT IN ('user', 'assistant')) FROM conversations UNION ALL SELECT 'duplicate_key', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1)"),
     "unpivot_expand": (unpivot_expand, "SELECT doc_id, 'quality' AS rater, quality AS score FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels"),

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..config import RetrievalConfig
 from ..functions import text as T
 from ..operators import evaluation as E
+from ..operators import index_store as X
 from ..operators import retrieval as R
 from ..session import table
+from ..storage import scratch, stored
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,11 +111,15 @@ def hybrid_search(spark, sf):
 
 
 def rrf_weight_sweep(spark, sf):
-    """Mean reciprocal rank of the asked entity under three weightings; the best one is marked."""
-    out = None
+    """Mean reciprocal rank of the asked entity under three weightings. The channels are ranked once, each weighting only
+    fuses them anew."""
     q = asked(spark, sf).select("query_id", T.compact(F.col("entity")).alias("key"))
+    own = chunks(spark, sf)
+    dense = stored(dense_hits(spark, sf).join(own.select("chunk_id"), "chunk_id", "left_semi"), "dense")
+    sparse, metadata = stored(bm25_hits(spark, sf), "sparse"), stored(metadata_hits(spark, sf), "metadata")
+    out = None
     for name, config in (("even", RetrievalConfig()), ("dense", RetrievalConfig(dense_weight=1.2)), ("sparse", RetrievalConfig(sparse_weight=0.8))):
-        top = fused(spark, sf, config, 3).join(chunks(spark, sf).select("chunk_id", "entity"), "chunk_id").join(q, "query_id").withColumnRenamed("final_rank", "rank")
+        top = R.fuse(dense, sparse, metadata, own, config, 3).join(own.select("chunk_id", "entity"), "chunk_id").join(q, "query_id").withColumnRenamed("final_rank", "rank")
         h = E.hits(top, T.compact(F.col("entity")) == F.col("key")).agg(F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg(F.col("hit_1").cast("double")), 6).alias("hit_1"))
         h = h.select(F.lit(name).alias("config"), "mrr", "hit_1")
         out = h if out is None else out.unionByName(h)
@@ -147,8 +153,21 @@ def rerank_top_k_mock(spark, sf):
 
 
 def jaccard_near_match(spark, sf):
+    """Of each document the most similar other one, at the operator's own threshold and margin."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    return R.jaccard_matches(docs, asked(spark, sf).select("query_id", "text"), 0.3, 0.01)
+    return R.jaccard_matches(docs, docs.withColumnRenamed("item_id", "query_id"), other_than_self=True)
+
+
+def sparse_index_search(spark, sf):
+    """The index written to the scratch folder, loaded with all checks, and searched."""
+    path = scratch(spark, "index")
+    X.build_sparse(chunks(spark, sf), path)
+    return _six(X.load_sparse(spark, path, chunks(spark, sf), deep=True).search(asked(spark, sf), 30))
+
+
+def sparse_index_manifest(spark, sf):
+    m = X.build_sparse(chunks(spark, sf), scratch(spark, "index")).manifest
+    return spark.createDataFrame([(m["chunk_count"], round(m["average_length"], 6), m["vocabulary_size"])], "chunk_count long, average_length double, vocabulary_size long")
 
 
 def token_postings(spark, sf):
@@ -215,6 +234,35 @@ bm2 AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY
 tw AS (SELECT coalesce(x.item_id, y.item_id) AS query_id, coalesce(x.doc_id, y.doc_id) AS chunk_id, x.rank AS original_rank, y.rank AS rewritten_rank, coalesce(1e0 / (60e0 + x.rank), 0e0) + coalesce(1e0 / (60e0 + y.rank), 0e0) AS s FROM (SELECT * FROM bm WHERE rank <= 10) x FULL JOIN bm2 y ON x.item_id = y.item_id AND x.doc_id = y.doc_id)"""]
 )
 
+_TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)?|[\x{0980}-\x{09ff}]+"
+
+
+def _terms_sql(text: str, stop: list[str]) -> str:
+    words = ", ".join(f"'{w}'" for w in stop)
+    return f"list_filter(regexp_extract_all(lower(coalesce({text}, '')), '{_TERM}'), lambda t: length(t) > 1 AND t NOT IN ({words}))"
+
+
+#: Without the parts for codes and intents, of which the tables have none; fixtures in the tests hold those.
+_LEXICAL = f"""
+WITH q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_terms_sql('text', R.LEXICAL_STOP)}) AS t FROM benchmark) GROUP BY ALL),
+d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) AS words FROM documents),
+u AS (SELECT DISTINCT t FROM q),
+h AS (SELECT doc_id, t, 1 + CAST(list_contains(words, t) AS INTEGER) AS worth FROM d, u WHERE contains(low, t)),
+s AS (SELECT item_id, doc_id, CAST(sum(worth * times) AS DOUBLE) AS score FROM h JOIN q USING (t) GROUP BY ALL)
+SELECT item_id AS query_id, doc_id AS chunk_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10"""
+_RERANK = f"""{_CAND},
+x AS (SELECT item_id, doc_id, cd.score, round(least(0.9e0, len(list_intersect(list_distinct({_terms_sql('b.text', R.RERANK_STOP)}), list_distinct({_terms_sql('body', R.RERANK_STOP)}))) * 0.12e0), 6) AS lexical_boost FROM cd JOIN benchmark b USING (item_id)),
+y AS (SELECT *, round(score + lexical_boost, 6) AS final_score FROM x)
+SELECT item_id AS query_id, doc_id AS chunk_id, 0e0 AS course_boost, 0e0 AS intent_boost, 0e0 AS field_boost, lexical_boost, 0e0 AS section_boost, 0e0 AS topic_plan_boost, 0e0 AS penalty, 0e0 AS metadata_penalty, final_score,
+  row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, score DESC, doc_id) AS rank FROM y"""
+_JACCARD = f"""
+WITH t AS (SELECT doc_id, {T.content_tokens_sql('text')} AS t FROM documents),
+p AS (SELECT a.doc_id AS q, b.doc_id AS i, len(list_intersect(a.t, b.t)) AS c, len(a.t) AS n, len(b.t) AS m FROM t a JOIN t b ON a.doc_id <> b.doc_id AND len(b.t) >= 0.78e0 * len(a.t) AND len(a.t) >= 0.78e0 * len(b.t) AND len(a.t) > 0),
+s AS (SELECT q, i, round(c / CAST(n + m - c AS DOUBLE), 9) AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, i) AS k FROM s WHERE score >= 0.78e0 - 1e-9),
+b AS (SELECT q AS query_id, min(i) FILTER (k = 1) AS item_id, max(score) FILTER (k = 1) AS score, coalesce(max(score) FILTER (k = 2), 0e0) AS second FROM r WHERE k <= 2 GROUP BY q)
+SELECT *, score >= 0.86e0 AND round(score - second, 9) >= 0.08e0 AS matched FROM b"""
+
 REGISTRY = {
     "bm25_topk": (bm25_topk, f"WITH {BM25_CTE.lstrip()} SELECT item_id AS query_id, doc_id AS chunk_id, round(score, 6) AS score, rank FROM bm"),
     "dense_topk": (dense_topk, f"WITH {DENSE_CTE.lstrip()} SELECT item_id AS query_id, doc_id AS chunk_id, round(score, 6) AS score, rank FROM de"),
@@ -223,10 +271,12 @@ REGISTRY = {
     "hybrid_search": (hybrid_search, f"WITH {BM25_CTE.lstrip()}, {DENSE_CTE}, {META_CTE}, {fuse_cte()} SELECT item_id AS query_id, doc_id AS chunk_id, d.source AS entity, d.lang AS field, round(f, 6) AS fusion_score, final_rank FROM fu JOIN documents d USING (doc_id) WHERE final_rank <= 3"),
     "rrf_weight_sweep": (rrf_weight_sweep, f"WITH {BM25_CTE.lstrip()}, {DENSE_CTE}, {META_CTE}, {fuse_cte()}, {fuse_cte(1.2, 1.0, 0.8, '2').replace('bd AS', 'bd2 AS')}, {fuse_cte(1.0, 0.8, 0.8, '3').replace('bd AS', 'bd3 AS')} {_SWEEP}"),
     "two_query_fusion": (two_query_fusion, f"WITH {_TWO.lstrip()} SELECT query_id, chunk_id, original_rank, rewritten_rank, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, coalesce(original_rank, 1000000), coalesce(rewritten_rank, 1000000), chunk_id) AS rank FROM tw QUALIFY rank <= 10"),
-    "lexical_topk": (lexical_topk, f"WITH c AS (SELECT doc_id, unnest({T.content_tokens_sql('text')}) AS t FROM documents), q AS (SELECT item_id, unnest({T.content_tokens_sql('text')}) AS t FROM benchmark) SELECT item_id AS query_id, doc_id AS chunk_id, CAST(count(*) AS DOUBLE) AS score, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) AS rank FROM c JOIN q USING (t) GROUP BY item_id, doc_id QUALIFY rank <= 10"),
-    "rule_rerank_components": (rule_rerank_components, f"{_CAND}, x AS (SELECT *, round(coalesce(CASE WHEN len(qt_) > 0 THEN len(list_intersect(qt_, ct)) / CAST(len(qt_) AS DOUBLE) END, 0e0), 6) AS lexical, CASE WHEN len({T.words_sql('body')}) < 8 THEN -0.1e0 WHEN len({T.words_sql('body')}) > 340 THEN -0.05e0 ELSE 0e0 END AS length_penalty FROM cd) SELECT item_id AS query_id, doc_id AS chunk_id, lexical, length_penalty, round(score + lexical + length_penalty, 6) AS final_score, row_number() OVER (PARTITION BY item_id ORDER BY round(score + lexical + length_penalty, 6) DESC, score DESC, doc_id) AS rank FROM x"),
+    "lexical_topk": (lexical_topk, _LEXICAL),
+    "rule_rerank_components": (rule_rerank_components, _RERANK),
     "rerank_top_k_mock": (rerank_top_k_mock, f"{_CAND}, x AS (SELECT *, round(len(list_intersect(ct, qt_)) / CAST(greatest(len(ct), 1) AS DOUBLE), 6) AS s FROM cd WHERE rank <= 5) SELECT item_id AS query_id, doc_id AS chunk_id, rank, s AS rerank_score, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, rank, doc_id) AS new_rank FROM x"),
-    "jaccard_near_match": (jaccard_near_match, f"WITH i AS (SELECT doc_id, {T.content_tokens_sql('text')} AS t FROM documents), q AS (SELECT item_id, {T.content_tokens_sql('text')} AS t FROM benchmark), e AS (SELECT doc_id, len(t) AS n, unnest(t) AS k FROM i), f AS (SELECT item_id, len(t) AS m, unnest(t) AS k FROM q), s AS (SELECT item_id, doc_id, round(count(*) / CAST(n + m - count(*) AS DOUBLE), 9) AS score FROM e JOIN f USING (k) GROUP BY item_id, doc_id, n, m), r AS (SELECT *, coalesce(lead(score) OVER w, 0e0) AS second, row_number() OVER w AS rank FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id)) SELECT item_id AS query_id, doc_id AS item_id, score, second, score >= 0.3e0 AND score - second >= 0.01e0 AS matched FROM r WHERE rank = 1"),
+    "jaccard_near_match": (jaccard_near_match, _JACCARD),
+    "sparse_index_search": (sparse_index_search, f"WITH {BM25_CTE.lstrip()} SELECT item_id AS query_id, doc_id AS chunk_id, round(score, 6) AS score, rank FROM bm"),
+    "sparse_index_manifest": (sparse_index_manifest, f"SELECT count(*) AS chunk_count, round(avg(len(tk)), 6) AS average_length, (SELECT count(DISTINCT t) FROM (SELECT unnest(tk) AS t FROM ({_C}))) AS vocabulary_size FROM ({_C})"),
     "token_postings": (token_postings, f"SELECT t AS token, doc_id AS chunk_id, count(*) AS tf FROM (SELECT doc_id, unnest(tk) AS t FROM ({_C})) GROUP BY ALL"),
     "doc_lengths": (doc_lengths, f"SELECT doc_id AS chunk_id, len(tk) AS dl, len(list_distinct(tk)) AS distinct_tokens FROM ({_C})"),
     "vocab_df": (vocab_df, f"SELECT t AS token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(tk) AS t FROM ({_C})) GROUP BY t"),
