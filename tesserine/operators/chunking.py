@@ -1,11 +1,7 @@
-"""Chunks of pages: word windows, neighbour links, quality and statistics, structural blocks."""
+"""Chunks of pages: word windows, neighbour links, quality and statistics, text of web pages."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,56 +64,6 @@ def stats(chunks: DataFrame, by: str) -> DataFrame:
     return chunks.withColumn("_n", n).groupBy(by).agg(F.count("*").alias("chunks"), F.round(F.avg("_n"), 6).alias("mean_words"), F.median("_n").alias("median_words"), F.min("_n").alias("min_words"), F.max("_n").alias("max_words"))
 
 
-NUMBERED = re.compile(r"^\s*(\d+(\.\d+)*|[IVXLC]+|[A-Z])[.)]\s+\S")
-
-
-def is_heading(line: str, following: str = "") -> bool:
-    """Short, without final punctuation, and numbered, upper case, or with nearly all words capitalised."""
-    plain = line.strip().strip("•").strip()
-    parts = plain.split()
-    if not parts or len(parts) > 10 or len(plain) > 110 or plain[-1] in ".,;:?!":
-        return False
-    letters = [w for w in parts if w[0].isalpha()]
-    if not letters:
-        return False
-    if NUMBERED.match(plain) or plain.isupper():
-        return True
-    return sum(w[0].isupper() for w in letters) / len(letters) >= 0.85 and bool(following.strip())
-
-
-def segment(lines: list[str]) -> list[tuple[str, str | None, str]]:
-    """Blocks (block_type, heading, text) of a page's lines: under each heading what follows it, else one fallback block."""
-    out, heading, body = [], None, []
-
-    def flush() -> None:
-        text = "\n".join(body).strip()
-        if heading is not None or text:
-            out.append(("section" if heading is not None else "fallback", heading, text))
-
-    for i, line in enumerate(lines):
-        if is_heading(line, lines[i + 1] if i + 1 < len(lines) else ""):
-            flush()
-            heading, body = line.strip(), []
-        else:
-            body.append(line)
-    flush()
-    return out
-
-
-def blocks(pages: DataFrame) -> DataFrame:
-    """Blocks of pages (document_id, page, text): block_id, block_type, heading, text. Arrow batches, narrow."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc, page, text in zip(b["document_id"], b["page"], b["text"], strict=True):
-                for i, (kind, heading, body) in enumerate(segment((text or "").split("\n"))):
-                    rows.append((doc, page, i, f"{doc}-p{page:06d}-b{i:04d}", kind, heading, body))
-            yield pd.DataFrame(rows, columns=["document_id", "page", "block_index", "block_id", "block_type", "heading", "text"])
-
-    return pages.select("document_id", "page", "text").mapInPandas(run, "document_id string, page int, block_index int, block_id string, block_type string, heading string, text string")
-
-
 def strip_html(html: Column) -> Column:
     """Visible text of a page: scripts, styles, comments and tags out, common entities decoded, white space collapsed."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")

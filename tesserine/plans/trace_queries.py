@@ -43,13 +43,15 @@ def retrieval_trace(spark, sf):
 
 def stale_sources(spark, sf):
     c = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"))
-    known = table(spark, sf, "documents").where("lang = 'es' and doc_id % 10 = 0").select(F.col("source").alias("document_id"))
+    known = table(spark, sf, "documents").where("lang = 'es' and n_chars > 20000").select(F.col("source").alias("document_id"))
     return X.unknown_sources(c, known)
 
 
 def index_integrity(spark, sf):
+    """Checks of an index that was broken on purpose: each frequency is one too low and Spanish chunks have no length."""
     c = chunks(spark, sf)
-    return X.index_problems(R.postings(c).select("token", "chunk_id", "tf"), R.tokenized(c).select("chunk_id", "dl"))
+    lengths = R.tokenized(c.where("field != 'es'")).select("chunk_id", "dl")
+    return X.index_problems(R.postings(c).select("token", "chunk_id", (F.col("tf") - 1).alias("tf")), lengths)
 
 
 _LOW_WORDS = T.words_sql("lower(coalesce(text, ''))")
@@ -60,6 +62,6 @@ REGISTRY = {
     "rank_change_classes": (rank_change_classes, f"WITH {BM25_CTE.lstrip()}, {DENSE_CTE}, o AS (SELECT item_id, doc_id, rank FROM de WHERE rank <= 10), w AS (SELECT item_id, doc_id, rank FROM bm WHERE rank <= 10 AND item_id IN (SELECT item_id FROM o)) SELECT coalesce(o.item_id, w.item_id) AS query_id, coalesce(o.doc_id, w.doc_id) AS chunk_id, o.rank AS old_rank, w.rank AS new_rank, CASE WHEN o.rank IS NULL THEN 'entered' WHEN w.rank IS NULL THEN 'left' WHEN w.rank < o.rank THEN 'promoted' WHEN w.rank > o.rank THEN 'demoted' ELSE 'unchanged' END AS change FROM o FULL JOIN w ON o.item_id = w.item_id AND o.doc_id = w.doc_id"),
     "generation_screens": (generation_screens, f"WITH a AS (SELECT conv_id, turn, rtrim(coalesce(text, '')) AS t, {_LOW_WORDS} AS w FROM conversations WHERE role = 'assistant'), g AS (SELECT conv_id, turn, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM a), r AS (SELECT DISTINCT conv_id, turn FROM (SELECT conv_id, turn, g FROM g GROUP BY ALL HAVING count(*) >= 3)) SELECT a.conv_id, a.turn, r.conv_id IS NOT NULL AS repeats, t <> '' AND NOT regexp_matches(t, '[.!?।:\"'')\\]]$') AS truncated FROM a LEFT JOIN r ON a.conv_id = r.conv_id AND a.turn = r.turn"),
     "retrieval_trace": (retrieval_trace, f"WITH {BM25_CTE.lstrip()} SELECT item_id AS query_id, rank AS place, doc_id AS chunk_id FROM bm WHERE rank <= 3"),
-    "stale_sources": (stale_sources, "SELECT doc_id AS chunk_id, source AS document_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es' AND doc_id % 10 = 0)"),
-    "index_integrity": (index_integrity, "SELECT 0::BIGINT AS bad_postings, 0::BIGINT AS orphans, 0::BIGINT AS wrong_lengths"),
+    "stale_sources": (stale_sources, "SELECT doc_id AS chunk_id, source AS document_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es' AND n_chars > 20000)"),
+    "index_integrity": (index_integrity, f"WITH {BM25_CTE.lstrip()}, l AS (SELECT doc_id, len(tk) AS dl FROM c JOIN documents USING (doc_id) WHERE lang <> 'es'), s AS (SELECT doc_id, sum(tf - 1) AS s FROM p GROUP BY doc_id) SELECT (SELECT count(*) FROM p WHERE tf - 1 <= 0) AS bad_postings, (SELECT count(*) FROM p WHERE doc_id NOT IN (SELECT doc_id FROM l)) AS orphans, (SELECT count(*) FROM s JOIN l USING (doc_id) WHERE s <> dl) AS wrong_lengths"),
 }

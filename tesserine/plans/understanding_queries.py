@@ -1,4 +1,8 @@
-"""Queries without a SQL counterpart: Arrow functions over the driver's tables."""
+"""Queries for understanding, evidence and answers over the driver's tables.
+
+The tables hold neither course codes nor Bengali, so the SQL of question_analysis leaves out those rules; they, and the rules
+of evidence, are held against literal passages in evidence_cases, whose SQL is the list of expected rows.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,22 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import understanding as U
 from ..operators import evidence as V
+from ..operators import structure as S
 from ..session import table
 from .retrieval_queries import chunks
 
 
 def question_analysis(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", U.analysis(F.coalesce("text", F.lit(""))).alias("a")).select("item_id", "a.*")
+    a = U.analysis(F.coalesce("text", F.lit("")))
+    rows = table(spark, sf, "benchmark").select("item_id", a.alias("a"))
+    return rows.select("item_id", "a.language", "a.field", "a.intent", F.size("a.entities").alias("codes"), "a.ambiguous", "a.polarity")
+
+
+def document_intents(spark, sf):
+    """How often each field and polarity is asked for, over whole documents as questions."""
+    t = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf, "documents").select(U.requested_field(t).alias("field"), U.polarity(t).alias("polarity"))
+    return rows.groupBy("field", "polarity").agg(F.count("*").alias("n"))
 
 
 def normalized_text(spark, sf):
@@ -21,7 +35,93 @@ def normalized_text(spark, sf):
 
 def answer_questions(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return V.answer(chunks(spark, sf), q)
+    own = chunks(spark, sf).select("chunk_id", "document_id", "page", "text")
+    return V.answer(own, q)
+
+
+def page_structure(spark, sf):
+    """Chunks of the documents read as pages: how many of each block type, and their words."""
+    pages = table(spark, sf, "documents").select(F.format_string("d%d", "doc_id").alias("document_id"), F.lit(1).alias("page"), "text")
+    return S.type_counts(S.chunks(S.blocks(pages)))
+
+
+def chunk_problems(spark, sf):
+    """Chunks of the documents that break a quality rule, counted by rule."""
+    pages = table(spark, sf, "documents").select(F.format_string("d%d", "doc_id").alias("document_id"), F.lit(1).alias("page"), "text")
+    return S.quality_lists(S.chunks(S.blocks(pages))).groupBy("problem").agg(F.count("*").alias("chunks"))
+
+
+COURSE, TABLE = "Course Code: ABC 234 Course Title: Systems", "Course Code Course Title Credits Pre-Requisite"
+POLICY = "University attendance policy Category {}: attendance of at least {}% in every course is required."
+#: question, passages (text, entity, field types), and what is expected: support, status, reason, level, conflicting values.
+CASES = [
+    ("How many credits is ABC 234?", [(f"{COURSE} Credit Value: 3.0", None, None)], ("supported", "SUPPORTED", "SINGLE_VERIFIED_PASSAGE", "ADEQUATE", "")),
+    ("What is the prerequisite of ABC 234?", [("Course Code: XYZ 987 Prerequisite: ABC 234", None, None)], ("insufficient", "INSUFFICIENT_EVIDENCE", "ENTITY_NOT_SUPPORTED", "NONE", "")),
+    ("What is the prerequisite of ABC 234?", [("Course Code: XYZ 987 Prerequisite: ABC 234", None, ["prerequisite"])], ("insufficient", "RETRIEVAL_UNCERTAIN", "ENTITY_OWNERSHIP_UNCERTAIN", "WEAK", "")),
+    ("How many credits is ABC 234?", [(f"{COURSE} Credit Value: 3.0", None, None), (f"{COURSE} Credit Value: 4.0", None, None)], ("conflicting", "CONFLICTING_EVIDENCE", "CONFLICTING_VALUES", "WEAK", "3.0,4.0")),
+    ("What is the credit?", [("ABC 234 Credit Value: 3.0", None, None)], ("ambiguous", "AMBIGUOUS_QUERY", "AMBIGUOUS_ENTITY", "NONE", "")),
+    ("How many credits is ABC 234?", [(f"{TABLE} ABC 234 Systems 3.00 Nil", "ABC 234", ["credits"]), (f"{COURSE} Credits: 3.0", "ABC 234", ["credits"])], ("supported", "SUPPORTED", "DIRECT_STRUCTURED_SUPPORT", "STRONG", "")),
+    ("What attendance percentage is required by the university policy?", [(POLICY.format(1, 70), None, None), (POLICY.format(1, 75), None, None)], ("conflicting", "CONFLICTING_EVIDENCE", "CONFLICTING_VALUES", "WEAK", "70,75")),
+    ("What attendance percentage is required by the university policy?", [(POLICY.format(1, 70), None, None), (POLICY.format(2, 75), None, None)], ("supported", "SUPPORTED", "MULTIPLE_AGREEING_PASSAGES", "STRONG", "")),
+]
+
+
+def evidence_cases(spark, sf):
+    rows = [(q, f"{q}-{i}", i + 1, t, f"d{i}", i, "course" if e else None, e, f) for q, (_, ps, _) in enumerate(CASES) for i, (t, e, f) in enumerate(ps)]
+    candidates = spark.createDataFrame(rows, "query_id long, chunk_id string, rank int, text string, document_id string, page int, entity_type string, entity_id string, field_types array<string>")
+    questions = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "query_id long, question string").withColumn("a", U.analysis(F.col("question")))
+    torn = F.when(F.col("support") == "conflicting", F.array_join("conflicting_values", ",")).otherwise("")
+    return V.assessed(candidates, questions).select("query_id", "support", "status", "reason", "level", torn.alias("conflicting_values"))
+
+
+_CASES = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, " + ", ".join(f"'{x}'" for x in c[2]) + ")" for i, c in enumerate(CASES)) + ") AS t(query_id, support, status, reason, level, conflicting_values)"
+
+
+def retrieval_text_sql(text: str) -> str:
+    """For texts without course codes and Bengali."""
+    out = T.folded_sql(T.normalize_unicode_sql(text))
+    for pattern, form in U.RETRIEVAL_FORMS:
+        if pattern.isascii():
+            out = f"regexp_replace({out}, '{pattern.replace(chr(92) + 'w', chr(92) + 'p{L}' + chr(92) + 'p{N}_')}', '{form.replace('$', chr(92))}', 'g')"
+    return rf"regexp_replace(trim(regexp_replace({out}, '\s+', ' ', 'g')), '^[ \-/]+|[ \-/]+$', '', 'g')"
+
+
+def _any(text: str, *patterns: str) -> str:
+    return f"regexp_matches({text}, '(?i){'|'.join(patterns)}')".replace("can't", "can''t").replace("isn't", "isn''t").replace("wasn't", "wasn''t").replace("hasn't", "hasn''t").replace("haven't", "haven''t").replace("didn't", "didn''t")
+
+
+def field_sql(text: str) -> str:
+    return f"CASE WHEN {_any(text, U.MARK_DISTRIBUTION)} THEN 'assessment' " + " ".join(f"WHEN {_any(text, *U.FIELD_WORDS[n], *U.QUESTION_WORDS.get(n, ()))} THEN '{n}'" for n in U.FIELD_ORDER) + " ELSE 'general' END"
+
+
+def intent_sql(text: str) -> str:
+    has = {k: _any(text, p) for k, p in U.INTENT_WORDS.items()}
+    return (
+        f"CASE WHEN {has['clo']} THEN 'clo' WHEN {has['objective']} THEN 'course_objective' WHEN {has['weekly']} THEN 'weekly_content' WHEN {has['final_exam']} AND {has['marks']} THEN 'final_exam_marks' "
+        f"WHEN {has['marks']} THEN 'mark_distribution' WHEN {has['assessment']} AND NOT {has['final_exam']} THEN 'assessment' WHEN {has['prerequisite']} THEN 'prerequisite' WHEN {has['credit']} THEN 'course_credit' "
+        f"WHEN {has['code']} AND {has['title']} THEN 'course_metadata' WHEN {has['title']} THEN 'course_title' WHEN {has['code']} THEN 'course_code' WHEN {has['type']} THEN 'course_type' WHEN {has['topic']} THEN 'topics' ELSE 'unknown' END"
+    )
+
+
+def polarity_sql(text: str) -> str:
+    padded = rf"(' ' || lower(trim(regexp_replace(coalesce({text}, ''), '\s+', ' ', 'g'))) || ' ')"
+    return f"CASE WHEN trim({padded}) = '' THEN 'unknown' WHEN {_any(padded, *U.NEGATIONS)} THEN 'negative' ELSE 'affirmative' END"
+
+
+def _count(words) -> str:
+    return "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in sorted(words)) + ")))"
+
 
+_ANALYSIS = f"""
+WITH r AS (SELECT item_id, coalesce(text, '') AS t, {retrieval_text_sql('text')} AS n FROM benchmark),
+f AS (SELECT *, list_distinct(regexp_extract_all(n, '[A-Za-z]+(?:-[A-Za-z]+)?|[0-9]+(?:\\.[0-9]+)?')) AS w, {field_sql('n')} AS field FROM r)
+SELECT item_id, CASE WHEN NOT regexp_matches(t, '[A-Za-z]') THEN 'unknown' WHEN {_count(U.MARKERS)} >= 2 OR {_count(U.MARKERS)} >= 1 AND {_count(U.DOMAIN)} >= 1 OR regexp_matches(lower(t), '{U.ATTACHED}')
+    OR {_count(U.MARKERS)} >= 1 AND {_count(U.ENGLISH)} <= 2 THEN 'banglish' ELSE 'english' END AS language,
+  field, {intent_sql('n')} AS intent, 0 AS codes, field IN ({', '.join(repr(x) for x in U.NEEDS_ENTITY)}) AND NOT {_any('n', U.SUBJECT)} AS ambiguous, {polarity_sql('t')} AS polarity FROM f"""
+_INTENTS = f"WITH r AS (SELECT coalesce(text, '') AS t, {retrieval_text_sql('text')} AS n FROM documents) SELECT {field_sql('n')} AS field, {polarity_sql('t')} AS polarity, count(*) AS n FROM r GROUP BY ALL"
+_NORMAL = f"SELECT doc_id, sha256({T.normalize_unicode_sql('text')}) AS sha256, sha256({T.clean_page_sql('text')}) AS clean_sha256 FROM documents"
 
-REGISTRY = {"question_analysis": (question_analysis, None), "normalized_text": (normalized_text, None), "answer_questions": (answer_questions, None)}
+REGISTRY = {
+    "question_analysis": (question_analysis, _ANALYSIS), "document_intents": (document_intents, _INTENTS), "normalized_text": (normalized_text, _NORMAL), "evidence_cases": (evidence_cases, _CASES),
+    "page_structure": (page_structure, None), "chunk_problems": (chunk_problems, None), "answer_questions": (answer_questions, None),
+}

@@ -76,12 +76,6 @@ def test_windows(spark):
         C.windows(df, 5, 5)
 
 
-def test_segments():
-    got = C.segment(["intro line here.", "1. First Part", "text one", "SECOND PART", "text two,", "more"])
-    assert got == [("fallback", None, "intro line here."), ("section", "1. First Part", "text one"), ("section", "SECOND PART", "text two,\nmore")]
-    assert C.segment([]) == [] and C.segment([""]) == []
-
-
 def test_kappa_corners(spark):
     frame = lambda rows: spark.createDataFrame(rows, "a int, b int")
     assert E.kappa(frame([(1, None)]), "a", "b").first().kappa is None
