@@ -307,7 +307,7 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, text: str
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *(pa.array(c, f[1]) for c, f in zip(out, fields, strict=True))], names=[key, *(f[0] for f in fields)])
 
-        bpe.forget(len(bpe.specials))
+        bpe.forget(memory_words // 4)
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     schema = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean" + ", ids array<int>" * keep_ids

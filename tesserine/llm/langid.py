@@ -28,7 +28,7 @@ SIDE_BY_SIDE = 40
 #: What a probability is multiplied by for each character, so that products stay within a double's range.
 SCALE = 16.0
 #: Distinct words that a worker remembers (the first ones).
-MEMORY_WORDS = 250_000
+MEMORY_WORDS = 120_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -182,8 +182,8 @@ class Model:
         """[word, language] log probabilities of words, each with the mark of its start."""
         out = np.empty((len(words), len(self.languages)))
         short = [i for i, w in enumerate(words) if len(w) < SIDE_BY_SIDE]
-        for at in range(0, len(short), 10_000):
-            part = short[at : at + 10_000]
+        for at in range(0, len(short), 4_000):
+            part = short[at : at + 4_000]
             out[part] = Lattice([" " + words[i] for i in part], self.pieces).log_probability(self.by_piece)
         if len(short) < len(words):
             logs = np.log(self.by_piece)
@@ -286,7 +286,7 @@ def _said(docs: DataFrame, model: Model, text: str, memory_words: int) -> Column
                 langs += [m.languages[i] if k else "und" for i, k in zip(total.argmax(1).tolist(), known.tolist(), strict=True)]
                 scores += np.where(known, top, 0.0).tolist()
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
-        m.forget(0)
+        m.forget(memory_words // 4)
 
     # as one that is not deterministic it is never planned twice, for a filter and for a column
     return F.pandas_udf(lean(score), "lang_pred string, score double").asNondeterministic()(safe_text(text))
