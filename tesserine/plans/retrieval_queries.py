@@ -245,7 +245,7 @@ def _terms_sql(text: str, stop: list[str]) -> str:
 #: Without the parts for codes and intents, of which the tables have none; fixtures in the tests hold those.
 _LEXICAL = f"""
 WITH q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_terms_sql('text', R.LEXICAL_STOP)}) AS t FROM benchmark) GROUP BY ALL),
-d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) AS words FROM documents),
+d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+')) AS words FROM documents),
 u AS (SELECT DISTINCT t FROM q),
 h AS (SELECT doc_id, t, 1 + CAST(list_contains(words, t) AS INTEGER) AS worth FROM d, u WHERE contains(low, t)),
 s AS (SELECT item_id, doc_id, CAST(sum(worth * times) AS DOUBLE) AS score FROM h JOIN q USING (t) GROUP BY ALL)

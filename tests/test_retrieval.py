@@ -92,3 +92,37 @@ def test_proxies_and_hits(spark):
     r = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 1, False), (3, 4, True)], "query_id int, rank int, ok boolean")
     h = {x.query_id: x for x in E.hits(r, F.col("ok")).collect()}
     assert (h[1].hit_1, h[1].hit_3, h[1].mrr) == (False, True, 0.5) and h[2].mrr == 0.0 and not h[3].hit_3
+
+
+def test_lexical_scores_by_hand(spark):
+    texts = [("a", "CSE 205 Course Content: sets. cse205"), ("b", "The content of tables"), ("c", "Week 3 weekly plan of trees"), ("d", None), ("e", "Boolean Algebra: gates"), ("f", "Final Exam (50%) evaluation policy")]
+    asked = [(1, "topics of CSE 205"), (2, "week 3 trees?"), (3, "What is covered under Boolean Algebra?"), (4, "final exam marks percentage"), (5, "zzz"), (6, None)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, text string").repartition(3)
+    got = {(r.query_id, r.chunk_id): r.score for r in R.lexical(chunks, spark.createDataFrame(asked, "query_id int, text string"), 3).collect()}
+    # a: cse and 205 are words (4), the code (6), course content (10); c: week, trees (4), weekly plan (10), week 3 (18)
+    assert got[1, "a"] == 20.0 and got[2, "c"] == 32.0 and got[3, "e"] == 2 + 2 + 12 and got[4, "f"] == 4 + 12 + 10 + 20 and not any(q in (5, 6) for q, _ in got)
+    assert R.lexical(chunks, spark.createDataFrame(asked, "query_id int, text string"), 0).count() == 0
+
+
+def test_rule_components_by_hand(spark):
+    rows = [
+        (1, "a", "prerequisite of CSE 205", "Course Code: CSE 205 Prerequisite: CSE 101", 0.5), (1, "b", "prerequisite of CSE 205", "Course Code: CSE 301 Prerequisite: MAT 101", 0.6), (1, "c", "prerequisite of CSE 205", "Course Title only", 0.4),
+        (2, "a", "week 3 of trees", "Weekly plan Week 3 trees CLO1", 0.1), (3, "a", "credit of CSE 205", None, 0.1),
+    ]
+    got = {(r.query_id, r.chunk_id): r for r in R.rerank_components(spark.createDataFrame(rows, "query_id int, chunk_id string, query string, text string, score double")).collect()}
+    a, b, c = got[1, "a"], got[1, "b"], got[1, "c"]
+    assert (a.course_boost, a.intent_boost, a.section_boost, a.penalty, a.rank) == (1.0, 0.8, 0.9, 0.0, 1) and (b.course_boost, b.penalty) == (0.0, -1.0) and (c.metadata_penalty, c.intent_boost) == (-1.6, 0.0)
+    assert abs(a.final_score - (0.5 + 1.0 + 0.8 + 0.9 + a.lexical_boost)) < 1e-9 and a.lexical_boost == 0.36
+    w = got[2, "a"]
+    assert (w.field_boost, w.topic_plan_boost, w.intent_boost) == (3.2, 2.2, 0.8) and got[3, "a"].final_score == 0.1
+
+
+def test_jaccard_matches_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    words = [f"tok{i}" for i in range(60)]
+    base = [set(rng.choice(words, 20, replace=False)) for _ in range(30)]
+    sets = base + [set(sorted(s)[rng.integers(0, 3) :]) | {f"own{i}"} for i, s in enumerate(base)] + [set()]
+    df = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in enumerate(sets)], "item_id int, text string")
+    got = {(r.query_id, r.item_id): r.score for r in R.jaccard_pairs(df, df.toDF("query_id", "text"), 0.8).collect()}
+    want = {(i, j): round(len(a & b) / len(a | b), 9) for i, a in enumerate(sets) for j, b in enumerate(sets) if a and b and len(a & b) / len(a | b) >= 0.8}
+    assert got == want and len(want) > len(sets)
