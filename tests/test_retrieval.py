@@ -126,3 +126,14 @@ def test_jaccard_matches_against_all_pairs(spark):
     got = {(r.query_id, r.item_id): r.score for r in R.jaccard_pairs(df, df.toDF("query_id", "text"), 0.8).collect()}
     want = {(i, j): round(len(a & b) / len(a | b), 9) for i, a in enumerate(sets) for j, b in enumerate(sets) if a and b and len(a & b) / len(a | b) >= 0.8}
     assert got == want and len(want) > len(sets)
+
+
+def test_quantiles_of_skewed_groups(spark):
+    rng = np.random.default_rng(7)
+    groups = {"a": [5.0] * 4000 + list(rng.normal(size=3001)), "b": [1.0], "c": [1.0, 2.0], None: list(range(1, 41)), "d": list(rng.integers(0, 3, 999))}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("e", None)], "g string, v double").repartition(5)
+    got = {r.g: r for r in E.latency_summary(df, ["g"], "v").collect()}
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        own = sorted(map(float, vs))
+        assert abs(got[g].median - float(np.median(own))) < 1e-6 and abs(got[g].p95 - own[math.ceil(0.95 * len(own)) - 1]) < 1e-6
