@@ -110,6 +110,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """For each name one that no column of df has, whatever the case: the name itself or with a number after it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        free = next(x for x in (f"{name}{i or ''}" for i in range(len(taken) + 1)) if x.lower() not in taken)
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
 def safe_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, imatch, langid, omh, quality, quotes, secrets, suffixes, warc
+from . import bpe, copies, decontaminate, imatch, langid, merkle, omh, quality, quotes, secrets, suffixes, warc
 from .common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,5 +52,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_bpe": op2_bpe, "op3_secrets": op3_secrets, "op4_chat": op4_chat, "op5_language": op5_language, "op6_warc": op6_warc, "op7_suffixes": op7_suffixes, "op8_omh": op8_omh, "op9_imatch": op9_imatch, "op10_quality": op10_quality}
-ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.scan_sql(), "op6_warc": warc.SQL}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered(read(spark, sf_dir, "documents"))
+
+
+def op12_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.copies(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_bpe, op3_secrets, op4_chat, op5_language, op6_warc, op7_suffixes, op8_omh, op9_imatch, op10_quality, op11_merkle, op12_copies)
+}
+ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.scan_sql(), "op6_warc": warc.SQL, "op11_merkle": merkle.SQL, "op12_copies": copies.SQL}
