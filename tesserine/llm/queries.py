@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, copies, decontaminate, imatch, langid, merkle, omh, quality, quotes, secrets, suffixes, warc
+from . import align, bpe, copies, decontaminate, imatch, langid, merkle, omh, quality, quotes, secrets, suffixes, warc
 from .common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,8 +60,12 @@ def op12_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.copies(read(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignments(read(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_bpe, op3_secrets, op4_chat, op5_language, op6_warc, op7_suffixes, op8_omh, op9_imatch, op10_quality, op11_merkle, op12_copies)
+    for f in (op1_decontaminate, op2_bpe, op3_secrets, op4_chat, op5_language, op6_warc, op7_suffixes, op8_omh, op9_imatch, op10_quality, op11_merkle, op12_copies, op13_alignment)
 }
 ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.scan_sql(), "op6_warc": warc.SQL, "op11_merkle": merkle.SQL, "op12_copies": copies.SQL}
