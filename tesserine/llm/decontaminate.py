@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, safe_text
+from .common import lean, safe_text, unused
 
 #: Template tokens in a window, literal ones that it needs; matched tokens, or share of the item, that make a leak.
 WIDTH, LITERAL, ENOUGH, SHARE = 8, 4, 13, 0.6
@@ -202,7 +202,7 @@ HITS = "array<struct<item_id:bigint,matched:bigint,share:double,exact:boolean>>"
 
 def _against(held: Broadcast):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        block = Benchmark(*held.value)
+        block = held.value  # windows and tables made once, on the driver
         for texts in batches:
             got = []
             for at in range(0, len(texts), 500):
@@ -225,8 +225,7 @@ def leaks(benchmark: DataFrame, text: Column) -> Column:
     parts = []
     for k in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).orderBy("item_id").collect()
-        held = benchmark.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-
+        held = benchmark.sparkSession.sparkContext.broadcast(Benchmark([r[0] for r in rows], [r[1] for r in rows]))
         parts.append(F.pandas_udf(lean(_against(held)), HITS)(text))
     return parts[0] if n_blocks == 1 else F.concat(*parts)
 
@@ -243,5 +242,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the contaminated documents."""
-    return docs.withColumn("_hits", leaks(benchmark, safe_text())).where(F.size("_hits") == 0).drop("_hits")
+    """`docs` without the contaminated documents.
+
+    All their columns stay, whatever their names; null and empty texts hold no item and stay, as do repeated rows; an empty
+    benchmark takes nothing away; an empty table gives no row. Texts of any length are read whole.
+    """
+    (hits,) = unused(docs, "hits")
+    return docs.withColumn(hits, leaks(benchmark, safe_text())).where(F.size(hits) == 0).drop(hits)

@@ -94,9 +94,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, text: str = "text", least: float = LEAST, most: float = MOST) -> DataFrame:
     """`docs` with the column `fingerprint`. A null text is an empty one; texts without lexicon terms in any subset are
-    hashed by all their terms. Equal texts have equal fingerprints. One shuffle, of the terms' counts."""
+    hashed by all their terms. Equal texts have equal fingerprints; a column `fingerprint` is replaced, all others stay. One shuffle, of the terms' counts."""
     words = lexicon(docs, text, least, most)
-    return with_fingerprint(docs, safe_text(text), words, "_fp").withColumn("fingerprint", printed(F.col("_fp"))).drop("_fp")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "fingerprint"]).alias("whole"), safe_text(text).alias("body"))
+    return with_fingerprint(rows, F.col("body"), words, "fp").select("whole.*", printed(F.col("fp")).alias("fingerprint"))
 
 
 def edited_pairs(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:

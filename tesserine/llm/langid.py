@@ -8,6 +8,7 @@ words. Training maximises just that by EM on a bounded sample of labelled docume
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, lean, least_hashes, safe_text
+from .common import chunks, held_out, lean, least_hashes, safe_text, unused
 
 #: Documents of each language that training reads at most (those with the least hash of doc_id), whole.
 FIT_DOCS, ROUNDS = 400, 3
@@ -29,7 +30,8 @@ SIDE_BY_SIDE = 40
 SCALE = 16.0
 #: Distinct words that a worker remembers (the first ones).
 MEMORY_WORDS = 120_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: `\w` also has numbers that are no decimal digits (superscripts, fractions, Roman and circled numerals); they are no letters.
+LETTERS = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -299,8 +301,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", memory_words: int
     equally likely languages the first by name is taken. Repeated rows give equal rows, an empty table none. Narrow: no
     shuffle; a worker remembers memory_words words. Columns named lang_pred or score are replaced.
     """
-    found = docs.withColumn("_said", _said(docs, model, text, memory_words))
-    return found.withColumn("lang_pred", F.col("_said.lang_pred")).withColumn("score", F.col("_said.score")).drop("_said")
+    (said,) = unused(docs, "said")
+    found = docs.withColumn(said, _said(docs, model, text, memory_words))
+    return found.withColumn("lang_pred", F.col(f"{said}.lang_pred")).withColumn("score", F.col(f"{said}.score")).drop(said)
 
 
 def _lettered(texts: pd.Series) -> pd.Series:
@@ -312,8 +315,9 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", lang: str
     model has no language."""
     if not model.languages:
         return docs.where(F.pandas_udf(_lettered, "boolean")(safe_text(text)))
-    found = docs.withColumn("_said", _said(docs, model, text, memory_words)).where("_said.lang_pred != 'und'")
-    return found.withColumn(lang, F.coalesce(F.col(lang), F.col("_said.lang_pred"))).drop("_said")
+    (said,) = unused(docs, "said")
+    found = docs.withColumn(said, _said(docs, model, text, memory_words)).where(F.col(f"{said}.lang_pred") != "und")
+    return found.withColumn(lang, F.coalesce(F.col(lang), F.col(f"{said}.lang_pred"))).drop(said)
 
 
 def identify(docs: DataFrame, path: str, per_language: int = FIT_DOCS) -> DataFrame:

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, stored
+from .common import lean, stored, unused
 
 WORDS, PICKS, BANDS, SIMILAR = 5, 4, 32, 0.8
 #: Up to this many different texts in a bucket are compared pair by pair at once; in larger buckets first all with a lead,
@@ -258,14 +258,14 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def _classes(docs: DataFrame, mark: Column, similar: float, rounds: int) -> DataFrame:
-    """id, mark, key, class_key, class_id, copy_of of each row of docs."""
+    """id, mark, key, class_key, class_id, copy_of, n_links of each row of docs."""
     sk = stored(_sketches(docs, mark), "sketches")
     best = F.min(F.struct("id", "mark")).alias("row")
     # the number is fixed by being written; it stands for the text's words, doc_ids come back at the end alone
     texts = stored(sk.groupBy("key").agg(best, F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("text", F.monotonically_increasing_id()), "texts")
-    size = F.count("*").over(Window.partitionBy("band"))
     banded = texts.select(F.col("text").alias("id"), "n", F.explode("bands").alias("band"))
-    members = stored(banded.withColumn("company", size).where("company > 1"), "members")
+    company = banded.groupBy("band").agg(F.count("*").alias("company")).where("company > 1")
+    members = stored(banded.join(company, "band").select("id", "n", "band", "company"), "members")
     pairs = stored(_pairs(members.withColumn("rank", -F.col("id"))), "pairs")
 
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,13 +296,16 @@ def _classes(docs: DataFrame, mark: Column, similar: float, rounds: int) -> Data
             labels = components(links)
     named = texts.join(labels.withColumnRenamed("id", "text"), "text", "left").withColumn("label", F.coalesce("label", "text"))
     lead = named.groupBy("label").agg(F.min("key").alias("class_key"), F.min("row.id").alias("class_id"), F.min("row").alias("lead"))
-    classes = named.select("key", "label", F.col("row.id").alias("copy_of")).join(lead, "label").drop("label")
+    ends = links.select(F.explode(F.array("a", "b")).alias("text")).groupBy("text").agg(F.count("*").alias("n_links"))
+    classes = named.select("key", "label", "text", F.col("row.id").alias("copy_of")).join(lead, "label").join(ends, "text", "left").drop("label", "text")
+    classes = classes.withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     return sk.select("id", "mark", "key").join(classes, "key")
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, rounds: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, class_id (least doc_id of the class), copy_of (least doc_id with the same words),
-    class_key (hexadecimal; tells classes apart also where doc_ids are null or repeat).
+    class_key (hexadecimal; tells classes apart also where doc_ids are null or repeat), n_links (alignments of its text with
+    other texts that confirmed a link; two texts that others have joined already are not aligned again).
 
     Texts with the same words are one text from the start; empty and null texts are one class; texts shorter than five
     words are only like themselves. Classes are of texts, not of ids: rows with one doc_id and unlike texts are in classes
@@ -313,13 +316,15 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, rounds: int = 2)
     """
     real = lambda c: F.when(F.col(c) != NONE, F.col(c)).alias(c)
     out = _classes(docs, F.xxhash64("text"), similar, rounds).withColumn("doc_id", F.col("id"))
-    return out.select(real("doc_id"), real("class_id"), real("copy_of"), F.lower(F.hex("class_key")).alias("class_key"))
+    return out.select(real("doc_id"), real("class_id"), real("copy_of"), F.lower(F.hex("class_key")).alias("class_key"), "n_links")
 
 
 def representatives(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """`docs` with one document of each class: that with the least doc_id (a null one comes last; of rows with one doc_id
-    the one with the least hash of its columns; of rows alike in all columns one)."""
-    mark = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    lead = _classes(docs, mark, similar, 2).select("lead.*").distinct().toDF("_id", "_mark")
-    kept = docs.withColumn("_id", _id()).withColumn("_mark", mark).join(lead, ["_id", "_mark"], "left_semi")
-    return kept.dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    the one with the least hash of its columns; of rows alike in all columns one). Columns may have any names."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    mark, names = F.xxhash64(*columns), unused(docs, "id", "mark")
+    lead = _classes(docs, mark, similar, 2).select("lead.*").distinct().toDF(*names)
+    # one select: both values are of the rows as they came
+    kept = docs.select(*columns, _id().alias(names[0]), mark.alias(names[1])).join(lead, names, "left_semi")
+    return kept.dropDuplicates(names).select(*columns)

@@ -46,44 +46,43 @@ class Network:
             out[at:end] = sub
         return out
 
-    def features(self, raw: bytes) -> np.ndarray:
+    def tops(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The padded body; of each chunk and filter the greatest response and its position in the whole text. The text is
+        padded at its end alone, so a chunk's last positions look into the next one."""
         body = np.concatenate((np.frombuffer(raw, np.uint8).astype(np.int16), np.full(WIDTH + STEP, 256, np.int16)))
         r = self.responses(body)
         starts = chunk_starts(len(raw))
         lows = np.minimum(starts // STEP, len(r) - 1)
-        highs = np.minimum((starts + CHUNK) // STEP, len(r))
-        tops = np.maximum(0, np.stack([r[a:b].max(0) for a, b in zip(lows, np.maximum(highs, lows + 1), strict=True)]))
-        return np.concatenate((tops.max(0), tops.mean(0)))
+        highs = np.maximum(np.minimum((starts + CHUNK) // STEP, len(r)), lows + 1)
+        where = np.stack([a + r[a:b].argmax(0) for a, b in zip(lows, highs, strict=True)])
+        return body, r[where, np.arange(FILTERS)], where
+
+    def features(self, raw: bytes) -> np.ndarray:
+        act = np.maximum(self.tops(raw)[1], 0)
+        return np.concatenate((act.max(0), act.mean(0)))
 
     def probability(self, raw: bytes) -> float:
         return float(1 / (1 + np.exp(-(self.features(raw) @ self.weights + self.bias))))
 
 
-def fit(texts: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """texts: of each document its chunks. Adam on the log loss; gradients pass each chunk's maximum alone."""
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
+    """texts: whole documents, seen as features() sees them. Adam on the log loss; gradients pass each chunk's maximum alone."""
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.15, (WIDTH, 257, FILTERS)).astype(np.float32)
     weights, bias = rng.normal(0, 0.1, 2 * FILTERS), 0.0
     if not texts:
         return Network(table, np.zeros(2 * FILTERS), 0.0)
-    bodies = [[np.concatenate((np.frombuffer(c, np.uint8).astype(np.int16), np.full(WIDTH + STEP, 256, np.int16))) for c in cs] for cs in texts]
     state = [[np.zeros_like(x, dtype=np.float64) for _ in range(2)] for x in (table, weights, np.zeros(1))]
     step = 0
     for epoch in range(epochs):
         rate = 0.02 if epoch < epochs * 2 // 3 else 0.005
-        order = rng.permutation(len(bodies))
+        order = rng.permutation(len(texts))
         for at in range(0, len(order), 32):
             part = order[at : at + 32]
             g_table, g_weights, g_bias = np.zeros_like(table), np.zeros_like(weights), 0.0
             net = Network(table, weights, bias)
             for i in part:
-                tops, where = [], []
-                for body in bodies[i]:
-                    r = net.responses(body)
-                    w = r.argmax(0)
-                    where.append(w)
-                    tops.append(r[w, np.arange(FILTERS)])
-                raw = np.stack(tops)
+                body, raw, where = net.tops(texts[i])
                 act = np.maximum(raw, 0)
                 top = act.argmax(0)
                 f = np.concatenate((act.max(0), act.mean(0)))
@@ -93,9 +92,8 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, seed
                 back = np.tile(miss * weights[FILTERS:] / len(act), (len(act), 1))
                 back[top, np.arange(FILTERS)] += miss * weights[:FILTERS]
                 back *= raw > 0
-                for body, w, b in zip(bodies[i], where, back, strict=True):
-                    for j in range(WIDTH):
-                        np.add.at(g_table[j], (body[w * STEP + j], np.arange(FILTERS)), b)
+                for j in range(WIDTH):
+                    np.add.at(g_table[j], (body[where * STEP + j], np.arange(FILTERS)), back)
             step += 1
             grads = (g_table / len(part) + 1e-4 * table, g_weights / len(part) + 1e-3 * weights, np.array([g_bias / len(part)]))
             values = [table, weights, np.array([bias])]
@@ -107,8 +105,8 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, seed
     return Network(table, weights, bias)
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> tuple[list[list[bytes]], np.ndarray]:
-    """All chunks and the labels of at most per_label learnable documents of each label.
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> tuple[list[bytes], np.ndarray]:
+    """The whole texts and the labels of at most per_label learnable documents of each label.
 
     Ids are chosen among the labels first, by the least hash; only those documents' texts are read. Rows without a label
     (0 or 1) or with a null id or held out are never chosen, nor are ids that have both labels. Of rows that share an id
@@ -123,7 +121,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> tup
     own = docs.where(F.col("doc_id").isin(list(said))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
     texts = [(r["doc_id"], r["text"].encode("utf-8", "replace")) for r in own.collect()]
     texts.sort()
-    return [[raw[s : s + CHUNK] for s in chunk_starts(len(raw)).tolist()] for _, raw in texts], np.array([float(said[i]) for i, _ in texts])
+    return [raw for _, raw in texts], np.array([float(said[i]) for i, _ in texts])
 
 
 def predict(docs: DataFrame, net: Network) -> DataFrame:

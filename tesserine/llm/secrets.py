@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import safe_text
+from .common import safe_text, unused
 
 
 @dataclass(frozen=True)
@@ -129,6 +129,8 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", key
 SPANS = "array<struct<start:int,kind_order:int,end:int,kind:string>>"
 #: Matches whose places are added up in one go; runs of them are then moved to where they begin.
 RUN = 512
+#: Spans that are cut out of one part of a text.
+CUT = 64
 
 
 def rule_spans(text: Column, rule: Rule, order: int, scan: Column) -> Column:
@@ -201,18 +203,36 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", k
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", key: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with each maximal run of overlapping spans of the text replaced by `mark`; texts without secrets stay as they are."""
-    found = find(docs, rules, text, key)
-    whole = safe_text(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.array(F.substring(whole, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
+    """`docs` with each maximal run of overlapping spans of the text replaced by `mark`.
 
-    clean = F.aggregate("secret_spans", start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole))))
-    return found.withColumn(text, F.when(F.size("secret_spans") > 0, clean).otherwise(F.col(text))).drop("secret_spans")
+    Texts without secrets, null and empty ones stay as they are; repeated rows and null keys stay rows of their own; all
+    columns stay, whatever their names; an empty table gives no row. A text of any length is redacted whole: its spans are
+    taken in runs of CUT, each within its own part of the text, so time grows with spans and text and not with their product.
+    """
+    row, spans = unused(docs, "row", "secret_spans")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(key).alias("own_key"), F.col(text).alias("own_text"))
+    found = find(whole, rules, "own_text", "own_key")
+    body, runs = safe_text("own_text"), F.sequence(F.lit(0), F.floor((F.size("secret_spans") - 1) / CUT).cast("int"))
+    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def add(part: Column, base: Column):
+        def step(acc: Column, x: Column) -> Column:
+            before = F.substring(part, acc["at"] - base + 1, x["start"] - acc["at"])
+            more = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.array(before, F.lit(mark)))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), more.alias("out"))
+
+        return step
+
+    def cut(acc: Column, i: Column) -> Column:
+        """The run's spans within the part of the text from where the last run stopped to the start of its own last span."""
+        own = F.slice("secret_spans", i * CUT + 1, F.lit(CUT))
+        part = F.substring(body, acc["at"] + 1, F.greatest(F.element_at(own, -1)["start"] - acc["at"], F.lit(0)))
+        done = F.element_at(F.transform(F.array(part), lambda p: F.aggregate(own, start(acc["at"]), add(p, acc["at"]))), 1)
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(done["out"], ""))).alias("out"))
+
+    clean = F.aggregate(runs, start(F.lit(0)), cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body))))
+    value = F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("own_text"))
+    return found.select(*[value.alias(c) if c == text else F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def scan_sql(rules: tuple[Rule, ...] = RULES) -> str:

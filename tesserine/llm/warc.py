@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .common import scratch
+from .common import scratch, stored
 
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes bigint, refers_to string, payload binary, intact boolean"
 WRITE_SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes bigint, refers_to string, payload string"
 #: Bytes of archive that a partition reads, about.
 SPLIT = 8 << 20
+#: A payload of more than this part of all pages is hot.
+HOT = 1 / 1000
 KINDS = {"record_id": pa.string(), "record_type": pa.string(), "target_uri": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "refers_to": pa.string(), "payload": pa.binary(), "intact": pa.bool_()}
 DATE = "2000-01-01T00:00:00Z"
 PUSHED = {"record_type", "target_uri", "payload_digest", "record_id", "refers_to"}
@@ -212,7 +214,11 @@ def records(stream, wants) -> Iterator[tuple[dict, dict, bytes | None, int]]:
         else:
             head, _, rest = ahead.partition(b"\r\n\r\n")
         said = _headers(head)
-        size = int(said.get("content-length") or 0)
+        length = said.get("content-length", "").strip()
+        if not length.isdecimal():  # where such a record ends is not known; the next one begins after a line's end
+            ahead = _next_record(_Ahead(rest, stream))
+            continue
+        size = int(length)
         block = _Ahead(rest, stream)
         level, used, http = wants(said), 0, {}
         if level:
@@ -229,6 +235,18 @@ def records(stream, wants) -> Iterator[tuple[dict, dict, bytes | None, int]]:
         ahead = block.ahead
 
 
+def _next_record(block: _Ahead) -> bytes:
+    """What follows up to the next record's first bytes, or nothing if no record follows."""
+    got = b"\n"
+    while (at := got.find(b"\nWARC/")) < 0:
+        piece = block.read(8192)
+        if not piece:
+            return b""
+        got = got[-5:] + piece
+    block.ahead = got[at + 1 :] + block.ahead
+    return block.read(len(got) - at - 1)
+
+
 class _Ahead:
     """A stream with some bytes put back before it."""
 
@@ -385,13 +403,20 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
     Of pages with equal payloads (the html in UTF-8; null is empty) of at least least_bytes bytes the one with the largest
     page_id is a response (a null page_id is the least; rows that repeat the largest one are all responses), the others
-    are revisits that refer to it; smaller ones are all responses. The payloads go through one shuffle, by digest.
+    are revisits that refer to it; smaller ones are all responses. Only digests and ids are grouped, and only digests of several
+    pages are joined with payloads; those of over HOT of all pages (fewer than 1 / HOT) are sent to the tasks, so a payload
+    that most pages share is not shuffled.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), html.alias("payload"))
     own = own.withColumn("sha1", F.sha1(F.encode("payload", "utf-8"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    keep = own.groupBy("sha1").agg(F.max("page_id").alias("first"))
-    both = own.join(keep, "sha1")
+    keep = stored(own.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "digests")
+    line = F.lit(pages.count() * HOT)
+    hot, rare = keep.where(F.col("n") > line).drop("n"), keep.where(F.col("n") <= line).drop("n")
+    near = own.join(F.broadcast(hot), "sha1")
+    far = own.join(F.broadcast(hot.select("sha1")), "sha1", "left_anti").join(rare.withColumn("shared", F.lit(True)), "sha1", "left")
+    far = far.withColumn("first", F.when(F.col("shared"), F.col("first")).otherwise(F.col("page_id"))).drop("shared")
+    both = near.unionByName(far)
     again = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
     base32 = _base32(F.col("sha1"))

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tesserine.llm import decontaminate as D
 
 ITEMS = [
@@ -153,3 +155,12 @@ def test_items_of_numbers_and_names_have_an_exact_path():
     got = bench.hits([f"{FILL}. {x} {FILL}" for x in items])
     assert [[(h[0], h[2], h[3]) for h in x] for x in got] == [[(k, 1.0, True)] for k in (1, 2, 3)]
     assert bench.hits(["Solve 3x + 6 = 20", "Compute 3 5 8 13 22 34 55 89", FILL]) == [[], [], []]
+
+
+def test_clean_keeps_all_columns(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, 5), (2, None, 6), (None, "", 7), (3, "other", 8), (3, "other", 8)], "doc_id long, text string, _hits int").withColumn("hits", F.lit("h"))
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    got = D.clean(df, bench)
+    assert got.columns == df.columns and sorted(r._hits for r in got.collect()) == [6, 7, 8, 8]
+    assert D.clean(df, bench.limit(0)).count() == 5 and D.clean(df.limit(0), bench).count() == 0

@@ -121,3 +121,10 @@ def test_edges(spark):
     assert I.edited_pairs(df.limit(0)).count() == 0
     assert I.edited_pairs(df.where("doc_id = 3").limit(1)).first().near_next == 1.0
     assert I.fingerprints(df).columns == ["doc_id", "text", "fingerprint"]
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, f"common word{i % 3}", i) for i in range(9)], "doc_id long, text string, _fp long").withColumns({c: F.lit(c) for c in ("_terms", "_known", "_hashes", "_row", "fp", "body", "whole")})
+    got = I.fingerprints(df)
+    assert got.columns == [*df.columns, "fingerprint"] and sorted(r._fp for r in got.collect()) == list(range(9))
+    assert {(r._terms, r._known, r._row, r.whole) for r in got.collect()} == {("_terms", "_known", "_row", "whole")}

@@ -103,3 +103,21 @@ def test_a_model_of_no_language_rejects_only_texts_without_a_letter(spark):
     df = spark.createDataFrame([(1, "the thing", None), (2, "12 34 !!", None), (3, None, None), (4, "und", "de")], "doc_id long, text string, lang string")
     got = L.keep_identified(df, L.fit({}, {"a": 0})).collect()
     assert sorted((r.doc_id, r.lang) for r in got) == [(1, None), (4, "de")]
+
+
+def test_numbers_are_no_letters(spark):
+    """Superscripts, fractions, circled and Roman numerals and other scripts' digits; ª and CJK numerals are letters."""
+    assert L.words_of("² ½ ① Ⅷ ٣ x² ª 一") == ["x", "ª", "一"]
+    df = spark.createDataFrame([(1, "² ½ ①"), (2, "Ⅷ 12"), (3, "und ²"), (4, "und")], "doc_id long, text string").withColumn("lang", F.lit("de"))
+    got = {r.doc_id: r.lang_pred for r in L.identify(df, PATH).collect()}
+    assert got == {1: "und", 2: "und", 3: "de", 4: "de"}
+    assert {r.doc_id for r in L.keep_identified(df, L.fit({}, {"a": 0})).collect()} == {3, 4}
+
+
+def test_ties_and_clashing_names(spark):
+    """Equally likely languages: the first by name. A caller's columns stay, whatever their names."""
+    df = spark.createDataFrame([(1, "same words", "b", 7), (2, "same words", "a", 8)], "doc_id long, text string, lang string, said int").withColumn("_said", F.lit(9))
+    model = L.fit({"b": {"same": 1, "words": 1}, "a": {"same": 1, "words": 1}}, L.vocabulary(PATH))
+    got = L.predict(df, model).collect()
+    assert {(r.lang_pred, r.score, r._said) for r in got} == {("a", 0.5, 9)} and {r.said for r in got} == {7, 8}
+    assert L.keep_identified(df, model).columns == df.columns

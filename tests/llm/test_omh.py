@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tesserine.llm import omh as M
 
@@ -154,3 +155,18 @@ def test_edges(spark):
     got = sorted(map(str, M.near_duplicates(df).collect()))
     assert len(got) == 5 and sum("class_id=3" in r for r in got) == 3 and sum("class_id=5" in r for r in got) == 2
     assert M.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5, 6, 7), (2, "a b c d e f", 8, 9, 1), (3, "g h i j k l", 8, 9, 1)], "doc_id long, text string, _id long, _mark long, id long").withColumn("mark", F.lit("m")).withColumn("a.b", F.lit(1))
+    got = M.representatives(df)
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, df.where("doc_id != 2").collect()))
+    assert M.representatives(df.where("doc_id = 3")).count() == 1
+
+
+def test_link_counts(spark):
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["end"]), " ".join(words[:-1] + ["other"]), "alone in this world", "alone in this world"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in M.near_duplicates(df).collect()}
+    assert got == {0: 2, 1: 2, 2: 2, 3: 0, 4: 0}

@@ -58,16 +58,37 @@ def test_probability_and_gradient_against_plain_python():
 
 def test_training_lowers_the_loss_and_separates():
     rng = np.random.default_rng(5)
-    texts = [[b"spam spam spam " * rng.integers(1, 30)] if i % 2 else [b"calm words here " * rng.integers(1, 30)] for i in range(120)]
+    texts = [b"spam spam spam " * rng.integers(1, 90) if i % 2 else b"calm words here " * rng.integers(1, 90) for i in range(120)]
     y = np.array([i % 2 for i in range(120)], float)
     loss = []
     for epochs in (0, 1, 6):
         net = Q.fit(texts, y, epochs)
-        p = np.array([net.probability(x[0]) for x in texts])
+        p = np.array([net.probability(x) for x in texts])
         loss.append(-np.mean(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)))
     assert loss[0] > loss[1] > loss[2] and ((p > 0.5) == y).all()
 
 
+def test_gradient_of_scoring_features():
+    """One step of training moves a table value as the loss of probability() itself does."""
+    rng = np.random.default_rng(11)
+    raw = rng.integers(0, 256, 1500).astype(np.uint8).tobytes()
+    start = Q.fit([raw], np.array([1.0]), epochs=0)
+    after = Q.fit([raw], np.array([1.0]), epochs=1)
+    loss = lambda net: -np.log(net.probability(raw))
+    body, _, where = start.tops(raw)
+    assert len(where) == len(Q.chunk_starts(len(raw))) > 1
+    for chunk, f in ((0, 0), (1, 3), (2, 5)):
+        j, byte = 2, int(body[where[chunk, f] * Q.STEP + 2])
+        ends = []
+        for d in (0.01, -0.01):
+            table = start.table.copy()
+            table[j, byte, f] += d
+            ends.append(loss(Q.Network(table, start.weights, start.bias)))
+        slope = (ends[0] - ends[1]) / 0.02
+        moved = after.table[j, byte, f] - start.table[j, byte, f]
+        assert abs(slope) < 1e-4 or moved * slope < 0
+
+
 def test_conflicting_labels_and_long_texts(spark):
     docs = spark.createDataFrame([(i, f"{'good prose of many words' if i % 2 else '$$ ## !!'} {i}") for i in range(40)] + [(1, "good again")] * 3 + [(100, "word " * 200_000)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(2, 1), (3, 0)] + [(4, 0)] * 5, "doc_id long, quality int")

@@ -81,3 +81,25 @@ def test_archives_of_others_plain_and_in_one_member(spark, tmp_path):
 def test_empty(spark):
     assert W.round_trip(frame(spark).limit(0)).count() == 0
     assert W.round_trip(frame(spark)).where(F.col("payload_bytes") < 0).count() == 0
+
+
+def test_malformed_lengths_are_passed_over(spark, tmp_path):
+    good = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\n%s\r\n\r\n"
+    bad = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %s\r\n\r\nbody\nWARC is a word\r\n\r\n"
+    raw = bad % b"ten" + good % b"first" + bad % b"-3" + bad % b"" + good % b"secon" + bad.replace(b"Content-Length: %s\r\n", b"") + good % b"third" + bad % b"1e3"
+    (tmp_path / "a.warc").write_bytes(raw)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(raw))
+    W.register(spark)
+    rows = spark.read.format("warc").load(str(tmp_path)).collect()
+    assert sorted(bytes(r.payload) for r in rows) == sorted([b"first", b"secon", b"third"] * 2)
+
+
+def test_hot_and_rare_digests(spark):
+    """A payload of over a thousandth of the pages goes another way than a rare pair; both give what SQL gives."""
+    pages = [(i, "u", "hot" if i % 3 else f"own {i}") for i in range(3000)] + [(5000 + i, "u", f"own {3 * i}") for i in range(4)] + [(None, None, "only null"), (None, None, "hot")]
+    got = sorted(map(tuple, W.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).select("record_type", "refers_to", "page_id").collect()), key=str)
+    first = {}
+    for i, _, html in pages:
+        first[html] = max(first.get(html, -1), -1 if i is None else i)
+    want = [("response", None, i) if (i if i is not None else -1) == first[h] else ("revisit", first[h], i) for i, _, h in pages]
+    assert got == sorted(want, key=str)
