@@ -162,6 +162,48 @@ def test_relations(spark):
         assert r.said and r.g.passed and not r.bad.passed, (q, r.g)
 
 
+OFFERED = "The school offered Bachelor Degree Programs in Physics and Law only and later Music and Art only."
+#: A question and a passage for each relation; every pair of them in one passage, in both orders, must give the one asked for.
+ONE_OF_EACH = {
+    "started_under": ("Under which act did EU start?", "EU started its operation under the Private University Act 2001."),
+    "initially_offered": ("Which bachelor programs were initially there?", OFFERED),
+    "program_discipline_counts": ("How many undergraduate disciplines?", "It has undergraduate programs in eight disciplines and post-graduate programs in five disciplines."),
+    "repeat_course_maximum": ("How many courses may be repeated?", "One may repeat at most three courses."),
+    "category_definition": ("What is Category 2?", "Category 1: Those who have nothing. A student of Category 1 may wait. Category 2: Those who passed all the prescribed courses and have no backlog. A student of Category 2 is eligible for registration in all courses."),
+    "mark_distribution": ("What is the marks distribution?", "The distribution of marks is: Attendance 10% Final Exam 90% Total 100%"),
+    "attendance_exam_requirement": ("What attendance does the final exam need?", "Students are required to attend at least 70% of all the classes to sit for the final examination."),
+    "honors_cgpa": ("Which CGPA gives honors?", "A degree with honors if his/her CGPA is 3.75 or above."),
+    "normal_progress_cgpa": ("Which CGPA is normal progress?", "It is normal progress towards a degree if his/her CGPA at the end is 2.20 or better."),
+    "regular_semester_count": ("How many regular semesters are there?", "There will be two semesters - Spring and Fall Semester in an academic year."),
+    "reexamination_deadline": ("When must a re-examination application come?", "within 7 (seven) working days from the publication of final results"),
+}
+
+
+def test_each_relation_beside_each_other(spark):
+    rows = [(a, ONE_OF_EACH[a][0], "\n".join(ONE_OF_EACH[x][1] for x in order)) for a in ONE_OF_EACH for b in ONE_OF_EACH if a != b for order in ((a, b), (b, a))]
+    got = spark.createDataFrame(rows, "want string, q string, t string").withColumn("r", L.extract(F.col("q"), F.col("t"))).collect()
+    assert [(r.want, r.q) for r in got if r.r is None or r.r.relation != r.want] == []
+
+
+def test_first_relation_by_order_and_spans(spark):
+    """Questions that ask for two relations, spans that must stop early, categories beside each other."""
+    both = ONE_OF_EACH["attendance_exam_requirement"][1] + "\n" + ONE_OF_EACH["mark_distribution"][1]
+    rows = [
+        ("What is the marks distribution of attendance and final exam?", both, "mark_distribution", ["10%", "90%"], ["Attendance", "Final Exam"]),
+        ("initially which bachelor programs?", OFFERED, "initially_offered", ["Physics", "Law"], []),
+        ("initially which bachelor programs?", "It offered Bachelor Degree Programs in Arts and Crafts and Law only.", "initially_offered", ["Arts and Crafts", "Law"], []),
+        ("initially which bachelor programs?", "It offered Bachelor Degree Programs in Law only.", None, None, None),
+        ("What is Category 1?", ONE_OF_EACH["category_definition"][1], None, None, None),
+        ("What is Category 3?", ONE_OF_EACH["category_definition"][1], None, None, None),
+        ("How many courses may be repeated?", "One may repeat at most several courses.", None, None, None),
+        ("ABC 111 and ABC 112 credits?", "ABC 111 Sample History 2.00 Nil", None, None, None),
+        ("ABC 111 credit and prerequisite?", "ABC 111 Sample History 2.00 ABC 110", "course_credits", ["2.00"], ["ABC 111"]),
+    ]
+    got = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(rows)], "i int, q string, t string").withColumn("r", L.extract(F.col("q"), F.col("t"))).orderBy("i").collect()
+    for want, r in zip(rows, got, strict=True):
+        assert (r.r and (r.r.relation, r.r["values"], r.r["labels"])) == (want[2] and want[2:]), (want, r.r)
+
+
 def test_metadata(spark):
     text = "Published by Example Department, 12/A, Some Road Edition 13th Edition, July 2017 Disclaimer This text may be subject to change without notice."
     got = values(spark, [(text,), ("Faculty publish papers.",), (None,)], {"t": "string"}, m=document_metadata(F.col("t")))
