@@ -17,11 +17,18 @@ from . import evidence as V
 
 # Cues and sentence forms of relations, in order; subject, value and a negation are named by their group.
 CUES = {
-    "published_by": "publish publisher প্রকাশ prokash", "accredited_by": "accredit স্বীকৃতি স্বীকৃত shikriti", "established": "establish founded প্রতিষ্ঠ protishth",
-    "operates_under": "under which act|operation|operates under|আইনের|অধীনে|odhine", "located_at": "located location address কোথায় ঠিকানা অবস্থিত kothay obosthito",
-    "offers": "offer available included program প্রোগ্রাম", "required": "required requirement must প্রয়োজন শর্ত lagbe", "allowed": "allowed|eligible|permissible|দিতে পারে|যোগ্য|dite pare|korte pare",
-    "prerequisite": "prerequisite pre-requisite পূর্বশর্ত", "fee": "fee payment ফি", "general_claim": "has have is was received contains includes",
-}
+    "published_by": ("publish", "publisher", "প্রকাশ", "prokash"),
+    "accredited_by": ("accredit", "স্বীকৃতি", "স্বীকৃত", "shikriti"),
+    "established": ("establish", "founded", "প্রতিষ্ঠ", "protishth"),
+    "operates_under": ("under which act", "operation", "operates under", "আইনের", "অধীনে", "odhine"),
+    "located_at": ("located", "location", "address", "কোথায়", "ঠিকানা", "অবস্থিত", "kothay", "obosthito"),
+    "offers": ("offer", "available", "included", "program", "প্রোগ্রাম"),
+    "required": ("required", "requirement", "must", "প্রয়োজন", "শর্ত", "lagbe"),
+    "allowed": ("allowed", "eligible", "permissible", "দিতে পারে", "যোগ্য", "dite pare", "korte pare"),
+    "prerequisite": ("prerequisite", "pre-requisite", "পূর্বশর্ত"),
+    "fee": ("fee", "payment", "ফি"),
+    "general_claim": ("has", "have", "is", "was", "received", "contains", "includes"),
+}
 FORMS = (
     ("accredited_by", r"^(.+?)\s+(?:(?:is|was|has\s+been)\s+)?accredited\s+(?:from|by)\s+(.+)$", 1, 2), ("accredited_by", r"^(.+?)\s+received\s+(?:a\s+)?(?:certificate\s+of\s+)?accreditation\s+(?:from|by)\s+(.+)$", 1, 2),
     ("published_by", r"^(?:(.+?)\s+(?:is|was)\s+)?published\s+by\s+(.+)$", 1, 2), ("prerequisite", r"^(.+?)\s+has\s+(?:no\s+)?prerequisite(?:\s*(?:is|:)?\s*(.*))?$", 1, 2),
@@ -37,13 +44,9 @@ CONDITIONAL = r"\bwhen\b|\bunder\s+what\s+conditions?\b|\b(?:kokhon|kobe)\b|\bki
 MOST_FACTS, LONGEST_PART = 4, 240
 
 
-def _cues(name: str) -> list[str]:
-    return CUES[name].split("|") if "|" in CUES[name] else CUES[name].split()
-
-
 def _has_cue(text: Column, name: str) -> Column:
     out = F.lit(False)
-    for cue in _cues(name):
+    for cue in CUES[name]:
         out = out | F.contains(text, F.lit(cue))
     return out
 
@@ -91,26 +94,28 @@ def _part(value: Column) -> Column:
     return F.nullif(F.substring(clean, 1, LONGEST_PART), F.lit(""))
 
 
-def fact(sentence: Column, relation: Column) -> Column:
-    """struct<relation, subject, value, polarity, evidence> of a sentence; subject and value null where no form fits."""
+def fact(sentence: Column, relation: Column, entity: Column | None = None) -> Column:
+    """struct<relation, subject, value, polarity, evidence> of a sentence; the value is null where no form fits, the subject
+    is then the entity that was asked for."""
     subject, value = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, form, s, v in reversed(FORMS):
         fits = (relation == name) & sentence.rlike("(?i)" + form)
         subject = F.when(fits, _part(F.regexp_extract(sentence, "(?i)" + form, s)) if s else F.lit(None).cast("string")).otherwise(subject)
         value = F.when(fits, _part(F.regexp_extract(sentence, "(?i)" + form, v))).otherwise(value)
     negative = (relation == "prerequisite") & sentence.rlike(r"(?i)\bhas\s+no\s+prerequisite")
+    subject = F.coalesce(subject, _part(entity)) if entity is not None else subject
     return F.struct(relation.alias("relation"), subject.alias("subject"), value.alias("value"), F.when(negative, "negative").otherwise(U.polarity(sentence)).alias("polarity"), sentence.alias("evidence"))
 
 
-def _fact_of(wanted: Column) -> Callable[[Column], Column]:
-    return lambda s: fact(s, stated_relation(s, wanted))
+def _fact_of(wanted: Column, entity: Column | None) -> Callable[[Column], Column]:
+    return lambda s: fact(s, stated_relation(s, wanted), entity)
 
 
-def fact_plan(question: Column, field: Column, evidence: Column) -> Column:
+def fact_plan(question: Column, field: Column, evidence: Column, entity: Column | None = None) -> Column:
     """The first facts, each once, of the excerpts (array) that state the relation asked for (any, if none is)."""
     wanted = wanted_relation(question, field)
     every = F.flatten(F.transform(F.coalesce(evidence, F.array().cast("array<string>")), sentences))
-    found = F.filter(F.transform(F.array_distinct(every), _fact_of(wanted)), lambda f: f["relation"].isNotNull() & (wanted.isNull() | (f["relation"] == wanted)))
+    found = F.filter(F.transform(F.array_distinct(every), _fact_of(wanted, entity)), lambda f: f["relation"].isNotNull() & (wanted.isNull() | (f["relation"] == wanted)))
     return F.slice(found, 1, MOST_FACTS)
 
 
@@ -153,7 +158,7 @@ def contract(question: Column, field: Column, entity: Column, language: Column,
             polarity.alias("polarity"), forbidden.alias("forbidden"), anchors(whole).alias("supported"), asks.alias("counted"), counts.alias("counts"), required.alias("required"), F.size(plan).alias("n_facts"), F.when(sure, "high").otherwise("limited").alias("confidence"),
         ).cast(CONTRACT)
 
-    return T.let(fact_plan(question, field, evidence), of)
+    return T.let(fact_plan(question, field, evidence, entity), of)
 
 
 def kept(answer: Column, c: Column) -> Column:

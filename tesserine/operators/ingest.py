@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import hadoop_path
 
 
 def discover(spark: SparkSession, root: str, suffix: str = "pdf") -> DataFrame:
-    """Descriptors of the files below root: document_id, relative_path, sha256, size_bytes; an error if there are none."""
-    pattern = "*.{" + f"{suffix.lower()},{suffix.upper()}" + "}"
+    """Descriptors of the files below root whose name ends in the suffix, in any case: document_id, relative_path, sha256,
+    size_bytes, modificationTime; FileNotFoundError if there are none. Only names are read to find that out."""
+    pattern = "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.lower() != c.upper() else c for c in suffix)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    base = root.rstrip("/").split(":")[-1].lstrip("/")
-    relative = F.regexp_replace("path", f"^.*{base}/", "")
+    if not files.select("path").limit(1).count():
+        raise FileNotFoundError(f"no .{suffix} file below {root}")
+    fs, at = hadoop_path(spark, root)
+    base = fs.resolvePath(at).toUri().getPath().rstrip("/") + "/"  # as the paths of the files are written
+    own = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?(?=/)", "")
+    relative = F.when(own.startswith(base), F.substring(own, F.lit(len(base) + 1), F.length(own))).otherwise(own)
     out = files.select(relative.alias("relative_path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), "modificationTime")
     return out.withColumn("document_id", document_id(F.col("relative_path"), F.col("sha256")))
 

@@ -62,6 +62,18 @@ def test_discovery(spark, tmp_path):
     assert len({r.document_id for r in got}) == 2 and all(len(r.document_id) == 28 for r in got)
 
 
+def test_discovery_of_odd_names(spark, tmp_path):
+    """Any case of the suffix, regex characters in the base path, and none at all."""
+    plain = tmp_path / "one.two+(three)"
+    (plain / "sub").mkdir(parents=True)
+    for name in ("x.Pdf", "sub/y%20z+.pDF"):
+        (plain / name).write_bytes(name.encode())
+    assert sorted(r.relative_path for r in ingest.discover(spark, str(plain)).collect()) == ["sub/y%20z+.pDF", "x.Pdf"]
+    assert sorted(r.relative_path for r in ingest.discover(spark, f"file://{plain}/").collect()) == ["sub/y%20z+.pDF", "x.Pdf"]
+    with pytest.raises(FileNotFoundError):
+        ingest.discover(spark, str(plain), "docx")
+
+
 def test_streaming_resumes(spark, tmp_path):
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
