@@ -130,20 +130,42 @@ def second_assessment(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.join(b, "query_id", "left").select("query_id", gate.alias("gate"), gate.isin("CANONICAL_QUERY_CONFLICT", "CANONICAL_QUERY_GATE").alias("adopted"))
 
 
+def rewritings(questions: DataFrame) -> DataFrame:
+    """query_id, query, method, validation of the questions (query_id, text) in Bangla or Banglish; query is blank where no
+    rewriting stands for the question."""
+    q = questions.select("query_id", F.coalesce("text", F.lit("")).alias("question"))
+    other = q.where(U.language(F.col("question")).isin("bangla", "banglish"))
+    return stored(other.withColumn("w", rewritten(F.col("question"))).select("query_id", "w.*"), "rewritten")
+
+
+def rankings(chunks: DataFrame, questions: DataFrame, again: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """BM25's rankings (query_id, chunk_id, rank) of the questions and of their rewritings (again), from one reading of the
+    corpus: both forms are queries of one batch over one stored table of postings."""
+    form = lambda df, n, text: df.select(F.struct("query_id", F.lit(n).alias("form")).alias("query_id"), text.alias("text"))
+    both = form(questions, 0, F.col("text")).unionByName(form(again.where("query != ''"), 1, F.col("query")))
+    found = stored(R.bm25(chunks, both, k).select("query_id.*", "chunk_id", "rank"), "rankings")
+    return tuple(found.where(F.col("form") == n).select("query_id", "chunk_id", "rank") for n in (0, 1))  # type: ignore[return-value]
+
+
+def second_pass(chunks: DataFrame, first: DataFrame, own: DataFrame, other: DataFrame, again: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(gates, second): the assessments of rewritings over both rankings fused, for the questions whose own assessment
+    (first) is insufficient, and which of both holds (see second_assessment())."""
+    weak = first.where("support = 'insufficient'").select("query_id")
+    good = again.where("query != ''").join(weak, "query_id", "left_semi")
+    both = R.fuse_two(own.join(good.select("query_id"), "query_id", "left_semi"), other.join(good.select("query_id"), "query_id", "left_semi"), k).select("query_id", "chunk_id", "rank")
+    asked = good.select("query_id", F.col("query").alias("question")).withColumn("a", U.analysis(F.col("question")))
+    second = stored(V.assessed(both.join(chunks, "chunk_id"), asked).join(again, "query_id"), "assessed")
+    return second_assessment(first, second), second
+
+
 def reassessed(chunks: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     """Assessments of questions (query_id, text) of which those in Bangla or Banglish with insufficient evidence are asked
     again in English, over both rankings fused: query_id, gate, adopted, status, reason, level, query."""
     q = questions.select("query_id", F.coalesce("text", F.lit("")).alias("question")).withColumn("a", U.analysis(F.col("question")))
-    ranking = stored(R.bm25(chunks, questions, k).select("query_id", "chunk_id", "rank"), "ranking")
-    first = stored(V.assessed(ranking.join(chunks, "chunk_id"), q), "assessed")
-    weak = first.where((F.col("support") == "insufficient") & F.col("a.language").isin("bangla", "banglish")).select("query_id", "question")
-    again = stored(weak.withColumn("w", rewritten(F.col("question"))).select("query_id", "w.*"), "rewritten")
-    good = again.where("query != ''")
-    other = R.bm25(chunks, good.select("query_id", F.col("query").alias("text")), k).select("query_id", "chunk_id", "rank")
-    both = R.fuse_two(ranking.join(good.select("query_id"), "query_id", "left_semi"), other, k).select("query_id", "chunk_id", "rank")
-    asked = good.select("query_id", F.col("query").alias("question")).withColumn("a", U.analysis(F.col("question")))
-    second = stored(V.assessed(both.join(chunks, "chunk_id"), asked).join(again, "query_id"), "assessed")
-    gates = second_assessment(first, second)
+    again = rewritings(questions)
+    own, other = rankings(chunks, questions, again, k)
+    first = stored(V.assessed(own.join(chunks, "chunk_id"), q), "assessed")
+    gates, second = second_pass(chunks, first, own, other, again, k)
     new = second.select("query_id", "query", *[F.col(c).alias(f"new_{c}") for c in ("status", "reason", "level")])
     out = first.join(gates, "query_id").join(new, "query_id", "left")
     return out.select("query_id", "gate", "adopted", *[F.when(F.col("adopted"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("status", "reason", "level")], "query")

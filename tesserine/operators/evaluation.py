@@ -125,6 +125,39 @@ def parity(rows: DataFrame, base: str, variant: str, supported: Column, names: t
     return out.select(base, said.alias("category"))
 
 
+def _same_sets(kept: Column, value: Column) -> Column:
+    """How many different sets the kept rows of a group have, as an order-free digest: value is a hash of a set's members."""
+    return F.count_distinct(F.when(kept, value))
+
+
+def members(values: Column) -> Column:
+    """A hash of the members of an array, in any order and however often: for equality of sets. Null for null."""
+    plain = F.array_sort(F.array_distinct(F.transform(values, lambda v: F.lower(v.cast("string")))))
+    return F.when(values.isNotNull(), F.xxhash64(F.size(plain), F.array_join(F.transform(plain, lambda v: F.concat(F.length(v).cast("string"), F.lit(":"), v)), "")))
+
+
+def full_parity(rows: DataFrame, base: str, variant: str, supported: Column, safe: Column, evidence: Column, answer: Column, values: Column, names: tuple[str, str, str]) -> DataFrame:
+    """parity() and, of each base, whether its three variants rest on the same evidence (one (document, page) among the safe
+    ones), state the same numbers (as a multiset, of the safe answers) and the same values (as a set; null where a variant
+    has none). All three are null unless all variants are supported, and numbers also if no safe answer has any."""
+    numbers = F.array_sort(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"\d+(?:\.\d+)?"), F.lit(0)))
+    own = rows.where(F.col(variant).isin(*names)).withColumns({
+        "_s": F.coalesce(supported, F.lit(False)), "_safe": F.coalesce(safe, F.lit(False)), "_e": F.xxhash64(evidence), "_n": F.xxhash64(F.array_join(numbers, " ")), "_some": F.size(numbers) > 0,
+        "_v": members(F.when(F.size(values) > 0, values)),
+    })
+    per = own.groupBy(base).agg(
+        F.count_distinct(F.when(F.col("_s"), F.col(variant))).alias("_k"), _same_sets(F.col("_safe"), F.col("_e")).alias("_es"), _same_sets(F.col("_safe"), F.col("_n")).alias("_ns"),
+        F.coalesce(F.bool_or(F.when(F.col("_safe"), F.col("_some"))), F.lit(False)).alias("_any"), F.count_distinct("_v").alias("_vs"), F.count_if(F.col("_v").isNull()).alias("_without"),
+    )
+    all3 = F.col("_k") == 3
+    told = per.select(
+        F.col(base).alias("_base"), F.when(all3, F.col("_es") == 1).alias("same_evidence"), F.when(all3 & F.col("_any"), F.col("_ns") == 1).alias("same_numbers"),
+        F.when(all3 & (F.col("_without") == 0), F.col("_vs") == 1).alias("same_values"),
+    )
+    out = parity(rows, base, variant, supported, names)
+    return out.join(told, out[base].eqNullSafe(told["_base"])).drop("_base")
+
+
 def kappa(pairs: DataFrame, a: str, b: str, categories: int | None = None) -> DataFrame:
     """Cohen's kappa of two raters, nominal, or quadratic-weighted over 0..categories-1: n, observed, expected, kappa.
 
@@ -152,8 +185,52 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, per_stratum: int, s
     return df.withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= per_stratum)
 
 
-def compare_runs(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
-    """Full comparison of two runs by key: both values and improved, regressed, unchanged, only_first or only_second."""
+class RunsDiffer(ValueError):
+    """Two runs that should have the same questions have not."""
+
+
+def set_digest(rows: DataFrame, keys: list[str]) -> tuple[int, int, int, int]:
+    """Of the distinct keys of rows: their number, the xor and the sum of their hashes, and how many rows repeat a key. The same for
+    the same set in any order; one aggregate."""
+    h = F.xxhash64(*[F.struct(F.col(k).isNull(), F.col(k)) for k in keys])
+    one = rows.groupBy(*keys).agg(F.count("*").alias("_n")).select(h.alias("h"), "_n")
+    found = one.agg(F.count("*"), F.coalesce(F.bit_xor("h"), F.lit(0)), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()
+    return found[0], found[1], int(found[2]), found[3]
+
+
+def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> list[Column]:
+    return [a[k].eqNullSafe(b[k]) for k in keys]
+
+
+def unmatched(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, side): each key of one run that the other lacks; nulls are keys like others."""
+    a, b = first.select(*keys).distinct(), second.select(*keys).distinct()
+    only = lambda x, y, side: x.join(y, _null_safe(x, y, keys), "left_anti").withColumn("side", F.lit(side))
+    return only(a, b, "first").unionByName(only(b, a, "second"))
+
+
+def aligned_runs(first: DataFrame, second: DataFrame, keys: list[str], mode: str = "strict") -> tuple[DataFrame, DataFrame]:
+    """Both runs, to be compared row by row. `strict`: RunsDiffer unless both have the same keys, each once; the digests of
+    both sets decide, and only if these differ is the difference computed, ten keys of which the error names. `aligned_subset`:
+    the rows whose keys both have; repeated keys are an error all the same."""
+    if mode not in ("strict", "aligned_subset"):
+        raise ValueError(f"unknown mode {mode!r}")
+    a, b = set_digest(first, keys), set_digest(second, keys)
+    if a[3] or b[3]:
+        raise RunsDiffer(f"{a[3]} and {b[3]} rows repeat a key")
+    if a == b:
+        return first, second
+    if mode == "strict":
+        some = unmatched(first, second, keys).limit(10).collect()
+        raise RunsDiffer("; ".join(f"only in the {r['side']} run: {', '.join(str(r[k]) for k in keys)}" for r in some))
+    return first.join(second.select(*keys), _null_safe(first, second, keys), "left_semi"), second.join(first.select(*keys), _null_safe(second, first, keys), "left_semi")
+
+
+def compare_runs(first: DataFrame, second: DataFrame, key: str, value: str, mode: str | None = None) -> DataFrame:
+    """Comparison of two runs by key: both values and improved, regressed, unchanged, only_first or only_second. With a mode
+    of aligned_runs() the runs are aligned first, so the last two do not occur."""
+    if mode is not None:
+        first, second = aligned_runs(first, second, [key], mode)
     a, b = first.select(key, F.col(value).alias("before"), F.lit(True).alias("_a")), second.select(key, F.col(value).alias("after"), F.lit(True).alias("_b"))
     change = F.when(F.col("_b").isNull(), "only_first").when(F.col("_a").isNull(), "only_second").when(F.col("after") > F.col("before"), "improved").when(F.col("after") < F.col("before"), "regressed").otherwise("unchanged")
     return a.join(b, key, "full").select(key, "before", "after", change.alias("change"))

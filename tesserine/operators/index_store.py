@@ -1,14 +1,14 @@
 """Stored indexes: postings, lengths, entity rows and vectors as Parquet with a manifest, validated when loaded.
 
 A folder holds `postings` (sorted by token in each file, with Bloom filters, so that a search reads the row groups of its own
-tokens), `entities`, `vectors` where there are any, and `manifest.json`. It is written beside its place and moved there last.
+tokens), `entities`, `vectors` where there are any, and `manifest.json`. It is a version (storage.Versions): readers of an older
+one are not disturbed, and one that fails a check was never the index.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..config import BM25_B, BM25_K1, RetrievalConfig
 from ..functions import text as T
-from ..storage import hadoop_path, read_bytes, write_bytes
+from ..storage import Versions, read_bytes, write_bytes
+from .ordinals import embedding_rows
 from . import retrieval as R
 from .traces import index_problems
 
@@ -63,40 +64,34 @@ class SparseIndex:
         return R.metadata_candidates(self.table("entities"), queries, k)
 
 
-def _publish(spark: SparkSession, staged: str, path: str) -> None:
-    fs, at = hadoop_path(spark, path)
-    _, beside = hadoop_path(spark, staged)
-    if fs.exists(at):
-        fs.delete(at, True)
-    fs.mkdirs(at.getParent())
-    if not fs.rename(beside, at):
-        raise OSError(f"could not move an index to {path}")
-
-
 def build_sparse(chunks: DataFrame, path: str, config: RetrievalConfig = RetrievalConfig(), vectors: DataFrame | None = None, vector_settings: dict | None = None) -> SparseIndex:
     """Writes the index of chunks (chunk_id, text and, for the metadata channel, entity, field, page) and, if given, their
-    vectors (chunk_id, embedding). One tokenising pass; the mean length comes from the postings."""
+    vectors (chunk_id, embedding), as a new version. One tokenising pass; the mean length comes from the postings."""
     spark = chunks.sparkSession
-    staged = f"{path}.{uuid.uuid4().hex}.tmp"
-    rows = R.postings(chunks).sortWithinPartitions("token", "chunk_id")
-    rows.write.option("parquet.bloom.filter.enabled#token", "true").parquet(f"{staged}/postings")
-    if {"entity", "field", "page"} <= set(chunks.columns):
-        chunks.select("chunk_id", "entity", "field", "page").write.parquet(f"{staged}/entities")
-    found = spark.read.parquet(f"{staged}/postings")
-    total, words = found.agg(F.coalesce(F.sum("tf"), F.lit(0)), F.count_distinct("token")).first()
-    bound = binding(chunks)
-    manifest = {
-        "schema_version": SCHEMA_VERSION, "implementation": IMPLEMENTATION, "tokenizer": TOKENIZER, "configuration_fingerprint": configuration_fingerprint(config.k1, config.b),
-        "k1": config.k1, "b": config.b, "chunk_count": bound["rows"], "average_length": total / bound["rows"] if bound["rows"] else 0.0, "vocabulary_size": words, "binding": bound,
-    }
-    if vectors is not None:
-        vectors.select("chunk_id", "embedding").write.parquet(f"{staged}/vectors")
-        dims = vectors.agg(F.max(F.size("embedding")), F.count("*")).first()
-        manifest |= {"vector_count": dims[1], "vector_dimension": dims[0], "vector_settings": vector_settings or {}}
-    manifest["manifest_fingerprint"] = manifest_fingerprint(manifest)
-    write_bytes(spark, f"{staged}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True).encode())
-    _publish(spark, staged, path)
-    return SparseIndex(spark, path, manifest)
+    made: dict = {}
+
+    def write(folder: str) -> None:
+        rows = R.postings(chunks).sortWithinPartitions("token", "chunk_id")
+        rows.write.option("parquet.bloom.filter.enabled#token", "true").parquet(f"{folder}/postings")
+        if {"entity", "field", "page"} <= set(chunks.columns):
+            chunks.select("chunk_id", "entity", "field", "page").write.parquet(f"{folder}/entities")
+        total, words = spark.read.parquet(f"{folder}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.count_distinct("token")).first()
+        bound = binding(chunks)
+        manifest = {
+            "schema_version": SCHEMA_VERSION, "implementation": IMPLEMENTATION, "tokenizer": TOKENIZER, "configuration_fingerprint": configuration_fingerprint(config.k1, config.b),
+            "k1": config.k1, "b": config.b, "chunk_count": bound["rows"], "average_length": total / bound["rows"] if bound["rows"] else 0.0, "vocabulary_size": words, "binding": bound,
+        }
+        if vectors is not None:
+            own = embedding_rows(chunks).join(vectors.select("chunk_id", "embedding"), "chunk_id")
+            own.sortWithinPartitions("vector_row").write.parquet(f"{folder}/vectors")
+            dims = spark.read.parquet(f"{folder}/vectors").agg(F.max(F.size("embedding")), F.count("*")).first()
+            manifest |= {"vector_count": dims[1], "vector_dimension": dims[0], "vector_settings": vector_settings or {}}
+        manifest["manifest_fingerprint"] = manifest_fingerprint(manifest)
+        write_bytes(spark, f"{folder}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True).encode())
+        made.update(manifest)
+
+    version = Versions(spark, path).publish(write)
+    return SparseIndex(spark, version["path"], made)
 
 
 def manifest_fingerprint(manifest: dict) -> str:
@@ -104,10 +99,16 @@ def manifest_fingerprint(manifest: dict) -> str:
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
-    body = read_bytes(spark, f"{path}/manifest.json")
+    """The manifest of the current version; None if there is no index."""
+    found = Versions(spark, path).current()
+    body = read_bytes(spark, f"{found['path']}/manifest.json") if found else None
     return None if body is None else json.loads(body)
 
 
+def _opened(spark: SparkSession, path: str, manifest: dict) -> SparseIndex:
+    return SparseIndex(spark, Versions(spark, path).current()["path"], manifest)
+
+
 def is_fresh(manifest: dict | None, chunks: DataFrame, config: RetrievalConfig = RetrievalConfig(), vector_settings: dict | None = None) -> bool:
     """Whether an index stands for these chunks and settings as it is."""
     return (
@@ -129,7 +130,7 @@ def load_sparse(spark: SparkSession, path: str, chunks: DataFrame | None = None,
         raise IndexMismatch("the index was built with another tokenizer or other settings")
     if chunks is not None and manifest.get("binding") != binding(chunks):
         raise IndexMismatch("the index is bound to other chunks")
-    out = SparseIndex(spark, path, manifest)
+    out = _opened(spark, path, manifest)
     if deep and chunks is not None:
         problems = index_problems(out.table("postings"), chunks.select("chunk_id").withColumn("dl", F.lit(None).cast("long"))).first()
         if problems["bad_postings"] or problems["orphans"]:
@@ -140,21 +141,23 @@ def load_sparse(spark: SparkSession, path: str, chunks: DataFrame | None = None,
 def reuse_or_build(chunks: DataFrame, path: str, config: RetrievalConfig = RetrievalConfig()) -> SparseIndex:
     """The stored index if it is fresh, else a new one in its place."""
     manifest = read_manifest(chunks.sparkSession, path)
-    return SparseIndex(chunks.sparkSession, path, manifest) if manifest and is_fresh(manifest, chunks, config) else build_sparse(chunks, path, config)
+    return _opened(chunks.sparkSession, path, manifest) if manifest and is_fresh(manifest, chunks, config) else build_sparse(chunks, path, config)
 
 
 def load_vectors(index: SparseIndex, chunks: DataFrame, settings: dict | None = None) -> DataFrame:
-    """The stored vectors. IndexMismatch if there are none, their settings, number or sizes differ from what the manifest
-    says, one is not finite, or a vector has no chunk."""
+    """The stored vectors (vector_row, chunk_id, embedding, embedding_content_sha256). IndexMismatch if there are none, their
+    settings, number or sizes differ from what the manifest says, one is not finite, a row number is missing or repeats, or
+    a vector's chunk is gone or has another text."""
     m = index.manifest
     if "vector_count" not in m:
         raise IndexMismatch("the index has no vectors")
     if settings is not None and m["vector_settings"] != settings:
         raise IndexMismatch("the vectors were made with other settings")
     rows = index.table("vectors")
-    report = R.vector_report(rows)
-    bad = report.agg(F.count("*").alias("n"), F.count_if((F.col("dims") != m["vector_dimension"]) | ~F.col("finite")).alias("bad")).first()
-    lone = rows.join(chunks.select("chunk_id"), "chunk_id", "left_anti").limit(1).count()
-    if bad["n"] != m["vector_count"] or bad["bad"] or lone:
-        raise IndexMismatch(f"{bad['n']} vectors, {bad['bad']} of them wrong, {'some' if lone else 'none'} without a chunk")
+    bad = R.vector_report(rows).agg(F.count("*").alias("n"), F.count_if((F.col("dims") != m["vector_dimension"]) | ~F.col("finite")).alias("bad")).first()
+    places = rows.agg(F.count_distinct("vector_row").alias("n"), F.coalesce(F.min("vector_row"), F.lit(0)).alias("low")).first()
+    now = chunks.select("chunk_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("now"))
+    stale = rows.join(now, "chunk_id", "left").where(~F.col("now").eqNullSafe(F.col("embedding_content_sha256"))).limit(1).count()
+    if bad["n"] != m["vector_count"] or bad["bad"] or stale or places["n"] != bad["n"] or places["low"] < 0:
+        raise IndexMismatch(f"{bad['n']} vectors, {bad['bad']} of them wrong, {places['n']} row numbers, {'some' if stale else 'none'} without their chunk's text")
     return rows

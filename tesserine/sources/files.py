@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import coalesce_blank
-from ..storage import hadoop_path, write_bytes
+from ..storage import Versions, write_bytes
 
 
 class HeaderError(ValueError):
@@ -145,15 +144,17 @@ def nested_as_json(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header in a folder that is written beside `path` and moved there when it is whole."""
-    spark = df.sparkSession
-    beside = f"{path}.{uuid.uuid4().hex}.tmp"
-    nested_as_json(df).write.option("header", True).option("escape", '"').csv(beside)
-    fs, at = hadoop_path(spark, path)
-    if fs.exists(at):
-        fs.delete(at, True)
-    if not fs.rename(hadoop_path(spark, beside)[1], at):
-        raise OSError(f"could not move a table to {path}")
+    """CSV with a header, as a new version below `path`: csv_folder() says where the current one is, and a writer that fails
+    or ends before its commit leaves the old one in force."""
+    Versions(df.sparkSession, path).publish(lambda folder: nested_as_json(df).write.option("header", True).option("escape", '"').csv(folder))
+
+
+def csv_folder(spark: SparkSession, path: str) -> str:
+    """The folder of the current version that write_csv() made; FileNotFoundError if there is none."""
+    found = Versions(spark, path).current()
+    if found is None:
+        raise FileNotFoundError(path)
+    return found["path"]
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
@@ -199,23 +200,24 @@ def read_checkpoint(spark: SparkSession, path: str, key: str, run: str) -> DataF
     return rows
 
 
-def publish(tables: dict[str, DataFrame], root: str, check) -> str:
-    """Writes tables to a new version folder, checks them as read back, and only then moves the pointer to it.
-
-    The pointer is a one-row table written last; a failure before that leaves the old version in force.
-    """
+def publish(tables: dict[str, DataFrame], root: str, check, on: int | None = None) -> int:
+    """Writes tables to a new version, checks them as read back, and only then commits it; its number. A failure before that
+    leaves the old version in force; storage.Conflict if another writer has committed meanwhile."""
     spark = next(iter(tables.values())).sparkSession
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/version={version}/{name}")
-    check({name: spark.read.parquet(f"{root}/version={version}/{name}") for name in tables})
-    spark.createDataFrame([(version, json.dumps(sorted(tables)))], "version string, tables string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
-    return version
+
+    def write(folder: str) -> dict:
+        for name, df in tables.items():
+            df.write.parquet(f"{folder}/{name}")
+        return {"tables": sorted(tables)}
+
+    return Versions(spark, root).publish(write, lambda folder: check({name: spark.read.parquet(f"{folder}/{name}") for name in tables}), on)["number"]
 
 
 def current(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    row = spark.read.parquet(f"{root}/pointer").orderBy(F.desc("at")).first()
-    return {name: spark.read.parquet(f"{root}/version={row['version']}/{name}") for name in json.loads(row["tables"])}
+    found = Versions(spark, root).current()
+    if found is None:
+        raise FileNotFoundError(root)
+    return {name: spark.read.parquet(f"{found['path']}/{name}") for name in found["tables"]}
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:

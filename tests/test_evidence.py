@@ -297,5 +297,5 @@ def test_answers(spark):
     got = {r.query_id: r for r in V.answer(chunks, questions).collect()}
     assert {k: r.status for k, r in got.items()} == {1: "SUPPORTED", 2: "CONFLICTING_EVIDENCE", 3: "AMBIGUOUS_QUERY", 4: "INSUFFICIENT_EVIDENCE", 5: "SUPPORTED", 6: "OUT_OF_DOMAIN", 7: "SUPPORTED"}
     assert got[1].answer == "CSE 205 carries 3.0 credits." and got[5].answer == "CSE 205 course-er prerequisite holo CSE 101." and not got[7].answered and got[1].evidence_chunk == 1
-    made = {r.query_id: r for r in V.answer(chunks, questions, generate=lambda q, e: F.concat(F.lit("See: "), e)).collect()}
-    assert made[7].answer.startswith("See: The library") and V.answer(chunks, questions.limit(0)).count() == 0
+    made = {r.query_id: r for r in V.answer(chunks, questions, generate=lambda q, e: F.concat(F.lit("As is said: "), e)).collect()}
+    assert made[7].answer.startswith("As is said: The library") and made[7].attempts == 1 and made[1].attempts == 0 and V.answer(chunks, questions.limit(0)).count() == 0

@@ -3,6 +3,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tesserine import storage
 from tesserine.operators import index_store, ingest, labels, review, runs, structure
 from tesserine.operators import retrieval as R
 from tesserine.sources import files
@@ -179,7 +180,7 @@ def test_stored_index(spark, tmp_path):
             wrong()
     other = chunks.withColumn("text", F.concat("text", F.lit("!")))
     assert not index_store.is_fresh(index_store.read_manifest(spark, path), other) and index_store.reuse_or_build(other, path).manifest != built.manifest
-    files.write_json(spark, f"{path}/manifest.json", {})
+    files.write_json(spark, f"{storage.Versions(spark, path).current()['path']}/manifest.json", {})
     with pytest.raises(index_store.IndexMismatch):
         index_store.load_sparse(spark, path)
 
@@ -204,7 +205,7 @@ def test_workbooks_logs_and_reports(spark, tmp_path):
     out = str(tmp_path / "table")
     for n in (3, 2):
         files.write_csv(spark.range(n).withColumn("x", F.array(F.lit(1))), out)
-    back = files.read_csv(spark, out + "/*.csv")
+    back = files.read_csv(spark, files.csv_folder(spark, out) + "/*.csv")
     assert back.count() == 2 and back.first().x == "[1]"
     files.write_json(spark, str(tmp_path / "a.json"), {"b": 1, "a": 2})
     assert (tmp_path / "a.json").read_text().startswith('{\n  "a"') and "9 rows more" in files.markdown(spark.range(10), 1) and files.report("T", {"s": spark.range(1)}).startswith("# T\n\n## s")
