@@ -18,7 +18,7 @@ SLACK, ACCURACY = 0.0005, 10_000
 class Measures:
     """What is summed up. rates: name to (hit, counted): rows that count have a non-null hit and `counted` true. means and
     totals: name to a number; null is left out. seconds: columns whose mean, median and nearest-rank 95th percentile are
-    wanted. hours: name to a column of seconds, for rows an hour of that time."""
+    wanted. hours: name to a column of seconds, for rows an hour of that time. No name is dimension, value or n."""
 
     rates: dict[str, tuple[Column, Column | None]] = field(default_factory=dict)
     means: dict[str, Column] = field(default_factory=dict)
@@ -44,7 +44,7 @@ def group_summary(rows: DataFrame, dims: dict[str, Column], measures: Measures,
     rate: <name>_n, <name>_hits, <name> with <name>_low and <name>_high (Wilson); mean: <name>_n, <name>; total: <name>;
     seconds: <name>_n, _mean, _median, _p95; hours: <name>_per_hour (null where no time passed). What nothing counts for is
     null. Values of a dimension with fewer rows than least[dimension] are left out. A null value of a dimension is
-    NOT_AVAILABLE. No rows: one row for all of 0 rows.
+    NOT_AVAILABLE. No rows give no row.
 
     All sums are one GROUPING SETS plan, combined in the tasks. Percentiles are exact: the same pass bounds the values near
     each one, and only those, counted by value, are put in order.

@@ -1,7 +1,7 @@
 """Queries for understanding, evidence and answers over the driver's tables.
 
-The tables hold neither course codes nor Bengali, so the SQL of question_analysis leaves out those rules; they, and the rules
-of evidence, are held against literal passages in evidence_cases, whose SQL is the list of expected rows.
+The tables hold neither course codes nor Bengali, so the SQL of question_analysis leaves out those rules. The rules of evidence
+and of relations are held against passages that Spark makes of each document: statements with codes and numbers of its own.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import understanding as U
 from ..operators import evidence as V
+from ..operators import relations as L
 from ..operators import structure as S
 from ..session import table
 from .retrieval_queries import chunks
@@ -67,14 +68,52 @@ CASES = [
 
 
 def evidence_cases(spark, sf):
-    rows = [(q, f"{q}-{i}", i + 1, t, f"d{i}", i, "course" if e else None, e, f) for q, (_, ps, _) in enumerate(CASES) for i, (t, e, f) in enumerate(ps)]
-    candidates = spark.createDataFrame(rows, "query_id long, chunk_id string, rank int, text string, document_id string, page int, entity_type string, entity_id string, field_types array<string>")
-    questions = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "query_id long, question string").withColumn("a", U.analysis(F.col("question")))
+    """For each document one of CASES, with a course number of its own: what the passages support."""
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("ABC "), (F.col("doc_id") % 900 + 100).cast("string")).alias("code"), (F.col("doc_id") % len(CASES)).alias("case"))
+    kind = "`case` long, i int, text string, entity string, fields array<string>"
+    passages = spark.createDataFrame([(n, i, *p) for n, (_, ps, _) in enumerate(CASES) for i, p in enumerate(ps)], kind)
+    own = lambda c: F.replace(F.col(c), F.lit("ABC 234"), F.col("code"))
+    rows = docs.join(passages, "case").select(
+        F.col("doc_id").alias("query_id"), F.concat_ws("-", "doc_id", "i").alias("chunk_id"), (F.col("i") + 1).alias("rank"), own("text").alias("text"), F.format_string("d%d", "i").alias("document_id"),
+        F.col("i").alias("page"), F.when(F.col("entity").isNotNull(), "course").alias("entity_type"), own("entity").alias("entity_id"), F.col("fields").alias("field_types"),
+    )
+    asked = spark.createDataFrame([(n, c[0]) for n, c in enumerate(CASES)], "`case` long, text string")
+    questions = docs.join(asked, "case").select(F.col("doc_id").alias("query_id"), own("text").alias("question")).withColumn("a", U.analysis(F.col("question")))
     torn = F.when(F.col("support") == "conflicting", F.array_join("conflicting_values", ",")).otherwise("")
-    return V.assessed(candidates, questions).select("query_id", "support", "status", "reason", "level", torn.alias("conflicting_values"))
+    return V.assessed(rows, questions).select("query_id", "support", "status", "reason", "level", torn.alias("conflicting_values"))
 
 
-_CASES = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, " + ", ".join(f"'{x}'" for x in c[2]) + ")" for i, c in enumerate(CASES)) + ") AS t(query_id, support, status, reason, level, conflicting_values)"
+_CASES = "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, " + ", ".join(f"'{x}'" for x in c[2]) + ")" for i, c in enumerate(CASES)) + f") AS v(n, support, status, reason, level, conflicting_values)) SELECT doc_id AS query_id, t.* EXCLUDE (n) FROM documents JOIN t ON doc_id % {len(CASES)} = n"
+
+#: A question, what a passage states (with numbers n and m of the document), the relation, its values and the English answer.
+STATED = [
+    ("What attendance does the final exam need?", "Students are required to attend at least {n}% of all the classes to sit for the final examination.", "attendance_exam_requirement", "{n}%", "A student must attend at least {n}% of classes to sit for the final examination."),
+    ("Which CGPA gives honors?", "One gets a degree with honors if his/her CGPA is 3.{n} or above.", "honors_cgpa", "3.{n}", "A degree with honors requires a CGPA of 3.{n} or above."),
+    ("What is the maximum number of courses that may be repeated?", "One may repeat at most {n} courses.", "repeat_course_maximum", "{n}", "A student may repeat at most {n} courses for grade improvement."),
+    ("Under which act did EU start?", "EU started its operation under the Private University Act 19{n}.", "started_under", "Private University Act 19{n}", "EU started its operation under Private University Act 19{n}."),
+    ("What is the marks distribution of attendance and final exam?", "The distribution of marks is: Attendance {n}% Final Exam {m}% Total 100%", "mark_distribution", "{n}%;{m}%", "The mark distribution is Attendance {n}%, Final Exam {m}%."),
+    ("When must the re-examination application be submitted?", "It is due within {n} (so many) working days from the publication of final results.", "reexamination_deadline", "{n}", "The re-examination application must be submitted within {n} working days after publication of final results."),
+]
+
+
+def stated_relations(spark, sf):
+    """Of each document a passage that states all of STATED with its own numbers, before the document's text, and one of the
+    questions: the relation that is taken from it, its values and the sentence."""
+    docs = table(spark, sf, "documents").withColumns({"n": (F.col("doc_id") % 80 + 10).cast("string"), "m": (90 - F.col("doc_id") % 80).cast("string"), "case": F.col("doc_id") % len(STATED)})
+    filled = lambda form: F.replace(F.replace(F.lit(form), F.lit("{n}"), F.col("n")), F.lit("{m}"), F.col("m"))
+    turned = F.array(*[filled(s[1]) for s in STATED])
+    passage = F.concat_ws("\n", F.slice(turned, (F.col("doc_id") % 5 + 1).cast("int"), F.lit(len(STATED))), F.slice(turned, F.lit(1), (F.col("doc_id") % 5).cast("int")), F.coalesce("text", F.lit("")))
+    question = F.get(F.array(*[F.lit(s[0]) for s in STATED]), F.col("case").cast("int"))
+    out = docs.select("doc_id", L.extract(question, passage).alias("r"))
+    return out.select("doc_id", "r.relation", F.array_join("r.values", ";").alias("values_"), L.realise(F.col("r"), F.lit("english")).alias("answer"))
+
+
+def _filled_sql(i: int) -> str:
+    forms = " ".join(f"WHEN {n} THEN '{s[i]}'" for n, s in enumerate(STATED))
+    return f"replace(replace(CASE doc_id % {len(STATED)} {forms} END, '{{n}}', CAST(doc_id % 80 + 10 AS VARCHAR)), '{{m}}', CAST(90 - doc_id % 80 AS VARCHAR))"
+
+
+_STATED = f"SELECT doc_id, {_filled_sql(2)} AS relation, {_filled_sql(3)} AS values_, {_filled_sql(4)} AS answer FROM documents"
 
 
 def retrieval_text_sql(text: str) -> str:
@@ -122,6 +161,6 @@ _INTENTS = f"WITH r AS (SELECT coalesce(text, '') AS t, {retrieval_text_sql('tex
 _NORMAL = f"SELECT doc_id, sha256({T.normalize_unicode_sql('text')}) AS sha256, sha256({T.clean_page_sql('text')}) AS clean_sha256 FROM documents"
 
 REGISTRY = {
-    "question_analysis": (question_analysis, _ANALYSIS), "document_intents": (document_intents, _INTENTS), "normalized_text": (normalized_text, _NORMAL), "evidence_cases": (evidence_cases, _CASES),
+    "question_analysis": (question_analysis, _ANALYSIS), "document_intents": (document_intents, _INTENTS), "normalized_text": (normalized_text, _NORMAL), "evidence_cases": (evidence_cases, _CASES), "stated_relations": (stated_relations, _STATED),
     "page_structure": (page_structure, None), "chunk_problems": (chunk_problems, None), "answer_questions": (answer_questions, None),
 }
