@@ -8,7 +8,6 @@ words. Training maximises just that by EM on a bounded sample of labelled docume
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -30,8 +29,17 @@ SIDE_BY_SIDE = 40
 SCALE = 16.0
 #: Distinct words that a worker remembers (the first ones).
 MEMORY_WORDS = 120_000
-#: `\w` also has numbers that are no decimal digits (superscripts, fractions, Roman and circled numerals); they are no letters.
-LETTERS = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
+#: Runs of letters and of numbers that are no decimal digits (superscripts, fractions, Roman and circled numerals), which `\w`
+#: has too; runs() takes those out.
+RUNS = re.compile(r"[^\W\d_]+")
+
+
+def runs(text: str) -> list[str]:
+    """Runs of letters of a text."""
+    found = RUNS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -48,7 +56,7 @@ def vocabulary(path: str) -> dict[str, int]:
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower case."""
-    return LETTERS.findall((text or "").lower())
+    return runs((text or "").lower())
 
 
 class Pieces:
@@ -307,7 +315,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", memory_words: int
 
 
 def _lettered(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: LETTERS.search(t) is not None).astype(bool)
+    return texts.map(lambda t: any(any(map(str.isalpha, m.group())) for m in RUNS.finditer(t))).astype(bool)
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", memory_words: int = MEMORY_WORDS) -> DataFrame:
