@@ -45,10 +45,7 @@ MOST_FACTS, LONGEST_PART = 4, 240
 
 
 def _has_cue(text: Column, name: str) -> Column:
-    out = F.lit(False)
-    for cue in CUES[name]:
-        out = out | F.contains(text, F.lit(cue))
-    return out
+    return text.rlike("|".join(CUES[name]))
 
 
 def sentences(text: Column) -> Column:
@@ -108,15 +105,18 @@ def fact(sentence: Column, relation: Column, entity: Column | None = None) -> Co
 
 
 def _fact_of(wanted: Column, entity: Column | None) -> Callable[[Column], Column]:
-    return lambda s: fact(s, stated_relation(s, wanted), entity)
+    return lambda s: T.let(stated_relation(s, wanted), lambda relation: fact(s, relation, entity))
 
 
 def fact_plan(question: Column, field: Column, evidence: Column, entity: Column | None = None) -> Column:
     """The first facts, each once, of the excerpts (array) that state the relation asked for (any, if none is)."""
-    wanted = wanted_relation(question, field)
     every = F.flatten(F.transform(F.coalesce(evidence, F.array().cast("array<string>")), sentences))
-    found = F.filter(F.transform(F.array_distinct(every), _fact_of(wanted, entity)), lambda f: f["relation"].isNotNull() & (wanted.isNull() | (f["relation"] == wanted)))
-    return F.slice(found, 1, MOST_FACTS)
+
+    def of(wanted: Column) -> Column:
+        found = F.transform(F.array_distinct(every), _fact_of(wanted, entity))
+        return F.slice(F.filter(found, lambda f: f["relation"].isNotNull() & (wanted.isNull() | (f["relation"] == wanted))), 1, MOST_FACTS)
+
+    return T.let(wanted_relation(question, field), of)
 
 
 CONTRACT = (
