@@ -21,12 +21,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, safe_text, unused
+from .common import lean, safe_text, stored, unused
 
 #: Template tokens in a window, literal ones that it needs; matched tokens, or share of the item, that make a leak.
 WIDTH, LITERAL, ENOUGH, SHARE = 8, 4, 13, 0.6
-#: Characters of the benchmark that one broadcast block holds at most (each item whole).
-BLOCK_CHARS = 16_000_000
+#: Characters of the benchmark that one broadcast block holds at most (each item whole), and blocks that are broadcast at most:
+#: a larger benchmark is joined by the windows' hashes. Both ways find the same.
+BLOCK_CHARS, BLOCKS = 16_000_000, 2
 #: Bits of the table that tells, before the search, whether a hash can be in a block at all.
 SIEVE_BITS = 22
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|\w+")
@@ -212,17 +213,17 @@ def _against(held: Broadcast):
     return run
 
 
-def leaks(benchmark: DataFrame, text: Column) -> Column:
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null")
+
+
+def leaks(benchmark: DataFrame, text: Column, n_blocks: int) -> Column:
     """Column of the benchmark items that a text holds, as HITS (empty for a null text).
 
-    The benchmark is cut by its item ids' hash into blocks of about BLOCK_CHARS characters; a block is what is broadcast,
-    and each text meets every block, so any size of benchmark is compared whole. Items without a word or number, or with a
-    null id, are passed over.
+    The benchmark is cut by its item ids' hash into n_blocks blocks, whose windows are made once; a block is what is
+    broadcast, and each text meets every block. Items without a word or number, or with a null id, are passed over.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = -(-chars // BLOCK_CHARS) or 1
-    parts = []
+    items, parts = _items(benchmark), []
     for k in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).orderBy("item_id").collect()
         held = benchmark.sparkSession.sparkContext.broadcast(Benchmark([r[0] for r in rows], [r[1] for r in rows]))
@@ -230,15 +231,72 @@ def leaks(benchmark: DataFrame, text: Column) -> Column:
     return parts[0] if n_blocks == 1 else F.concat(*parts)
 
 
+def _window_hashes(rows: DataFrame, widths: list[int] | None) -> DataFrame:
+    """(key, width, h): the distinct window hashes of texts (key, text), by exact tokens and by template; of items (no widths
+    given) those of WIDTH tokens or, for a shorter item, of its own width."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = b.iloc[at : at + 500]
+                t = Templates.of(part["text"].tolist())
+                size = np.diff(np.concatenate(([0], t.ends)))
+                for width in widths or sorted({WIDTH, *(int(x) for x in size if 0 < x < WIDTH)}):
+                    place, exact, template, rich = t.windows(width)
+                    own = t.owner[place]
+                    mine = np.ones(len(own), bool) if widths or width == WIDTH else size[own] == width
+                    out = pd.DataFrame({"row": np.concatenate((own[mine], own[mine & rich])), "h": np.concatenate((exact[mine], template[mine & rich])).view(np.int64)}).drop_duplicates()
+                    yield pd.DataFrame({"key": part["key"].to_numpy()[out["row"]], "width": width, "h": out["h"]})
+
+    return rows.select("key", "text").mapInPandas(lean(run), f"key {rows.schema['key'].dataType.simpleString()}, width int, h long")
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
+    """docs with the column `name` (HITS), by a join of window hashes: texts and items that share one are candidates, and
+    only those are compared. A text is known by its digest, so copies of one are compared once."""
+    (key,) = unused(docs, "digest")
+    items = stored(_items(benchmark).withColumn("key", F.monotonically_increasing_id()), "items")
+    texts = docs.select(F.sha2(safe_text(), 256).alias("key"), safe_text().alias("text"))
+    theirs = stored(_window_hashes(items, None), "windows").select(F.col("key").alias("item"), "width", "h")
+    widths = sorted(r[0] for r in theirs.select("width").distinct().collect())  # WIDTH of them at most
+    found = _window_hashes(texts, widths).join(theirs, ["width", "h"]).select("key", "item").distinct()
+    pairs = stored(found, "candidates")
+    bodies = texts.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    both = pairs.join(bodies, "key").join(items.select(F.col("key").alias("item"), "item_id", F.col("text").alias("asked")), "item")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own, asked = b.drop_duplicates("key"), b.drop_duplicates("item").sort_values("item_id")
+            block = Benchmark(list(range(len(asked))), asked["asked"].tolist())
+            place = {k: i for i, k in enumerate(asked["item"])}
+            wanted = set(zip(b["key"], (place[i] for i in b["item"]), strict=True))
+            ids = asked["item_id"].tolist()
+            rows = [(k, ids[i], n, share, exact) for k, hits in zip(own["key"], block.hits(own["text"].tolist()), strict=True) for i, n, share, exact in hits if (k, i) in wanted]
+            yield pd.DataFrame(rows, columns=["key", "item_id", "matched", "share", "exact"])
+
+    hits = both.select("key", "item", "item_id", "text", "asked").mapInPandas(lean(compare), "key string, item_id long, matched long, share double, exact boolean")
+    hits = stored(hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("item_id", "matched", "share", "exact"))).alias(name)).withColumnRenamed("key", key), "hits")
+    out = docs.withColumn(key, F.sha2(safe_text(), 256)).join(hits, key, "left")
+    return out.withColumn(name, F.coalesce(name, F.array().cast(HITS))).drop(key)
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
+    """docs with the column `name`: HITS of each whole text. Up to BLOCKS blocks of the benchmark are sent to all tasks, and
+    docs are not shuffled; the windows of a larger one are joined with those of the texts."""
+    chars = _items(benchmark).agg(F.sum(F.length("text"))).first()[0] or 0
+    n_blocks = -(-chars // BLOCK_CHARS) or 1
+    return docs.withColumn(name, leaks(benchmark, safe_text(), n_blocks)) if n_blocks <= BLOCKS else _joined(docs, benchmark, name)
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, matched (tokens of the item in its best region of the
     text), share (of the item), exact (that region is verbatim). Clean documents give no row.
 
-    Narrow over docs: no shuffle. Repeated rows give repeated rows; a null doc_id stays null; null and empty texts and an
-    empty table or benchmark give no row; texts of any length are read whole. Of regions with equally many matched tokens
-    a verbatim one, then the first is reported. Repeated items are items each.
+    Narrow over docs unless the benchmark is large (with_hits()). Repeated rows give repeated rows; a null doc_id stays null;
+    null and empty texts and an empty table or benchmark give no row; texts of any length are read whole. Of regions with
+    equally many matched tokens a verbatim one, then the first is reported. Repeated items are items each.
     """
-    return docs.select("doc_id", F.explode(leaks(benchmark, safe_text())).alias("hit")).select("doc_id", "hit.*")
+    return with_hits(docs.select("doc_id", "text"), benchmark, "hits").select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -248,4 +306,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark takes nothing away; an empty table gives no row. Texts of any length are read whole.
     """
     (hits,) = unused(docs, "hits")
-    return docs.withColumn(hits, leaks(benchmark, safe_text())).where(F.size(hits) == 0).drop(hits)
+    return with_hits(docs, benchmark, hits).where(F.size(hits) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

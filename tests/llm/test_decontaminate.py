@@ -164,3 +164,18 @@ def test_clean_keeps_all_columns(spark):
     got = D.clean(df, bench)
     assert got.columns == df.columns and sorted(r._hits for r in got.collect()) == [6, 7, 8, 8]
     assert D.clean(df, bench.limit(0)).count() == 5 and D.clean(df.limit(0), bench).count() == 0
+
+
+def test_joined_route_finds_the_same(spark, monkeypatch):
+    """A benchmark beyond the broadcast blocks: windows joined by hash, with copies, short items, nulls and many of a template."""
+    items = ITEMS + [(100 + i, f"A train travels {i} km in {i % 7} hours along the river towards the old harbour. What is its speed on that way?") for i in range(60)] + [(3, "Name three large rivers")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"{FILL} {t} {FILL}" for _, t in items[:30] if t] + [None, "", "short", FILL, "Say: name three large rivers now"] + [f"{FILL} a train travels 5 km"]
+    docs = spark.createDataFrame([(i % 40, t, "x", 1) for i, t in enumerate(texts + texts)] + [(None, texts[0], "y", 2)], "doc_id long, text string, digest string, hits int").repartition(4)
+    want = sorted(map(str, D.report(docs, bench).collect()))
+    kept = sorted(map(str, D.clean(docs, bench).collect()))
+    monkeypatch.setattr(D, "BLOCKS", 0)
+    assert len(want) > 100 and sorted(map(str, D.report(docs, bench).collect())) == want
+    got = D.clean(docs, bench)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == kept
+    assert D.report(docs, bench.limit(0)).count() == 0 and D.clean(docs.limit(0), bench).count() == 0
