@@ -173,13 +173,13 @@ def tiered_sample(rows: DataFrame, tiers: list[tuple[Column, int]], key: str, ma
     """Mandatory keys, then of each tier at most its number; a row is of the first tier that it fits. Rows come in the order
     of their key; `tier` is 0 for mandatory ones."""
     tier = F.when(F.col(key).cast("string").isin(*mandatory), 0) if mandatory else F.when(F.lit(False), 0)
-    most = F.lit(2**31 - 1)
-    for i, (test, n) in enumerate(tiers, 1):
+    for i, (test, _) in enumerate(tiers, 1):
         tier = tier.when(test, i)
-    own = rows.withColumn("tier", tier).where("tier is not null")
-    for i, (_, n) in enumerate(tiers, 1):
-        most = F.when(F.col("tier") == i, n).otherwise(most)
-    return ranked(own, ["tier"], [F.asc(key)], None, "_n").where(F.col("_n") <= most).drop("_n")
+    own = rows.withColumn("tier", tier)
+    out = own.where("tier = 0")
+    for i, (_, n) in enumerate(tiers, 1):  # a limit that is a number is taken in each task before rows meet
+        out = out.unionByName(own.where(F.col("tier") == i).orderBy(F.asc(key)).limit(n))
+    return out
 
 
 def category_sample(rows: DataFrame, category: str, order: list[str], key: str, size: int) -> DataFrame:

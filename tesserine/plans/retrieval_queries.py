@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import index_store as X
 from ..operators import retrieval as R
+from ..operators.labels import best_configuration
 from ..session import table
 from ..storage import scratch, stored
 
@@ -126,6 +127,33 @@ def rrf_weight_sweep(spark, sf):
     return out
 
 
+GRID = {
+    f"d{d}-m{m}-k{rk}-n{n}": RetrievalConfig(dense_weight=d, metadata_weight=m, rrf_k=rk, dense_k=n, sparse_k=n, metadata_k=min(n, 20))
+    for d in (0.8, 1.2) for m in (0.4, 0.8) for rk in (20, 60) for n in (10, 30)
+}
+
+
+def experiment_grid(spark, sf):
+    """Mean reciprocal rank and hit rates of the asked entity under each configuration of GRID, and which one is chosen: the
+    best by these among those that are not clearly worse than the settings in force in the first hits."""
+    q = asked(spark, sf).select("query_id", T.compact(F.col("entity")).alias("key"))
+    own = chunks(spark, sf)
+    dense = stored(dense_hits(spark, sf).join(own.select("chunk_id"), "chunk_id", "left_semi"), "dense")
+    sparse, metadata = stored(bm25_hits(spark, sf), "sparse"), stored(metadata_hits(spark, sf), "metadata")
+    top = R.fuse_grid(dense, sparse, metadata, own, GRID, 3)
+    rows = top.join(own.select("chunk_id", T.compact(F.col("entity")).alias("of")), "chunk_id").join(q, "query_id")
+    first = rows.groupBy("config", "query_id").agg(F.min(F.when(F.col("of") == F.col("key"), F.col("final_rank"))).alias("first"))
+    found = first.groupBy("config").agg(
+        F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.coalesce((F.col("first") == 1).cast("double"), F.lit(0.0))), 6).alias("hit_1"), F.round(F.avg(F.col("first").isNotNull().cast("double")), 6).alias("hit_3"),
+    )
+    found = stored(found, "grid")
+    best = best_configuration(found, "config", ["mrr", "hit_1"], ["hit_1"], "d1.2-m0.8-k60-n30").select(F.col("config").alias("of"))
+    return found.join(best, found["config"] == best["of"], "left").select("config", "mrr", "hit_1", "hit_3", F.col("of").isNotNull().alias("chosen"))
+
+
+_GRID = ", ".join(f"('{n}', {c.dense_weight}e0, {c.sparse_weight}e0, {c.metadata_weight}e0, {c.rrf_k}e0, {c.dense_k}, {c.metadata_k})" for n, c in GRID.items())
+
+
 def two_query_fusion(spark, sf):
     """A query and its first five words, fused."""
     short = asked(spark, sf).withColumn("text", F.array_join(F.slice(T.words(F.col("text")), 1, 5), " "))
@@ -270,6 +298,15 @@ REGISTRY = {
     "rrf_fusion": (rrf_fusion, f"WITH {BM25_CTE.lstrip()}, {DENSE_CTE}, {META_CTE}, {fuse_cte()} SELECT item_id AS query_id, doc_id AS chunk_id, round(f, 6) AS fusion_score, dr AS dense_rank, sr AS sparse_rank, mr AS metadata_rank, final_rank FROM fu"),
     "hybrid_search": (hybrid_search, f"WITH {BM25_CTE.lstrip()}, {DENSE_CTE}, {META_CTE}, {fuse_cte()} SELECT item_id AS query_id, doc_id AS chunk_id, d.source AS entity, d.lang AS field, round(f, 6) AS fusion_score, final_rank FROM fu JOIN documents d USING (doc_id) WHERE final_rank <= 3"),
     "rrf_weight_sweep": (rrf_weight_sweep, f"WITH {BM25_CTE.lstrip()}, {DENSE_CTE}, {META_CTE}, {fuse_cte()}, {fuse_cte(1.2, 1.0, 0.8, '2').replace('bd AS', 'bd2 AS')}, {fuse_cte(1.0, 0.8, 0.8, '3').replace('bd AS', 'bd3 AS')} {_SWEEP}"),
+    "experiment_grid": (experiment_grid, f"""WITH {BM25_CTE.lstrip()}, {DENSE_CTE}, {META_CTE}, cfg AS (SELECT * FROM (VALUES {_GRID}) AS v(config, d, s, m, k, depth, mdepth)),
+ch AS (SELECT item_id, doc_id, 0 AS o, rank FROM de WHERE doc_id IN (SELECT doc_id FROM documents) UNION ALL SELECT item_id, doc_id, 1, rank FROM bm UNION ALL SELECT item_id, doc_id, 2, rank FROM me),
+mg AS (SELECT config, item_id, doc_id, sum(CASE o WHEN 0 THEN d WHEN 1 THEN s ELSE m END / (k + rank)) AS f, max(rank) FILTER (o = 0) AS dr, max(rank) FILTER (o = 1) AS sr, max(rank) FILTER (o = 2) AS mr FROM ch, cfg WHERE rank <= CASE o WHEN 2 THEN mdepth ELSE depth END GROUP BY ALL),
+bd AS (SELECT doc_id, source, trim(regexp_replace({T.folded_sql('text')}, '\\s+', ' ', 'g')) AS plain FROM documents),
+dd AS (SELECT *, row_number() OVER (PARTITION BY config, item_id, source, plain ORDER BY round(f, 9) DESC, coalesce(dr, 1000000000), coalesce(sr, 1000000000), coalesce(mr, 1000000000), doc_id) AS nth FROM mg JOIN bd USING (doc_id)),
+fu AS (SELECT config, item_id, doc_id, source, row_number() OVER (PARTITION BY config, item_id ORDER BY round(f, 9) DESC, coalesce(dr, 1000000000), coalesce(sr, 1000000000), coalesce(mr, 1000000000), doc_id) AS final_rank FROM dd WHERE nth = 1 OR plain = ''),
+ft AS (SELECT config, item_id, min(final_rank) FILTER (regexp_replace(lower(source), '[^a-z0-9]', '', 'g') = key) AS r FROM fu JOIN mq USING (item_id) WHERE final_rank <= 3 GROUP BY ALL),
+ag AS (SELECT config, round(avg(coalesce(1e0 / r, 0e0)), 6) AS mrr, round(avg(CASE WHEN r = 1 THEN 1e0 ELSE 0e0 END), 6) AS hit_1, round(avg(CASE WHEN r IS NOT NULL THEN 1e0 ELSE 0e0 END), 6) AS hit_3 FROM ft GROUP BY config)
+SELECT ag.*, row_number() OVER (ORDER BY hit_1 >= (SELECT hit_1 FROM ag WHERE config = 'd1.2-m0.8-k60-n30') - 0.01 - 1e-12 DESC, mrr DESC, hit_1 DESC, config) = 1 AS chosen FROM ag"""),
     "two_query_fusion": (two_query_fusion, f"WITH {_TWO.lstrip()} SELECT query_id, chunk_id, original_rank, rewritten_rank, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, coalesce(original_rank, 1000000), coalesce(rewritten_rank, 1000000), chunk_id) AS rank FROM tw QUALIFY rank <= 10"),
     "lexical_topk": (lexical_topk, _LEXICAL),
     "rule_rerank_components": (rule_rerank_components, _RERANK),

@@ -30,14 +30,28 @@ def read_csv(spark: SparkSession, path: str, required: list[str] | None = None)
     """All columns as text; a byte-order mark is dropped; every file's header is the same one, whatever its width and its
     line breaks; rows longer than the header fail when they are read."""
     reader = spark.read.option("multiLine", True).option("escape", '"')
-    files_ = sorted(spark.read.format("binaryFile").load(path).select("path").toPandas()["path"])  # the files of one dataset
-    if not files_:
+    heads = _heads(spark, path).groupBy("head").agg(F.count("*").alias("files"), F.min("path").alias("path")).limit(3).collect()  # one job, whatever the files
+    if not heads:
         raise HeaderError(f"no file at {path}")
-    headers = [checked_header(list(reader.csv(f).limit(1).first() or []), required) for f in files_]
-    if any(h != headers[0] for h in headers):
-        raise HeaderError("files have different headers")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in headers[0]])
-    return reader.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "FAILFAST").csv(files_)
+    headers = {tuple(checked_header(r["head"], required)) for r in heads}
+    if len(headers) > 1:
+        raise HeaderError(f"files have different headers, among them {', '.join(sorted(r['path'] for r in heads))}")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in headers.pop()])
+    return reader.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "FAILFAST").csv(path)
+
+
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """path and head (array of text) of each file: its first record, read where the file is."""
+
+    def first(batches):
+        import csv
+        import io
+
+        for b in batches:
+            heads = [next(csv.reader(io.StringIO(bytes(x).decode("utf-8", "replace"), newline="")), []) for x in b["content"]]
+            yield b[["path"]].assign(head=heads)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(first, "path string, head array<string>")
 
 
 def _sheet_rows(body: bytes) -> list[list[str | None]]:
