@@ -324,7 +324,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None =
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, the kept bytes.
 
     A null text is an empty one; a null doc_id counts as smaller than all others; rows of equal doc_id never remove each
-    other's bytes. Texts shorter than `window` lose nothing. Shuffles: 8 bytes for each minimiser (about one in 18
+    other's bytes. Texts shorter than `window` lose nothing; an empty table gives no row; other columns do not matter. Shuffles: 8 bytes for each minimiser (about one in 18
     positions), the blocks twice, compressed, and the distinct repeated stretches.
     """
     spark = docs.sparkSession

@@ -8,6 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from tesserine.llm.bpe import encode_decode, load
+from tesserine.llm.common import CHUNK_CHARS
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", None, " ", "aaaaaaa aaaa", "Hello  world!\n\n x", "it's<|endoftext|> the<|endoftext|>", "<|endoftext", "日本語 текст ñandú 🙂🙂", "0x1F 12345678 ###  ***\t\t", "a" * 3000, "thththereanonerst " * 400, "   x\r\n"]
@@ -52,3 +53,15 @@ def test_operator(spark):
 def test_empty_table(spark):
     got = encode_decode(spark.createDataFrame([], "doc_id long, text string"), PATH)
     assert got.count() == 0 and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"]
+
+
+def test_texts_beyond_a_run(spark):
+    """A text longer than the runs that a worker splits at once, among short ones, and one word of many characters."""
+    long = "The harbour's 12 old cranes — ñandú 🙂 " * (CHUNK_CHARS // 38 + 1000)
+    texts = ["before", long, "after", "ab" * 20_000]
+    got = {r.doc_id: r for r in encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()}
+    assert len(long) > CHUNK_CHARS
+    for i, t in enumerate(texts):
+        ids, back = expected(t)
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest() and got[i].lossless

@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -61,3 +62,16 @@ def test_stages_keep_the_columns(spark):
         at = stage(spark, at, SF)
     got = at.collect()
     assert sorted((str(r.doc_id), r.text, r.n_chars) for r in got) == [("3", "the one and only", 16), ("None", "[SECRET] und der", 16)] and rows == []
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Extra columns named as the operators name theirs go through every stage untouched."""
+    extra = ["_id", "_mark", "id", "mark", "_said", "said", "_hits", "hits", "_row", "row", "_kinds", "secret_spans", "own_text", "own_key", "digest", "key", "n", "text2"]
+    docs = spark.createDataFrame([(1, "the one and only text of this table", "en", "s", 35), (2, "token=abcdefghij is said here", None, "s", 29)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in extra})
+    at = docs
+    for _, stage in P.STAGES[:-1]:
+        at = stage(spark, at, SF)
+        assert at.columns == docs.columns
+    rows = at.collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2] and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra)
