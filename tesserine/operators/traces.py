@@ -19,15 +19,22 @@ def excerpt(text: Column, anchor: Column, width: int = 420, before: int = 140) -
 
 def siblings(chunks: DataFrame, most: int = 3600) -> DataFrame:
     """Per chunk the text of the chunks of the same document, page and parent in the order of word_start, up to `most`
-    characters; whole chunks only, and the scan goes on past one that does not fit."""
-    each = chunks.groupBy("document_id", "page", "parent_id").agg(F.array_sort(F.collect_list(F.struct("word_start", "chunk_id", "text"))).alias("all"))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept"))
+    characters; whole chunks only, and the scan goes on past one that does not fit. The scan sees lengths; only the texts that
+    it keeps, `most` characters of a parent, are then put together."""
+    key = ["document_id", "page", "parent_id"]
+    slim = chunks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("word_start", "chunk_id", F.length("text").alias("n")))).alias("all"))
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    start = F.struct(F.lit(0).alias("n"), F.array().cast(f"array<{kind}>").alias("kept"))
 
     def add(acc: Column, x: Column) -> Column:
-        n = acc["n"] + F.length(x["text"])
-        return F.when(n <= most, F.struct(n.alias("n"), F.concat(acc["kept"], F.array(x["text"])).alias("kept"))).otherwise(acc)
-
-    return each.select("document_id", "page", "parent_id", F.aggregate("all", start, add, lambda acc: F.array_join(acc["kept"], "\n")).alias("context"))
+        n = acc["n"] + x["n"]
+        return F.when(n <= most, F.struct(n.alias("n"), F.concat(acc["kept"], F.array(x["chunk_id"])).alias("kept"))).otherwise(acc)
+
+    kept = slim.select(*[F.col(c).alias(f"of_{c}") for c in key], F.posexplode_outer(F.aggregate("all", start, add, lambda acc: acc["kept"])).alias("at", "id"))
+    own = chunks.select(F.col("chunk_id").alias("own_id"), *[F.col(c).alias(f"own_{c}") for c in key], "text")
+    same = [kept[f"of_{c}"].eqNullSafe(own[f"own_{c}"]) for c in key] + [kept["id"] == own["own_id"]]
+    out = kept.join(own, same, "left").groupBy(*[f"of_{c}" for c in key]).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    return out.select(*[F.col(f"of_{c}").alias(c) for c in key], F.array_join(F.filter("parts.text", lambda t: t.isNotNull()), "\n").alias("context"))
 
 
 def within_budget(items: DataFrame, budget: int) -> DataFrame:
