@@ -41,17 +41,28 @@ def read_csv(spark: SparkSession, path: str, required: list[str] | None = None)
 
 
 def _heads(spark: SparkSession, path: str) -> DataFrame:
-    """path and head (array of text) of each file: its first record, read where the file is."""
+    """path and head (array of text) of each file that has a line: its first record, which may have line breaks in quotes.
+    Only files' first blocks are read, line by line; a file of any size will do."""
 
     def first(batches):
         import csv
-        import io
 
+        at, lines = None, []
         for b in batches:
-            heads = [next(csv.reader(io.StringIO(bytes(x).decode("utf-8", "replace"), newline="")), []) for x in b["content"]]
-            yield b[["path"]].assign(head=heads)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(first, "path string, head array<string>")
+            found = []
+            for p, line in zip(b["path"], b["value"], strict=True):
+                if p != at:
+                    at, lines = p, []
+                elif lines is None:
+                    continue
+                lines.append(line)
+                if sum(x.count('"') for x in lines) % 2 == 0:
+                    found.append((p, next(csv.reader(["\n".join(lines)]), [])))
+                    lines = None
+            yield b.iloc[: len(found)][[]].assign(path=[p for p, _ in found], head=[h for _, h in found])
+
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    return rows.where("start = 0").select("path", "value").mapInPandas(first, "path string, head array<string>")
 
 
 def _sheet_rows(body: bytes) -> list[list[str | None]]:
