@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import index_store as X
 from ..operators import retrieval as R
+from ..operators import vector_blocks as B
 from ..operators.labels import best_configuration
 from ..session import table
 from ..storage import scratch, stored
@@ -198,6 +199,13 @@ def sparse_index_manifest(spark, sf):
     return spark.createDataFrame([(m["chunk_count"], round(m["average_length"], 6), m["vocabulary_size"])], "chunk_count long, average_length double, vocabulary_size long")
 
 
+def vector_index_search(spark, sf):
+    """The vectors written in blocks to the scratch folder, loaded, and searched with the bounds of those."""
+    path = scratch(spark, "vector-blocks")
+    B.build(vectors(spark, sf), path)
+    return _six(B.load(spark, path).search(query_vectors(spark, sf), 30))
+
+
 def token_postings(spark, sf):
     return R.postings(chunks(spark, sf)).select("token", "chunk_id", "tf")
 
@@ -314,6 +322,7 @@ SELECT ag.*, row_number() OVER (ORDER BY hit_1 >= (SELECT hit_1 FROM ag WHERE co
     "jaccard_near_match": (jaccard_near_match, _JACCARD),
     "sparse_index_search": (sparse_index_search, f"WITH {BM25_CTE.lstrip()} SELECT item_id AS query_id, doc_id AS chunk_id, round(score, 6) AS score, rank FROM bm"),
     "sparse_index_manifest": (sparse_index_manifest, f"SELECT count(*) AS chunk_count, round(avg(len(tk)), 6) AS average_length, (SELECT count(DISTINCT t) FROM (SELECT unnest(tk) AS t FROM ({_C}))) AS vocabulary_size FROM ({_C})"),
+    "vector_index_search": (vector_index_search, f"WITH {DENSE_CTE.lstrip()} SELECT item_id AS query_id, doc_id AS chunk_id, round(score, 6) AS score, rank FROM de"),
     "token_postings": (token_postings, f"SELECT t AS token, doc_id AS chunk_id, count(*) AS tf FROM (SELECT doc_id, unnest(tk) AS t FROM ({_C})) GROUP BY ALL"),
     "doc_lengths": (doc_lengths, f"SELECT doc_id AS chunk_id, len(tk) AS dl, len(list_distinct(tk)) AS distinct_tokens FROM ({_C})"),
     "vocab_df": (vocab_df, f"SELECT t AS token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(tk) AS t FROM ({_C})) GROUP BY t"),
