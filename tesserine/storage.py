@@ -68,6 +68,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as tasks can run, where it is read from fewer: files of one large row group are one task
+    else. Tables of many files, and what was shuffled before, stay as they are."""
+    tasks, run = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if "Exchange" in run.executedPlan().toString():  # its partitions are known only by running it
+        return df
+    return df.repartition(tasks) if run.toRdd().getNumPartitions() < tasks else df
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """The file system of a path and the path, as the JVM knows them."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -137,3 +138,28 @@ def test_quantiles_of_skewed_groups(spark):
     for g, vs in groups.items():
         own = sorted(map(float, vs))
         assert abs(got[g].median - float(np.median(own))) < 1e-6 and abs(got[g].p95 - own[math.ceil(0.95 * len(own)) - 1]) < 1e-6
+
+
+def test_lexical_against_every_rule_tried(spark, monkeypatch):
+    """All rules on all texts, terms counted by plain search; queries in several blocks, words not remembered for long."""
+    texts = [
+        "CSE 205 Course Content: Boolean Algebra: gates 3.5 x_trees trees", "cſe205 courſe content week", "WEEK 3 weekly plan of trees, CLO 2 and CLO2", "Course Learning Outcomes CLO 1", "Final Exam (50%) Evaluation Policy", "Clasſ Tests 20 %",
+        "Mid-Term Examination: 30.5%", "course\nobjectives of the course", "Алгебра: ряды и алгебра", "trees" * 40, "", None, "বুলিয়ান বীজগণিত trees_3 3.55", "Term\tExamination 40 %", "alignment of topics; weighting",
+    ]
+    asked = ["topics of CSE 205", "week 3 trees?", "What is covered under Boolean Algebra?", "final exam marks percentage", "mark distribution of CSE 205", "course objectives of CSE205", "What is CLO 2 of CSE 205?", "assessment policy 3.5", "weekly plan", "বুলিয়ান বীজগণিত কী", "", None]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string").repartition(2)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, text string")
+    want = {}
+    for q in R.profile(queries).collect():
+        q = q.asDict()
+        for i, text in enumerate(texts):
+            text = text or ""
+            low = f" {text.lower()} "
+            beside = lambda c: c == "_" or c.isalnum()
+            alone = lambda t: any(low.startswith(t, i) and not beside(low[i - 1]) and not beside(low[i + len(t)]) for i in range(1, len(low) - len(t)))  # noqa: B023, E731
+            plain = sum((t in low) + alone(t) for t in q["terms"])
+            if plain:
+                want[q["query_id"], i] = plain + sum(next((w for p, w, _ in rule if re.search(p, text, re.I)), 0.0) for rule in R._earned(q))
+    monkeypatch.setattr(R, "TERM_BLOCK", 5)
+    got = {(r.query_id, r.chunk_id): r.score for r in R.lexical(chunks, queries, 99).collect()}
+    assert got == want and len({q for q, _ in want}) > 6
