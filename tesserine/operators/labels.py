@@ -110,6 +110,84 @@ def failure_channels(dense: Column, sparse: Column, fused: Column) -> Column:
     )
 
 
+#: What a miss is put down to, in order of precedence, by the signal of failure_signals() that says so; the last
+#: stands where none does.
+CAUSES = {
+    "fused": (
+        ("LABEL_AMBIGUITY", "several_pages"), ("BOTH_MISSED", "neither"), ("DENSE_MISSED", "not_dense"), ("SPARSE_MISSED", "not_sparse"), ("ENTITY_METADATA_MISSED", "entity_unresolved"), ("FIELD_METADATA_MISSED", "field_unsupported"),
+        ("FUSION_RANK_ERROR", None),
+    ),
+    "normalized": (
+        ("LANGUAGE_DETECTION_ERROR", "other_language"), ("GROUND_TRUTH_LABEL_AMBIGUITY", "several_pages"), ("QUERY_NORMALIZATION_ERROR", "entity_lost"), ("DENSE_CANDIDATE_MISS", "not_dense"), ("SPARSE_CANDIDATE_MISS", "not_sparse"),
+        ("ENTITY_RESOLUTION_ERROR", "entity_unresolved"), ("FIELD_RESOLUTION_ERROR", "field_unsupported"), ("FUSION_ERROR", None),
+    ),
+    "reranked": (
+        ("LANGUAGE_NORMALIZATION_ERROR", "other_language"), ("GROUND_TRUTH_LABEL_AMBIGUITY", "several_pages"), ("FIRST_STAGE_CANDIDATE_MISS", "not_pooled"), ("ENTITY_ERROR", "entity_missed"), ("FIELD_ERROR", "field_missed"), ("RERANKER_ORDERING_ERROR", None),
+    ),
+}
+
+
+def failure_signals(expected: DataFrame, candidates: DataFrame, k: int = 3) -> DataFrame:
+    """Per query what its candidates say of a miss: found, and the boolean columns that CAUSES names.
+
+    expected: query_id, question, normalized (the question as it was searched for; null: the same), language, source, pages
+    (array of numbers as text). candidates: query_id, channel (dense, sparse, metadata, final), rank, source, page, text
+    and, if there is one, supported (whether it alone would support an answer: `accepted` of evidence.judged(); without it, a
+    text that names the field does). language is a value of understanding.language(). A candidate is right if its source is the expected one and its page one of the expected. One shuffle of the candidates by
+    query; queries without any are all misses; a null expectation is met by none.
+    """
+    named = lambda c: F.get(F.transform(U.course_entities(c), lambda x: x["compact"]), F.lit(0))
+    searched = F.coalesce("normalized", "question")
+    e = expected.select(
+        "query_id", F.col("source").alias("of"), "pages", F.coalesce(F.size("pages"), F.lit(0)).alias("n_pages"), (~U.language(F.col("question")).eqNullSafe(F.col("language"))).alias("other_language"),
+        named(F.col("question")).alias("entity"), named(searched).alias("kept"), U.requested_field(searched).alias("field"),
+    )
+    rows = e.join(candidates, "query_id", "left")
+    right = F.coalesce((F.col("source") == F.col("of")) & page_match(F.col("page"), F.col("pages")), F.lit(False))
+    channel, body = F.col("channel"), F.coalesce("text", F.lit(""))
+    final = (channel == "final") & (F.col("rank") <= k)
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    with_field, with_entity = U.field_named(F.col("field"), body), F.contains(V.code_key(F.col("text")), F.col("entity"))
+    own = F.col("supported") if "supported" in candidates.columns else with_field
+    per = rows.groupBy("query_id").agg(
+        some(right & final).alias("found"), (~some(right & (channel == "dense"))).alias("not_dense"), (~some(right & (channel == "sparse"))).alias("not_sparse"), (~some(right & (channel != "final"))).alias("not_pooled"), some(channel == "metadata").alias("resolved"),
+        some(own & (channel != "final")).alias("supported"), some(with_entity & final).alias("entity_there"), some(with_field & final).alias("field_there"),
+    )
+    fielded = F.col("field") != "general"
+    return e.join(per, "query_id").select(
+        "query_id", "found", "other_language", (F.col("n_pages") > 1).alias("several_pages"), (F.col("entity").isNotNull() & F.col("kept").isNull()).alias("entity_lost"), "not_dense", "not_sparse", (F.col("not_dense") & F.col("not_sparse")).alias("neither"), "not_pooled",
+        (F.col("entity").isNotNull() & ~F.col("resolved")).alias("entity_unresolved"), (fielded & ~F.col("supported")).alias("field_unsupported"),
+        (F.col("entity").isNotNull() & ~F.col("entity_there")).alias("entity_missed"), (fielded & ~F.col("field_there")).alias("field_missed"),
+    )
+
+
+def failure_cause(causes: str) -> Column:
+    """The first cause of CAUSES[causes] whose signal holds; null where the right passage was found."""
+    out = F.when(F.col("found"), F.lit(None).cast("string"))
+    for name, signal in CAUSES[causes]:
+        out = out.when(F.col(signal), name) if signal else out.otherwise(name)
+    return out
+
+
+def histogram(rows: DataFrame, value: str, by: list[str], values: list[str]) -> DataFrame:
+    """Counts of each value within each group and overall: a column n_<value> for each, 0 where there is none, `other` for
+    what is not listed (null too) and `total`. level is `all` or the name of the dimension, `of` its value. One pass: each
+    row stands once for each dimension, and groups combine in each task."""
+    count = [F.count_if(F.col(value) == v).alias(f"n_{v}") for v in values]
+    sets = [F.struct(F.lit("all").alias("level"), F.lit(None).cast("string").alias("value")), *[F.struct(F.lit(b).alias("level"), F.col(b).cast("string").alias("value")) for b in by]]
+    flat = rows.select(F.col(value), F.explode(F.array(*sets)).alias("g"))
+    return flat.groupBy(F.col("g.level").alias("level"), F.col("g.value").alias("of")).agg(*count, F.count_if(~F.coalesce(F.col(value).isin(values), F.lit(False))).alias("other"), F.count("*").alias("total"))
+
+
+def with_gold(results: DataFrame, gold: DataFrame, key: str = "question_id") -> DataFrame:
+    """results with their row of the gold table. ValueError that names keys (five at most) if one has none, or has several."""
+    repeated = gold.groupBy(key).count().where("count > 1").select(key)
+    wrong = results.select(key).distinct().join(gold.select(key), key, "left_anti").unionByName(results.select(key).distinct().join(repeated, key, "left_semi"))
+    if named := [r[0] for r in wrong.limit(5).collect()]:
+        raise ValueError(f"not one gold row: {named}")
+    return results.join(gold, key)
+
+
 def funnel(found: dict[int, Column], rewritten: Column, validated: Column, supported: Column) -> Column:
     """The stage at which an expected passage was lost; found: by depth, whether it is among the first so many."""
     out = F.when(supported, "SUPPORTED")

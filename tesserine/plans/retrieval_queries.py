@@ -15,6 +15,7 @@ from ..operators import evaluation as E
 from ..operators import index_store as X
 from ..operators import retrieval as R
 from ..operators import vector_blocks as B
+from ..operators import labels as L
 from ..operators.labels import best_configuration
 from ..session import table
 from ..storage import scratch, stored
@@ -238,6 +239,27 @@ def retrieval_failure_class(spark, sf):
     return per.select("query_id", E.failure_class(F.col("three"), F.col("pool"), F.col("one")).alias("failure"))
 
 
+FAILURES = ["LABEL_AMBIGUITY", "BOTH_MISSED", "DENSE_MISSED", "SPARSE_MISSED", "ENTITY_METADATA_MISSED", "FIELD_METADATA_MISSED", "FUSION_RANK_ERROR"]
+
+
+def failure_causes(spark, sf):
+    """Why the asked source and language are not among a query's first three, counted overall and for each asked language and
+    source. An item whose number is divisible by 9 is labelled with two languages."""
+    q = asked(spark, sf)
+    pages = F.when(F.col("query_id") % 9 == 0, F.array("field", F.lit("it"))).otherwise(F.array("field"))
+    expected = q.select("query_id", F.col("text").alias("question"), F.lit(None).cast("string").alias("normalized"), F.lit("english").alias("language"), T.compact(F.col("entity")).alias("source"), pages.alias("pages"), F.col("field").alias("asked_field"))
+    dense = stored(dense_hits(spark, sf).join(chunks(spark, sf).select("chunk_id"), "chunk_id", "left_semi"), "dense")
+    sparse, metadata = stored(bm25_hits(spark, sf), "sparse"), stored(metadata_hits(spark, sf), "metadata")
+    final = R.fuse(dense, sparse, metadata, chunks(spark, sf), RetrievalConfig(), 3).withColumnRenamed("final_rank", "rank")
+    every = None
+    for name, df in (("dense", dense), ("sparse", sparse), ("metadata", metadata), ("final", final)):
+        own = df.select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.lit(name).alias("channel"))
+        every = own if every is None else every.unionByName(own)
+    rows = every.join(chunks(spark, sf).select("chunk_id", T.compact(F.col("entity")).alias("source"), F.col("field").alias("page"), "text"), "chunk_id")
+    causes = L.failure_signals(expected, rows).select("query_id", L.failure_cause("fused").alias("cause")).join(expected.select("query_id", "source", "asked_field"), "query_id")
+    return L.histogram(causes, "cause", ["source", "asked_field"], FAILURES)
+
+
 def pool_oracle(spark, sf):
     again = R.ranked(_labelled(spark, sf).drop("rank"), ["query_id"], [F.desc(F.round("score", 9)), F.asc("chunk_id")])
     right = F.col("label") == F.col("asked")
@@ -299,7 +321,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, i) AS k F
 b AS (SELECT q AS query_id, min(i) FILTER (k = 1) AS item_id, max(score) FILTER (k = 1) AS score, coalesce(max(score) FILTER (k = 2), 0e0) AS second FROM r WHERE k <= 2 GROUP BY q)
 SELECT *, score >= 0.86e0 AND round(score - second, 9) >= 0.08e0 AS matched FROM b"""
 
+#: The items name no course and no field, so the causes for these do not occur; literal cases in the tests hold them.
+_CAUSES = f"""WITH {BM25_CTE.lstrip()}, {DENSE_CTE}, {META_CTE}, {fuse_cte()},
+a AS (SELECT item_id, doc_id, 'd' AS ch FROM de UNION ALL SELECT item_id, doc_id, 's' FROM bm UNION ALL SELECT item_id, doc_id, 'f' FROM fu WHERE final_rank <= 3),
+r AS (SELECT item_id, ch FROM a JOIN documents USING (doc_id) JOIN mq USING (item_id) WHERE regexp_replace(lower(source), '[^a-z0-9]', '', 'g') = key AND (lang = asked_field OR (item_id % 9 = 0 AND lang = 'it'))),
+o AS (SELECT item_id, key, asked_field, bool_or(ch = 'd') AS d, bool_or(ch = 's') AS s, bool_or(ch = 'f') AS f FROM mq LEFT JOIN r USING (item_id) GROUP BY ALL),
+cz AS (SELECT key, asked_field, CASE WHEN f THEN NULL WHEN item_id % 9 = 0 THEN 'LABEL_AMBIGUITY' WHEN NOT coalesce(d, FALSE) AND NOT coalesce(s, FALSE) THEN 'BOTH_MISSED' WHEN NOT d THEN 'DENSE_MISSED' WHEN NOT s THEN 'SPARSE_MISSED' ELSE 'FUSION_RANK_ERROR' END AS cause FROM o),
+l AS (SELECT 'all' AS level, NULL AS of, cause FROM cz UNION ALL SELECT 'source', key, cause FROM cz UNION ALL SELECT 'asked_field', asked_field, cause FROM cz)
+SELECT level, of, {", ".join(f"count(*) FILTER (cause = '{v}') AS n_{v}" for v in FAILURES)}, count(*) FILTER (cause IS NULL) AS other, count(*) AS total FROM l GROUP BY level, of"""
+
 REGISTRY = {
+    "failure_causes": (failure_causes, _CAUSES),
     "bm25_topk": (bm25_topk, f"WITH {BM25_CTE.lstrip()} SELECT item_id AS query_id, doc_id AS chunk_id, round(score, 6) AS score, rank FROM bm"),
     "dense_topk": (dense_topk, f"WITH {DENSE_CTE.lstrip()} SELECT item_id AS query_id, doc_id AS chunk_id, round(score, 6) AS score, rank FROM de"),
     "metadata_topk": (metadata_topk, f"WITH {META_CTE.lstrip()} SELECT item_id AS query_id, doc_id AS chunk_id, rank FROM me"),

@@ -163,3 +163,41 @@ def test_lexical_against_every_rule_tried(spark, monkeypatch):
     monkeypatch.setattr(R, "TERM_BLOCK", 5)
     got = {(r.query_id, r.chunk_id): r.score for r in R.lexical(chunks, queries, 99).collect()}
     assert got == want and len({q for q, _ in want}) > 6
+
+
+def test_failure_causes_by_hand(spark):
+    from tesserine.operators import labels as L
+
+    good, bad = ("a.pdf", "4", "CSE 205 Credit Value 3"), ("b.pdf", "9", "nothing")
+    ask = "What is the credit of CSE 205?"
+    cases = [  # question, normalized, language, pages, candidates (channel, rank, what), cause by fused, normalized, reranked
+        (ask, None, "english", ["4"], [("final", 3, good)], None, None, None),
+        (ask, None, "bangla", ["4"], [("final", 4, good)], "BOTH_MISSED", "LANGUAGE_DETECTION_ERROR", "LANGUAGE_NORMALIZATION_ERROR"),
+        (ask, None, "english", ["4", "5"], [], "LABEL_AMBIGUITY", "GROUND_TRUTH_LABEL_AMBIGUITY", "GROUND_TRUTH_LABEL_AMBIGUITY"),
+        (ask, "What is the credit?", "english", ["4"], [("dense", 1, good), ("sparse", 2, good)], "ENTITY_METADATA_MISSED", "QUERY_NORMALIZATION_ERROR", "ENTITY_ERROR"),
+        (ask, None, "english", ["4"], [("sparse", 2, good), ("final", 1, bad)], "DENSE_MISSED", "DENSE_CANDIDATE_MISS", "ENTITY_ERROR"),
+        (ask, None, "english", ["4"], [("dense", 2, good), ("final", 1, ("b.pdf", "9", "CSE-205"))], "SPARSE_MISSED", "SPARSE_CANDIDATE_MISS", "FIELD_ERROR"),
+        (ask, None, "english", ["4"], [("dense", 2, good), ("sparse", 1, good)], "ENTITY_METADATA_MISSED", "ENTITY_RESOLUTION_ERROR", "ENTITY_ERROR"),
+        (ask, None, "english", ["4"], [("dense", 2, good[:2] + (None,)), ("sparse", 1, good[:2] + ("",)), ("metadata", 1, bad)], "FIELD_METADATA_MISSED", "FIELD_RESOLUTION_ERROR", "ENTITY_ERROR"),
+        (ask, None, "english", ["4"], [("dense", 2, good), ("sparse", 1, good), ("metadata", 1, bad), ("final", 1, ("a.pdf", "5", "cse205 credit value 3"))], "FUSION_RANK_ERROR", "FUSION_ERROR", "RERANKER_ORDERING_ERROR"),
+        (ask, None, "english", None, [], "BOTH_MISSED", "DENSE_CANDIDATE_MISS", "FIRST_STAGE_CANDIDATE_MISS"),
+    ]
+    expected = spark.createDataFrame([(i, c[0], c[1], c[2], "a.pdf", c[3]) for i, c in enumerate(cases)], "query_id int, question string, normalized string, language string, source string, pages array<string>")
+    found = spark.createDataFrame([(i, ch, rank, *what) for i, c in enumerate(cases) for ch, rank, what in c[4]], "query_id int, channel string, rank int, source string, page string, text string")
+    got = L.failure_signals(expected, found).select("query_id", *[L.failure_cause(n).alias(n) for n in L.CAUSES]).orderBy("query_id").collect()
+    assert [(r.query_id, r.fused, r.normalized, r.reranked) for r in got] == [(i, *c[5:]) for i, c in enumerate(cases)]
+    judged = L.failure_signals(expected, found.withColumn("supported", F.lit(False))).where("query_id = 8").select(L.failure_cause("normalized").alias("c")).first()
+    assert judged.c == "FIELD_RESOLUTION_ERROR"
+    counted = {(r.level, r.of): r.asDict() for r in L.histogram(spark.createDataFrame([("x", "A"), ("x", None), (None, "B")], "g string, v string"), "v", ["g"], ["A", "C"]).collect()}
+    assert counted["all", None] == {"level": "all", "of": None, "n_A": 1, "n_C": 0, "other": 2, "total": 3} and counted["g", "x"]["other"] == 1 and counted["g", None]["total"] == 1
+
+
+def test_gold_rows_are_all_there_once(spark):
+    from tesserine.operators import labels as L
+
+    frame = lambda rows: spark.createDataFrame([(r,) for r in rows], "question_id string")
+    gold = frame(["a", "b", "c", "c"])
+    assert L.with_gold(frame(["a", "a", "b"]), gold).count() == 3 and L.with_gold(frame([]), gold).count() == 0
+    for wrong in (["a", "z"], ["c"], [None]):
+        with pytest.raises(ValueError):
+            L.with_gold(frame(wrong), gold)
