@@ -18,7 +18,7 @@ def truncated(excerpt: Column, text: Column) -> Column:
     return (short != "") & (full != "") & (F.contains(short, F.lit("…")) | (F.length(short) < F.length(full)))
 
 
-def expanded(evidence: DataFrame, chunks: DataFrame, most: int = MOST) -> DataFrame:
+def expanded(evidence: DataFrame, chunks: DataFrame, most: int = MOST, count_blanks: bool = True) -> DataFrame:
     """evidence (chunk_id, excerpt and any other columns) with `span` and `linked` (chunk_ids beside its own).
 
     A cut excerpt becomes its whole chunk; if that ends without final punctuation, all chunks of the same document, page and
@@ -26,7 +26,7 @@ def expanded(evidence: DataFrame, chunks: DataFrame, most: int = MOST) -> DataFr
     it on the same page and both fit. What would be longer than `most` stays the excerpt, as does one that is not cut or whose
     chunk is unknown. chunks: chunk_id, text and, where known, document_id, page, parent_id, word_start, next_chunk_id,
     continuation_of; nothing else ever joins chunks. Lengths of parents are added up first, so only texts of parents
-    that fit are put together. Evidence that brings its chunk's `text` is widened without chunks where those know neither
+    that fit are put together; the blanks between them count too, unless count_blanks is off. Evidence that brings its chunk's `text` is widened without chunks where those know neither
     parents nor continuations.
     """
     if "text" in evidence.columns and not {"parent_id", "continuation_of"} & set(chunks.columns):
@@ -54,5 +54,6 @@ def expanded(evidence: DataFrame, chunks: DataFrame, most: int = MOST) -> DataFr
     goes_on = F.col("next_text").isNotNull() & (F.length(longer) <= most)
     text = F.when(F.col("family").isNotNull(), F.col("family")).when(goes_on, longer).otherwise(F.col("full"))
     linked = F.when(F.col("family").isNotNull(), F.array_except("ids", F.array("id"))).when(goes_on, F.array("next_id")).otherwise(none)
-    good = F.col("cut") & (F.length(text) <= most)
+    fit = F.length(text) <= most
+    good = F.col("cut") & (fit if count_blanks else F.col("family").isNotNull() | fit)
     return rows.select("row.*", F.when(good, text).otherwise(F.col("excerpt")).alias("span"), F.when(good, linked).otherwise(none).alias("linked"))
