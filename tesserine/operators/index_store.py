@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import BM25_B, BM25_K1, RetrievalConfig
 from ..functions import text as T
-from ..storage import Versions, read_bytes, write_bytes
+from ..storage import Versions, read_bytes, stored, write_bytes
 from .ordinals import embedding_rows
 from . import retrieval as R
 from .traces import index_problems
@@ -57,7 +57,9 @@ class SparseIndex:
         if k <= 0 or not few or not self.manifest["chunk_count"]:
             return R.no_ranking(rows, queries)
         hits = rows.where(F.col("token").isin(few)) if len(few) <= R.LITERALS else rows.join(asked.select("token").distinct(), "token", "left_semi")
-        return R.bm25_scores(hits, asked, self.manifest["chunk_count"], self.manifest["average_length"], k, config)
+        salt = R.hash_salt(asked)
+        held = stored(R.chunk_rows(hits.select("chunk_id", "dl", F.array_repeat(R.token_hash(salt, F.col("token")), F.col("tf").cast("int")).alias("has"))), "chunk-tokens")
+        return R.bm25_scores(held, asked, salt, self.manifest["chunk_count"], self.manifest["average_length"], k, config)
 
     def metadata_candidates(self, queries: DataFrame, k: int) -> DataFrame:
         """The metadata channel from the stored entity rows."""
