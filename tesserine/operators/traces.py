@@ -83,11 +83,15 @@ def unknown_sources(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def index_problems(postings: DataFrame, lengths: DataFrame) -> DataFrame:
-    """One row: postings without a chunk, non-positive frequencies, chunks whose frequencies do not add up to their length."""
-    bad = postings.agg(F.count_if((F.col("tf") <= 0) | (F.coalesce("token", F.lit("")) == "")).alias("bad_postings"))
-    orphans = postings.join(lengths, "chunk_id", "left_anti").agg(F.count("*").alias("orphans"))
-    sums = postings.groupBy("chunk_id").agg(F.sum("tf").alias("s")).join(lengths, "chunk_id").agg(F.count_if(F.col("s") != F.col("dl")).alias("wrong_lengths"))
-    one = lambda df: df.withColumn("_k", F.lit(1))
-    return one(bad).join(one(orphans), "_k").join(one(sums), "_k").drop("_k")
+    """One row: postings without a chunk, non-positive frequencies, chunks whose frequencies do not add up to their length. One
+    pass over the postings, whose sums for each chunk meet the lengths."""
+    bad = F.count_if((F.col("tf") <= 0) | (F.coalesce("token", F.lit("")) == ""))
+    per = postings.groupBy("chunk_id").agg(F.count("*").alias("n"), bad.alias("bad"), F.sum("tf").alias("s"))
+    known = lengths.groupBy("chunk_id").agg(F.collect_list("dl").alias("dls"))
+    wrong = F.size(F.filter("dls", lambda dl: dl != F.col("s")))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per.join(known, "chunk_id", "left").agg(
+        zero(F.col("bad")).alias("bad_postings"), zero(F.when(F.col("dls").isNull(), F.col("n"))).alias("orphans"), zero(F.when(F.col("dls").isNotNull(), wrong)).cast("long").alias("wrong_lengths"),
+    )
 
 
