@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators import traces as X
 from ..session import table
+from ..storage import stored
 from .analytics_queries import _W, _chunks
 from .retrieval_queries import BM25_CTE, DENSE_CTE, bm25_hits, chunks, dense_hits
 
@@ -23,8 +24,10 @@ def sibling_context(spark, sf):
 
 
 def token_budget_prefix(spark, sf):
-    lengths = R.tokenized(chunks(spark, sf)).select("chunk_id", F.col("dl").cast("long").alias("tokens"))
-    return X.within_budget(bm25_hits(spark, sf, 10).join(lengths, "chunk_id"), 1500)
+    top = stored(bm25_hits(spark, sf, 10), "ranking")
+    found = chunks(spark, sf).join(top.select("chunk_id").distinct(), "chunk_id", "left_semi")  # lengths of these alone
+    lengths = R.tokenized(found).select("chunk_id", F.col("dl").cast("long").alias("tokens"))
+    return X.within_budget(top.join(lengths, "chunk_id"), 1500)
 
 
 def rank_change_classes(spark, sf):
