@@ -24,12 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import release, shuffle_partitions, stored
 
-WINDOW, GRAM, BLOCK = 50, 16, 1 << 20
+WINDOW, GRAM, BLOCK = 50, 16, 1 << 21
 #: Minimisers of more documents than this are routed window by window, so that no bucket holds all surroundings of one
 #: very common passage.
 HOT = 2000
-#: A bucket is sorted in this many parts, so that little of it is in memory as suffixes at a time.
-PARTS = 8
+#: A bucket is sorted in this many parts at most, neighbouring ones together up to PART bytes, so that the suffixes in memory
+#: at a time do not grow with the bucket and stay near the processor.
+PARTS, PART = 256, 1 << 19
+#: Positions whose grams are hashed at a time.
+STEP = 1 << 14
 #: Between pieces of text: a byte that UTF-8 never has.
 GAP = 0xFF
 
@@ -37,10 +40,14 @@ GAP = 0xFF
 # --- suffix sorting -----------------------------------------------------------------------------------------------
 
 
-def words_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Big-endian 8-byte words at the positions; text must go on for 7 bytes."""
-    view = np.lib.stride_tricks.as_strided(text.view(np.uint8), (len(text) - 7, 8), (1, 1))
-    return np.ascontiguousarray(view[at]).view(">u8").ravel().astype(np.uint64)
+def words_of(text: np.ndarray, depth: int) -> np.ndarray:
+    """The big-endian 8-byte word at each position and at `depth` ones behind the text, which goes on with zeros."""
+    padded = np.concatenate((text, np.zeros(depth + 16, np.uint8)))
+    out = np.empty(len(text) + depth + 8, np.uint64)
+    for r in range(8):  # unaligned words, by eight aligned views
+        n = len(range(r, len(out), 8))
+        out[r::8] = padded[r : r + 8 * n].view(">u8")
+    return out
 
 
 def smaller_than_successor(text: np.ndarray) -> np.ndarray:
@@ -55,31 +62,36 @@ def smaller_than_successor(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Positions `at` in the order of the `depth` bytes there: by 8 bytes at a time, only ties again."""
-    padded = np.concatenate((text, np.zeros(depth + 8, np.uint8)))
-    order = at[np.argsort(words_at(padded, at), kind="stable")]
-    group = np.cumsum(np.concatenate(([0], np.diff(words_at(padded, order)) != 0))) if len(order) else order
+def sort_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Positions `at` in the order of the `depth` bytes there: by 8 bytes at a time, only ties again. words: as words_of()."""
+    if not len(at):
+        return at
+    key = words[at]
+    by = np.argsort(key)
+    order, key = at[by], key[by]
+    fresh = np.concatenate(([True], key[1:] != key[:-1]))  # where another group of ties begins
+    tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
     for d in range(8, depth, 8):
-        sizes = np.bincount(group) if len(group) else group
-        tied = np.flatnonzero(sizes[group] > 1) if len(group) else group
         if not len(tied):
             break
-        sub, own = order[tied], group[tied]
-        key = words_at(padded, sub + d)
+        sub, own = order[tied], np.cumsum(fresh[tied]) - 1
+        key = words[sub + d]
         if depth - d < 8:
             key >>= np.uint64(8 * (8 - (depth - d)))
-        by = np.lexsort((key, own))
-        order[tied] = sub[by]
-        new = np.concatenate(([0], (np.diff(own[by]) != 0) | (key[by][1:] != key[by][:-1])))
-        fresh = np.zeros(len(group), np.int64)
-        fresh[tied] = new
-        fresh[np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))] = 1
-        group = np.cumsum(fresh) - 1
+        mixed = np.zeros(own[-1] + 1, bool)  # groups of copies that go on alike stay as they are
+        mixed[own[1:][(key[1:] != key[:-1]) & (own[1:] == own[:-1])]] = True
+        some = np.flatnonzero(mixed[own])
+        if len(some):
+            by = some[np.argsort(key[some])]
+            by = by[np.argsort(own[by], kind="stable")]
+            order[tied[some]], key[some] = sub[by], key[by]
+        fresh[tied[1:]] |= key[1:] != key[:-1]
+        last = np.append(fresh[1:], True)[tied]
+        tied = tied[~(fresh[tied] & last)]
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
     """All suffixes, in order at least by their first `depth` bytes (suffixes that agree there stand together).
 
     Stage one sorts the suffixes smaller than their successors. Stage two scans the buckets of first bytes upwards: each
@@ -89,7 +101,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.int64)
     small = smaller_than_successor(text)
-    direct = sort_directly(text, np.flatnonzero(small), depth)
+    direct = sort_directly(words_of(text, depth) if words is None else words, np.flatnonzero(small), depth)
     starts = np.searchsorted(text[direct], np.arange(257)) if len(direct) else np.zeros(257, np.int64)
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[text[-1]].append(np.array([n - 1]))  # the last suffix is larger than its empty successor
@@ -107,22 +119,22 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         out.append(bucket)
         before = bucket[bucket > 0] - 1
         before = before[text[before] > c]
-        by = np.argsort(text[before], kind="stable")
-        before = before[by]
-        cut = np.flatnonzero(np.diff(text[before])) + 1
-        for part in np.split(before, cut) if len(before) else []:
-            waiting[text[part[0]]].append(part)
+        first = text[before]
+        before, sizes = before[np.argsort(first, kind="stable")], np.bincount(first)
+        ends = np.cumsum(sizes).tolist()
+        for x in np.flatnonzero(sizes).tolist():
+            waiting[x].append(before[ends[x - 1] if x else 0 : ends[x]])
         waiting[c] = []
     return np.concatenate(out)
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
     """Of each suffix in `order` but the first: bytes in common with the one before it, at most `depth`."""
-    padded = np.concatenate((text, np.zeros(depth + 8, np.uint8)))
+    words = words_of(text, depth) if words is None else words
     out = np.zeros(max(0, len(order) - 1), np.int64)
     live = np.arange(len(out))
     for d in range(0, depth, 8):
-        a, b = words_at(padded, order[live] + d), words_at(padded, order[live + 1] + d)
+        a, b = words[order[live] + d], words[order[live + 1] + d]
         same = a == b
         x = (a ^ b)[~same]
         out[live[~same]] += np.floor((64 - np.frexp(x.astype(np.float64))[1]) / 8).astype(np.int64).clip(0, 7)
@@ -160,6 +172,14 @@ def spread(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def least_hashes(text: np.ndarray, width: int) -> np.ndarray:
+    """The least hash of each `width` consecutive grams; STEP positions at a time, which stay near the processor."""
+    n = len(text) - GRAM - width + 2
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    return np.concatenate([sliding_least(gram_hashes(text[s : min(s + STEP, n) + GRAM + width - 2]), width) for s in range(0, n, STEP)])
+
+
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` consecutive values, by doubling."""
     if len(h) < width:
@@ -177,43 +197,50 @@ class Runs:
 
     def __init__(self, text: np.ndarray, sizes: np.ndarray, window: int = WINDOW):
         ends = np.cumsum(sizes)
-        self.grams = gram_hashes(text)
-        least = sliding_least(self.grams, window - GRAM + 1)
+        self.text = text
+        least = least_hashes(text, window - GRAM + 1)
         n = len(least)
-        owner = np.repeat(np.arange(len(sizes)), sizes)[:n]
-        valid = np.arange(n) + window <= ends[owner] if n else np.zeros(0, bool)
-        new = np.ones(n, bool)
-        if n:
-            new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | ~valid[:-1]
+        whole = np.maximum(sizes - window + 1, 0)  # windows of each document
+        valid = np.repeat(np.tile([True, False], len(sizes)), np.stack((whole, sizes - whole), axis=1).ravel())[:n]
+        new = np.empty(n, bool)
+        new[:1] = True
+        np.not_equal(least[1:], least[:-1], out=new[1:])
+        begins = ends - sizes
+        new[begins[begins < n]] = True
         self.start = np.flatnonzero(new & valid)
-        bounds = np.flatnonzero(np.concatenate((new | ~valid, [True])))
-        after = bounds[np.searchsorted(bounds, self.start, side="right")]
+        self.owner = np.searchsorted(ends, self.start, side="right")
+        after = np.minimum(np.append(self.start[1:], n)[: len(self.start)], (begins + whole)[self.owner])
         # minima crowd at the low end; mixed again they fill all buckets alike
-        self.count, self.least, self.owner = after - self.start, spread(least[self.start]), owner[self.start]
+        self.count, self.least = after - self.start, spread(least[self.start])
+        by = np.argsort(self.least, kind="stable")
+        h, d = self.least[by], self.owner[by]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        fresh = first.copy()
+        fresh[1:] |= d[1:] != d[:-1]
+        #: the minimisers in order, the number of documents of each, and the place of each run's among them
+        self.known = h[first]
+        self.docs_of = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(first)) if len(h) else np.zeros(0, np.int64)
+        self.place = np.empty(len(h), np.int64)
+        self.place[by] = np.cumsum(first) - 1
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """The minimisers in order, and the number of documents of each."""
-        by = np.argsort(self.least, kind="stable")
-        h, d = self.least[by], self.owner[by]
-        if not len(h):
-            return h, np.zeros(0, np.int64)
-        first = np.concatenate(([True], h[1:] != h[:-1]))
-        fresh = first | np.concatenate(([True], d[1:] != d[:-1]))
-        return h[first], np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(first))
+        return self.known, self.docs_of
 
     def segments(self, shared: np.ndarray, hot: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """start, windows, routing hash and document of what is compared; hot minimisers' windows one by one."""
-        known = self.distinct()[0]
-        at = np.searchsorted(known, self.least)
+        at = self.place
         is_hot = hot[at] if len(at) else np.zeros(0, bool)
         take = shared[at] & ~is_hot if len(at) else is_hot
         starts, counts, keys, owners = [self.start[take]], [self.count[take]], [self.least[take]], [self.owner[take]]
         if is_hot.any():
             n = self.count[is_hot]
             each = np.repeat(self.start[is_hot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            key = self.grams[each]
+            grams = gram_hashes(self.text)
+            key = grams[each]
             for off in (GRAM, 2 * GRAM, window - GRAM):
-                key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + self.grams[each + off]
+                key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + grams[each + off]
             starts.append(each), counts.append(np.ones(len(each), np.int64)), keys.append(key), owners.append(np.repeat(self.owner[is_hot], n))
         return np.concatenate(starts), np.concatenate(counts), np.concatenate(keys), np.concatenate(owners)
 
@@ -249,6 +276,20 @@ class Pieces:
         np.minimum.at(self.least_id, self.which, self.ids)
 
 
+def slices(parts: np.ndarray, lengths: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """The pieces of a bucket by their parts: of as many parts in turn as `limit` bytes hold, one at least."""
+    by = np.argsort(parts, kind="stable")
+    size = np.cumsum(np.bincount(parts, lengths, PARTS).astype(np.int64))
+    to = np.cumsum(np.bincount(parts, minlength=PARTS))
+    part = 0
+    while part < PARTS:
+        after = max(part + 1, int(np.searchsorted(size, (size[part - 1] if part else 0) + limit, side="right")))
+        some = by[to[part - 1] if part else 0 : to[after - 1]]
+        part = after
+        if len(some):
+            yield some
+
+
 def judge(contents: list[bytes], ids: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Of all windows of the contents, one after the other: the least id of an equal window; and where each content starts."""
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
@@ -259,11 +300,12 @@ def judge(contents: list[bytes], ids: np.ndarray, window: int = WINDOW) -> tuple
     index = np.full(len(text), -1, np.int64)  # position -> window number
     at = np.repeat(begin - first[:-1], n_windows) + np.arange(first[-1])
     index[at] = np.arange(first[-1])
-    order = suffix_array(text, window)
+    words = words_of(text, window)
+    order = suffix_array(text, window, words)
     order = order[index[order] >= 0]
     least = np.repeat(ids, n_windows)
     if len(order):
-        group = np.concatenate(([True], common_prefixes(text, order, window) < window))
+        group = np.concatenate(([True], common_prefixes(text, order, window, words) < window))
         heads = np.flatnonzero(group)
         lows = np.minimum.reduceat(least[index[order]], heads)
         least[index[order]] = np.repeat(lows, np.diff(np.concatenate((heads, [len(order)]))))
@@ -358,7 +400,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None =
     def pieces(row) -> tuple[Pieces, np.ndarray, np.ndarray, np.ndarray]:
         ids, sizes, text = _opened(row.ids, row.sizes, row.body)
         runs = Runs(text, sizes, window)
-        shared, common = _bits(row.marks, len(runs.distinct()[0]))
+        shared, common = _bits(row.marks, len(runs.known))
         return Pieces(text, ids, runs.segments(shared, common, window), n_buckets * PARTS, window), ids, sizes, text
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -376,23 +418,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None =
                     yield pd.DataFrame(out, columns=["bucket", "block", "contents", "lengths", "ids", "parts"])
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
-        held = [(_unpack(r.lengths, np.int64), _unpack(r.ids, np.int64), _unpack(r.parts, np.uint8), zstandard.decompress(r.contents)) for r in b.itertuples(index=False)]
-        answers: list[list[np.ndarray]] = [[] for _ in held]
-        for part in range(PARTS):  # the parts of a row follow each other
+        lengths, ids = (np.concatenate([_unpack(x, np.int64) for x in b[c]]) for c in ("lengths", "ids"))
+        parts = [_unpack(x, np.uint8) for x in b["parts"]]
+        rows = np.cumsum([len(x) for x in parts])
+        parts = np.concatenate(parts)
+        bodies = b"".join(map(zstandard.decompress, b["contents"]))
+        ends, answer = np.cumsum(lengths), np.cumsum(lengths - window + 1)
+        lows = np.empty(answer[-1], np.int64)
+        for some in slices(parts, lengths, PART):
             place: dict[bytes, int] = {}
-            which, ids = [], []
-            for lengths, low, parts, body in held:
-                s, e = np.searchsorted(parts, [part, part + 1])
-                ends = np.cumsum(lengths)
-                which.append([place.setdefault(body[x - n : x], len(place)) for x, n in zip(ends[s:e].tolist(), lengths[s:e].tolist(), strict=True)])
-                ids.append(low[s:e])
+            which = np.fromiter((place.setdefault(bodies[x - n : x], len(place)) for x, n in zip(ends[some].tolist(), lengths[some].tolist(), strict=True)), np.int64, len(some))
             least_id = np.full(len(place), np.iinfo(np.int64).max)
-            np.minimum.at(least_id, np.array([w for x in which for w in x], np.int64), np.concatenate(ids))
+            np.minimum.at(least_id, which, ids[some])
             least, first = judge(list(place), least_id, window)
-            for x, out in zip(which, answers, strict=True):
-                if x:
-                    out.append(np.concatenate([least[first[w] : first[w + 1]] for w in x]))
-        answers = [_pack(np.concatenate(x)) for x in answers]
+            n = lengths[some] - window + 1
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            lows[np.repeat(answer[some] - n, n) + inner] = least[np.repeat(first[which], n) + inner]
+        cuts = np.concatenate(([0], answer[rows - 1]))
+        answers = [_pack(lows[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
         return pd.DataFrame({"block": b["block"], "bucket": b["bucket"], "answer": answers})
 
     stretches = marked.mapInPandas(cut, "bucket long, block long, contents binary, lengths binary, ids binary, parts binary")

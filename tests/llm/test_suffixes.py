@@ -70,3 +70,35 @@ def test_edges(spark):
     got = {(r.doc_id, r.n_bytes): (r.n_removed, r.kept) for r in S.remove_repeats(df, keep_text=True).collect()}
     assert got[None, 60] == (0, long.encode()) and got[4, 60] == (60, b"") and got[9, 61] == (60, b"q") and got[None, 0] == (0, b"")
     assert S.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_a_bucket_is_sorted_in_slices_of_a_bounded_size():
+    """Before, a bucket was sorted in eight parts however large it was."""
+    rng = np.random.default_rng(1)
+    parts, lengths = rng.integers(0, S.PARTS, 5000).astype(np.uint8), rng.integers(50, 90, 5000)
+    parts[:3000] = 7
+    found = list(S.slices(parts, lengths, 9000))
+    assert sorted(np.concatenate(found).tolist()) == list(range(5000)) and len(found) > 8
+    assert all(lengths[x].sum() <= 9000 or len(set(parts[x].tolist())) == 1 for x in found)
+    assert [p for x in found for p in parts[x].tolist()] == sorted(parts.tolist())
+    assert list(S.slices(parts[:0], lengths[:0], 9000)) == []
+
+
+@pytest.mark.parametrize("step", [7, 1 << 14])
+def test_runs_of_windows(monkeypatch, step):
+    """Hashed a step at a time: each window of a document, and no other, is in one run and under its own least hash."""
+    monkeypatch.setattr(S, "STEP", step)
+    rng = random.Random(step)
+    docs = [bytes(rng.choices(b"abc ", k=n)) for n in (0, 60, 49, 50, 300, 0, 0, 51, 10)] + [b"a" * 120]
+    runs = S.Runs(np.frombuffer(b"".join(docs), np.uint8), np.array([len(d) for d in docs]))
+    begin, of = np.cumsum([0, *map(len, docs)]), {}
+    for s, n, h, d in zip(runs.start.tolist(), runs.count.tolist(), runs.least.tolist(), runs.owner.tolist(), strict=True):
+        for i in range(s, s + n):
+            assert i not in of
+            of[i] = h, d
+    spread = S.spread(S.gram_hashes(np.frombuffer(b"".join(docs), np.uint8)))
+    plain = S.gram_hashes(np.frombuffer(b"".join(docs), np.uint8))
+    want = {i: (int(spread[i + int(np.argmin(plain[i : i + 35]))]), d) for d, t in enumerate(docs) for i in range(begin[d], begin[d] + len(t) - 49)}
+    assert of == want
+    known, docs_of = runs.distinct()
+    assert known.tolist() == sorted({h for h, _ in want.values()}) and docs_of.tolist() == [len({d for x, d in want.values() if x == h}) for h in known.tolist()]
