@@ -48,6 +48,8 @@ IN_DOMAIN = r"\b(?:university|campus|course|syllabus|curriculum|department|semes
 
 #: The patterns for Java: possessive where giving back can never help, which spares the scanner most of its work.
 _TOKEN_JAVA = TOKEN.replace("_.+-]+@", "_.+-]++@")
+#: For texts without an "@": no addresses, and words first, which are most of what there is; at one place only one of them fits.
+_TOKEN_PLAIN = r"[\p{L}&&[^\x{0980}-\x{09ff}]]\p{L}*+|" + TOKEN.split("|", 1)[1].removesuffix(r"|\p{L}+")
 _CODE_JAVA = CODE.replace(r"([a-z]{2,12})\s*-?\s*", r"([a-z]{2,12}+)\s*+-?\s*+")
 _NOT_ASCII = r"[^\x00-\x7f]"
 
@@ -133,7 +135,8 @@ def tokens(text: Column) -> Column:
 
     def of(t: Column) -> Column:
         codes = F.when(t.rlike("[0-9]{2}"), F.regexp_extract_all(t, F.lit(_CODE_JAVA), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.regexp_extract_all(t, F.lit(_TOKEN_JAVA), F.lit(0)), F.flatten(F.transform(codes, aliases_of)))
+        found = F.when(F.contains(t, F.lit("@")), F.regexp_extract_all(t, F.lit(_TOKEN_JAVA), F.lit(0))).otherwise(F.regexp_extract_all(t, F.lit(_TOKEN_PLAIN), F.lit(0)))
+        return F.concat(found, F.flatten(F.transform(codes, aliases_of)))
 
     return let(low, of)
 
