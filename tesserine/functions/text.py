@@ -79,19 +79,27 @@ def nfkc(text: Column) -> Column:
 
 
 def casefold(text: Column) -> Column:
-    """Full case folding; null stays null."""
-    return F.lower(_icu("lang.UCharacter", "foldCase", text))
+    """Full case folding; null stays null. Letters up to U+00FF fold as they are lowered, but for two."""
+    folded_ = lambda t: F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.coalesce(t, F.lit("")), F.lit(True))
+    narrow = lambda t: F.replace(F.replace(t, F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
+    return F.lower(let(text, lambda t: F.when(t.rlike(r"[^\x00-\xff]"), folded_(t)).otherwise(narrow(t))))
 
 
 def _plain_marks(text: Column) -> Column:
     """Bengali digits to ASCII, dashes to '-', fixed-width spaces to blanks."""
-    return F.translate(text, BENGALI_DIGITS + DASHES + SPACES, "0123456789" + "-" * len(DASHES) + " " * len(SPACES))
+    marks = BENGALI_DIGITS + DASHES + SPACES
+    changed = lambda t: F.translate(t, marks, "0123456789" + "-" * len(DASHES) + " " * len(SPACES))
+    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x9f\xa1-\xff]"), changed(t)).otherwise(t))
+
+
+def one_blank(text: Column) -> Column:
+    """Each run of white space as one blank; those that are one blank already are passed by."""
+    return F.regexp_replace(text, r"(?U)(?=[^!-~])(?: (?=\s)|(?! )\s)\s*", " ")
 
 
 def normalize_unicode(text: Column) -> Column:
     """NFKC, Bengali digits to ASCII, dashes and spaces folded, white space collapsed; null as empty."""
-    out = _plain_marks(nfkc(F.coalesce(text, F.lit(""))))
-    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+    return F.trim(one_blank(_plain_marks(nfkc(F.coalesce(text, F.lit(""))))))
 
 
 def normalize_unicode_sql(text: str) -> str:
