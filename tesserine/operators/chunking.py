@@ -9,22 +9,25 @@ from ..config import VERY_LONG_WORDS, WINDOW_OVERLAP, WINDOW_WORDS
 from ..functions import text as T
 
 
-def windows(pages: DataFrame, size: int = WINDOW_WORDS, overlap: int = WINDOW_OVERLAP, key: str = "doc_id") -> DataFrame:
-    """Sliding word windows of every text: key, word_start, word_end, text. The last window is the one that reaches the
-    end; blank and null texts give none."""
+def windows(pages: DataFrame, size: int = WINDOW_WORDS, overlap: int = WINDOW_OVERLAP, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sliding word windows of every text: key, word_start, word_end, text and the columns to keep. The last window is the one
+    that reaches the end; blank and null texts give none."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and smaller than size")
     step = size - overlap
-    w = pages.select(key, T.words(F.col("text")).alias("_w")).withColumn("_n", F.size("_w")).where("_n > 0")
+    w = pages.select(key, *keep, T.words(F.col("text")).alias("_w")).withColumn("_n", F.size("_w")).where("_n > 0")
     last = F.greatest(F.lit(0), F.ceil((F.col("_n") - size) / F.lit(step))).cast("int")
-    w = w.withColumn("_i", F.explode(F.sequence(F.lit(0), last)))
-    start = F.col("_i") * step
-    piece = F.slice("_w", start + 1, F.lit(size))
-    return w.select(key, start.alias("word_start"), F.least(start + size, F.col("_n")).alias("word_end"), F.array_join(piece, " ").alias("text"))
+
+    def window(i: Column) -> Column:
+        start = i * step
+        return F.struct(start.alias("word_start"), F.least(start + size, F.col("_n")).alias("word_end"), F.array_join(F.slice("_w", start + 1, F.lit(size)), " ").alias("text"))
+
+    # only the pieces are exploded: the words of a text are not copied for each of them
+    return w.select(key, *keep, F.explode(F.transform(F.sequence(F.lit(0), last), window)).alias("_x")).select(key, "_x.word_start", "_x.word_end", "_x.text", *keep)
 
 
 def chunk_id(key: Column, start: Column) -> Column:
-    return F.format_string("%012d-w%06d", key, start)
+    return F.when(key.isNotNull(), F.format_string("%012d-w%06d", key, start))
 
 
 def links(chunks: DataFrame, document: str = "document_id") -> DataFrame:

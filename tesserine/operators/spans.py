@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import evidence as V
@@ -57,3 +57,26 @@ def expanded(evidence: DataFrame, chunks: DataFrame, most: int = MOST, count_bla
     fit = F.length(text) <= most
     good = F.col("cut") & (fit if count_blanks else F.col("family").isNotNull() | fit)
     return rows.select("row.*", F.when(good, text).otherwise(F.col("excerpt")).alias("span"), F.when(good, linked).otherwise(none).alias("linked"))
+
+
+def expanded_in_order(chunks: DataFrame, excerpt: Column, most: int = MOST, count_blanks: bool = True) -> DataFrame:
+    """chunk_id, span and n_linked of every chunk: what expanded() makes of an excerpt of each, where chunks of a parent go on
+    with the next one in order if they say so.
+
+    chunks: chunk_id, text, document_id, page, parent_id, word_start, goes_on; excerpt: of a chunk's columns. Neighbours meet by
+    their order in the parent, so texts are moved once.
+    """
+    order = Window.partitionBy("document_id", "page", "parent_id").orderBy("word_start")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = chunks.withColumns({"n": F.count("*").over(whole), "chars": F.sum(F.length("text")).over(whole), "next_text": F.lead("text").over(order)})
+    family = F.collect_list(F.when((F.col("n") > 1) & (F.col("chars") <= most) & F.col("parent_id").isNotNull(), V.one_line(F.col("text")))).over(whole)
+    rows = rows.withColumns({"family": family, "full": V.one_line(F.col("text")), "next_text": F.when(F.col("goes_on") & F.col("next_text").isNotNull(), V.one_line(F.col("next_text"))), "excerpt": excerpt})
+    rows = rows.withColumn("cut", F.coalesce(truncated(F.col("excerpt"), F.col("full")), F.lit(False)))
+    rows = rows.withColumn("open", F.col("cut") & (F.length("full") <= most) & ~F.col("full").rlike(_ENDS))
+    of_family, longer = F.col("open") & (F.size("family") > 0), F.concat_ws(" ", "full", "next_text")
+    goes_on = F.col("open") & F.col("next_text").isNotNull() & (F.length(longer) <= most)
+    rows = rows.withColumns({"way": F.when(of_family, 1).when(goes_on, 2).otherwise(0), "wide": F.when(of_family, F.array_join("family", " ")).when(goes_on, longer).otherwise(F.col("full"))})
+    fit = F.length("wide") <= most
+    good = F.col("cut") & (fit if count_blanks else (F.col("way") == 1) | fit)
+    linked = F.when(good & (F.col("way") == 1), F.col("n").cast("int") - 1).when(good & (F.col("way") == 2), F.lit(1)).otherwise(F.lit(0))
+    return rows.select("chunk_id", F.when(good, F.col("wide")).otherwise(F.col("excerpt")).alias("span"), linked.alias("n_linked"))

@@ -52,7 +52,7 @@ def _windows(spark, sf) -> DataFrame:
 
 
 def _chunks(spark, sf) -> DataFrame:
-    w = _windows(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    w = C.windows(table(spark, sf, "documents").select("doc_id", "source", "text"), keep=("source",))
     return w.select(F.col("doc_id").alias("document_id"), (F.expr("word_start div 220") + 1).cast("int").alias("page"), C.chunk_id(F.col("doc_id"), F.col("word_start")).alias("chunk_id"), "text", F.lit("fallback").alias("block_type"), F.lit(None).cast("string").alias("heading"), "source", "word_start", "word_end")
 
 
